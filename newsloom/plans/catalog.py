@@ -1,4 +1,4 @@
 """All named queries."""
 
-from newsloom.plans import schema_queries  # noqa: F401
+from newsloom.plans import link_queries, profile_queries, schema_queries, text_queries  # noqa: F401
 from newsloom.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -34,7 +34,7 @@ _FOUND = {
     f"WITH r AS ({RAW_ARTICLES_SQL}) "
     + " UNION ALL ".join(
         f"SELECT '{std}' AS standard_column, '{col}' AS matched_column, "
-        f"{f'count({col})' if col else 'CAST(0 AS BIGINT)'} AS filled_values FROM r"
+        f"count({col or 'NULL'}) AS filled_values FROM r"
         for std, col in _FOUND.items()
     ),
 )
