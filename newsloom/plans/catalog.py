@@ -1,4 +1,11 @@
 """All named queries."""
 
-from newsloom.plans import link_queries, profile_queries, schema_queries, text_queries  # noqa: F401
+from newsloom.plans import (  # noqa: F401
+    evaluation_queries,
+    feature_queries,
+    link_queries,
+    profile_queries,
+    schema_queries,
+    text_queries,
+)
 from newsloom.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -7,7 +7,7 @@ from newsloom.functions import dates, urls as U
 from newsloom.operators import ranking
 from newsloom.plans import sql as Q
 from newsloom.plans.registry import query
-from newsloom.plans.tables import SOURCE_NUMBER, outlet_of, outlet_sql, table
+from newsloom.plans.tables import outlet_of, outlet_sql, table
 
 _PATH = r"regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
 _HOST = r"regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
@@ -116,13 +116,12 @@ def dedupe_first_seen(spark, sf):
 
 @query(
     "cap_per_source",
-    f"""SELECT doc_id, outlet_name FROM (SELECT doc_id, {outlet_sql('CAST(substr(source, 4) AS INT)')} AS outlet_name FROM documents)
- QUALIFY row_number() OVER (PARTITION BY outlet_name ORDER BY doc_id) <= 200""",
+    f"""SELECT o_orderkey, outlet_name FROM (SELECT o_orderkey, o_orderdate, {outlet_sql('o_custkey')} AS outlet_name FROM orders)
+ QUALIFY row_number() OVER (PARTITION BY outlet_name ORDER BY o_orderdate, o_orderkey) <= 200""",
 )
 def cap_per_source(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", outlet_of(SOURCE_NUMBER).alias("outlet_name"))
-    return ranking.cap_per_source(docs, "outlet_name", ["doc_id"])
-
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", outlet_of("o_custkey").alias("outlet_name"))
+    return ranking.cap_per_source(rows, "outlet_name", ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
 
 
 @query("url_union", f"SELECT DISTINCT url FROM (SELECT url FROM pages UNION SELECT url FROM {_M} UNION SELECT url FROM {_VISITS})")
