@@ -184,7 +184,12 @@ META_DATES = (
     ("property", "article:published_time"), ("name", "pubdate"), ("name", "publish_date"), ("name", "date"),
 )
 
-NODES, STRINGS = F.col("nodes"), F.col("strings")
+def _nodes() -> Column:
+    return F.col("nodes")
+
+
+def _strings() -> Column:
+    return F.col("strings")
 
 
 # --- finding elements ---------------------------------------------------------------
@@ -223,22 +228,22 @@ def within(inner: Column, outer: Column) -> Column:
     return (inner["pos"] > outer["pos"]) & (inner["pos"] <= outer["last"])
 
 
-def find(el: El, nodes: Column = NODES) -> Column:
+def find(el: El) -> Column:
     """First such element, or null."""
     if el.inside is None:
-        return F.get(F.filter(nodes, lambda n: is_el(n, el)), F.lit(0))
+        return F.get(F.filter(_nodes(), lambda n: is_el(n, el)), F.lit(0))
     return let(
-        find(el.inside, nodes),
-        lambda o: F.get(F.filter(nodes, lambda n: is_el(n, el) & within(n, o)), F.lit(0)),
+        find(el.inside),
+        lambda o: F.get(F.filter(_nodes(), lambda n: is_el(n, el) & within(n, o)), F.lit(0)),
     )
 
 
-def exists_el(el: El, nodes: Column = NODES) -> Column:
-    return F.exists(nodes, lambda n: is_el(n, el))
+def exists_el(el: El) -> Column:
+    return F.exists(_nodes(), lambda n: is_el(n, el))
 
 
-def text_of(n: Column, sep: str, strings: Column = STRINGS) -> Column:
-    return F.array_join(F.slice(strings, n["t0"] + 1, n["t1"] - n["t0"]), sep)
+def text_of(n: Column, sep: str) -> Column:
+    return F.array_join(F.slice(_strings(), n["t0"] + 1, n["t1"] - n["t0"]), sep)
 
 
 def first_of(values: list[Column]) -> Column:
@@ -259,7 +264,7 @@ def is_paywalled() -> Column:
 
     def closed(w: Column) -> Column:
         style = F.coalesce(w["style"], F.lit(""))
-        card = F.exists(NODES, lambda n: is_el(n, El("fluent-card", "old-paywall")) & within(n, w))
+        card = F.exists(_nodes(), lambda n: is_el(n, El("fluent-card", "old-paywall")) & within(n, w))
         return (
             X.contains_any(style, ("display: inherit", "display: block"))
             | card
@@ -273,7 +278,7 @@ def is_paywalled() -> Column:
 
 def is_registration_walled() -> Column:
     form_id = F.exists(
-        NODES,
+        _nodes(),
         lambda n: (n["tag"] == "div") & F.startswith(F.coalesce(n["id"], F.lit("")), F.lit("zephr-form-")),
     )
     wall = let(
@@ -325,13 +330,13 @@ def _attr_at(el: El, attribute: str) -> Column:
 
 
 def _meta(kind: str, name: str) -> Column:
-    m = F.get(F.filter(NODES, lambda n: (n["tag"] == "meta") & (n[kind] == name)), F.lit(0))
+    m = F.get(F.filter(_nodes(), lambda n: (n["tag"] == "meta") & (n[kind] == name)), F.lit(0))
     return let(m, lambda n: F.when(n["content"] != "", n["content"]))
 
 
 def _nth_inside(el: El, tag: str, i: int) -> Column:
     inner = let(
-        find(el), lambda o: F.get(F.filter(NODES, lambda n: (n["tag"] == tag) & within(n, o)), F.lit(i))
+        find(el), lambda o: F.get(F.filter(_nodes(), lambda n: (n["tag"] == tag) & within(n, o)), F.lit(i))
     )
     return let(inner, lambda n: F.when(n.isNotNull(), text_of(n, "")))
 
@@ -347,12 +352,12 @@ def published(outlet: str) -> Column:
     if outlet == "MotherJones":
         return X.collapse_ws(_text_at(El("span", "dateline", inside=El("div", "mj-top-flag")), " "))
     if outlet == "Salon":
-        dated = F.get(F.filter(NODES, lambda n: (n["tag"] == "time") & n["datetime"].isNotNull()), F.lit(0))
+        dated = F.get(F.filter(_nodes(), lambda n: (n["tag"] == "time") & n["datetime"].isNotNull()), F.lit(0))
         return let(dated, lambda n: n["datetime"])
     if outlet == "FoxNews":
         return _text_at(El("time", inside=El("span", "article-date")))
     if outlet == "American_Conservative":
-        byline = let(_text_at(El("span", "o-byline__date-item")), dates.byline_date)
+        byline = let(_text_at(El("span", "o-byline__date-item")), lambda t: dates.byline_date(t))
         metas = [_meta(kind, name) for kind, name in META_DATES]
         return first_of([byline, *[let(m, dates.meta_date) for m in metas]])
     if outlet == "American_Spectator":
@@ -413,10 +418,10 @@ def _dropped(rules: PageRules) -> Column:
         return _any(conditions)
 
     mail_links = F.filter(
-        NODES,
+        _nodes(),
         lambda n: (n["tag"] == "a") & F.startswith(F.lower(F.coalesce(n["href"], F.lit(""))), F.lit("mailto:")),
     )
-    return let(_spans(mail_links), lambda m: _spans(F.filter(NODES, lambda n: rule(n, m))))
+    return let(_spans(mail_links), lambda m: _spans(F.filter(_nodes(), lambda n: rule(n, m))))
 
 
 def _bad_parents(rules: PageRules) -> Column:
@@ -431,7 +436,7 @@ def _bad_parents(rules: PageRules) -> Column:
             conditions.append(n["tag"].isin(list(rules.skip_under_tags)))
         return _any(conditions)
 
-    return _spans(F.filter(NODES, rule))
+    return _spans(F.filter(_nodes(), rule))
 
 
 def _bad_children(rules: PageRules) -> Column:
@@ -443,12 +448,12 @@ def _bad_children(rules: PageRules) -> Column:
             conditions.append((n["tag"] == "a") & (X.word_count(text_of(n, "")) > rules.long_link_words))
         return _any(conditions)
 
-    return _spans(F.filter(NODES, rule))
+    return _spans(F.filter(_nodes(), rule))
 
 
 def paragraphs(rules: PageRules) -> Column:
     """Array of (text, has_break) of the body's paragraphs, in page order."""
-    breaks = _spans(F.filter(NODES, lambda n: n["tag"] == "br"))
+    breaks = _spans(F.filter(_nodes(), lambda n: n["tag"] == "br"))
 
     def of_body(body: Column, dropped: Column, parents: Column, children: Column, brs: Column) -> Column:
         gone = F.filter(dropped, lambda d: within(d, body))
@@ -469,7 +474,7 @@ def paragraphs(rules: PageRules) -> Column:
 
         def entry(n: Column, g: Column) -> Column:
             parts = F.filter(
-                F.slice(STRINGS, n["t0"] + 1, n["t1"] - n["t0"]),
+                F.slice(_strings(), n["t0"] + 1, n["t1"] - n["t0"]),
                 lambda s, i: ~F.exists(g, lambda d: (d["t0"] <= n["t0"] + i) & (n["t0"] + i < d["t1"])),
             )
             return F.struct(
@@ -477,7 +482,7 @@ def paragraphs(rules: PageRules) -> Column:
             )
 
         return let(
-            gone, lambda g: F.transform(F.filter(NODES, lambda n: wanted(n, g)), lambda n: entry(n, g))
+            gone, lambda g: F.transform(F.filter(_nodes(), lambda n: wanted(n, g)), lambda n: entry(n, g))
         )
 
     bodies = F.filter(F.array(*[find(el) for el in rules.body]), lambda n: n.isNotNull())
@@ -612,8 +617,14 @@ def parsed_pages(pages: DataFrame, outlets: tuple[str, ...] = tuple(K.OUTLETS))
             "raw_body",
             per_outlet(lambda k: profiles.before_form(k, joined_paragraphs(k, F.col("paras")))),
         )
-        .withColumn("formed_headline", X.unicode_form("raw_headline", F.col("form")))
-        .withColumn("formed_body", X.unicode_form("raw_body", F.col("form")))
+    )
+    # the second mention keeps the raw columns from being folded into the
+    # arguments of the Python stage
+    staged = staged.withColumns(
+        {
+            "formed_headline": F.coalesce(X.unicode_form("raw_headline", F.col("form")), F.col("raw_headline")),
+            "formed_body": F.coalesce(X.unicode_form("raw_body", F.col("form")), F.col("raw_body")),
+        }
     )
     return (
         staged.withColumn(
@@ -654,7 +665,7 @@ def articles(pages: DataFrame, crawl_timestamp: Column, outlets: tuple[str, ...]
 
 def page_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Absolute URL of every followable anchor of each page."""
-    anchors = F.filter(NODES, lambda n: (n["tag"] == "a") & (F.coalesce(n["href"], F.lit("")) != ""))
+    anchors = F.filter(_nodes(), lambda n: (n["tag"] == "a") & (F.coalesce(n["href"], F.lit("")) != ""))
     href = F.col("a")["href"]
     return (
         with_nodes(pages)
@@ -666,12 +677,12 @@ def page_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url")
 
 def listing_links(pages: DataFrame, block: El, link: El = El("a")) -> DataFrame:
     """Hrefs of links inside the blocks of a listing page, each once."""
-    blocks = _spans(F.filter(NODES, lambda n: is_el(n, block)))
+    blocks = _spans(F.filter(_nodes(), lambda n: is_el(n, block)))
     hrefs = let(
         blocks,
         lambda b: F.transform(
             F.filter(
-                NODES,
+                _nodes(),
                 lambda n: is_el(n, link) & n["href"].isNotNull() & F.exists(b, lambda o: within(n, o)),
             ),
             lambda n: n["href"],

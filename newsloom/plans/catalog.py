@@ -4,6 +4,7 @@ from newsloom.plans import (  # noqa: F401
     evaluation_queries,
     feature_queries,
     link_queries,
+    page_queries,
     profile_queries,
     schema_queries,
     text_queries,

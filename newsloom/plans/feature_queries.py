@@ -10,7 +10,7 @@ from newsloom.functions import text as X
 from newsloom.operators import splits
 from newsloom.plans import sql as Q
 from newsloom.plans.registry import query
-from newsloom.plans.tables import corpus, table
+from newsloom.plans.tables import corpus, documents, table
 
 _STOPPED = f"list_filter({Q.tokens('text')}, lambda t: t NOT IN ({Q.strings(K.STOP_WORDS)}))"
 _TERMS = "list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))"
@@ -38,7 +38,7 @@ def _train_terms(spark, sf):
     f"SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({_TERMS}) AS term FROM (SELECT doc_id, {_STOPPED} AS t FROM documents)) GROUP BY ALL",
 )
 def tfidf_tokens(spark, sf):
-    docs = tfidf.with_terms(table(spark, sf, "documents").select("doc_id", "text"))
+    docs = tfidf.with_terms(documents(spark, sf))
     return docs.select("doc_id", F.inline(X.term_counts("terms"))).withColumn("n", F.col("n").cast("long"))
 
 
@@ -112,7 +112,7 @@ _SHARES = ", ".join(
     f"SELECT doc_id, {_SHARES}, round(coalesce(count(*) FILTER (t IN ({Q.strings(K.MODALS)})) / nullif(count(*) FILTER (pos <> 'PUNCT'), 0), 0), 9) AS modal_ratio FROM {_TAGGED} GROUP BY doc_id",
 )
 def pos_ratios(spark, sf):
-    out = linguistic.with_pos_ratios(table(spark, sf, "documents").select("doc_id", "text")).drop("text")
+    out = linguistic.with_pos_ratios(documents(spark, sf)).drop("text")
     return out.withColumns({c: F.round(c, 9) for c in linguistic.POS_COLUMNS})
 
 
@@ -132,7 +132,7 @@ _READ_COUNTS = """(SELECT doc_id, len(w) AS words, coalesce(list_sum(sy), 0) AS
  round(words / sent, 6) AS words_per_sentence FROM {_READ_COUNTS} WHERE words > 0""",
 )
 def readability(spark, sf):
-    out = linguistic.with_readability(table(spark, sf, "documents").select("doc_id", "text"))
+    out = linguistic.with_readability(documents(spark, sf))
     out = out.where(X.word_count("text") > 0).drop("text")
     return out.withColumns({c: F.round(c, 6) for c in linguistic.READABILITY_COLUMNS})
 
@@ -190,7 +190,7 @@ def _sentiment_sql(text):
 
 
 def _sentiment(spark, sf, max_chars):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = documents(spark, sf)
     out = sentiment.lexicon_sentiment(docs, "doc_id", lexicon=_lexicon(spark, sf), max_chars=max_chars)
     return out.withColumns({c: F.round(c, 6) for c in sentiment.SENTIMENT_COLUMNS})
 
@@ -228,7 +228,7 @@ def scaled_features(spark, sf):
 
 @query("extra_columns")
 def extra_columns(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = documents(spark, sf)
     return with_extra_columns(docs, "doc_id").drop("text")
 
 
@@ -248,12 +248,12 @@ def full_features(spark, sf):
 
 @query("doc_embeddings")
 def doc_embeddings(spark, sf):
-    return embeddings.document_embeddings(table(spark, sf, "documents"), "doc_id")
+    return embeddings.document_embeddings(documents(spark, sf), "doc_id")
 
 
 @query("chunk_embeddings")
 def chunk_embeddings(spark, sf):
-    return embeddings.document_embeddings(table(spark, sf, "documents"), "doc_id", chunked=True)
+    return embeddings.document_embeddings(documents(spark, sf), "doc_id", chunked=True)
 
 
 @query(

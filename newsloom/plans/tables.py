@@ -12,6 +12,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Enough partitions for every core, for work that is heavy per row.
+
+    Only inputs stored in fewer pieces than there are cores are moved; a table
+    of many files passes through unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """Documents for heavy per-row work, only the columns asked for."""
+    return spread(table(spark, folder, "documents").select(*(columns or ("doc_id", "text"))))
+
+
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
     """Labelled documents: doc_id, text, label, source."""
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
@@ -42,7 +57,6 @@ def messy(spark: SparkSession, folder: str) -> DataFrame:
 
 
 OUTLET_LIST = tuple(K.OUTLETS)
-OUTLET_OF_ROW = "outlet of a numbered row: the list of outlets, taken in turn"
 
 
 def outlet_of(number: str):
@@ -106,26 +120,34 @@ OUTLET_MARKUP = {
 }
 
 
+def _dressed(key: str):
+    """The given page in one outlet's markup: container, heading, paragraph
+    class, a date, and the unclosed first paragraph closed."""
+    opening, closing, h1 = OUTLET_MARKUP[key]
+    par = '<p class="c-paragraph">' if key == "DailyBeast" else "<p>"
+    html = F.regexp_replace("html", "<p><b>([^<]*)<br>", "<p><b>$1</b><br></p>")
+    for old, new in (("<article>", opening), ("</article>", closing), ("<h1>", h1), ("<p>", par)):
+        html = F.replace(html, F.lit(old), F.lit(new))
+    day = F.date_add(F.lit("2024-10-01").cast("date"), (F.col("page_id") % 400).cast("int"))
+    meta = F.concat(
+        F.lit('<meta property="article:published_time" content="'),
+        F.date_format(day, "yyyy-MM-dd"),
+        F.lit('T08:00:00Z"></head>'),
+    )
+    return F.replace(html, F.lit("</head>"), meta)
+
+
+def dressed_as(spark: SparkSession, folder: str, outlet: str) -> DataFrame:
+    """All given pages in the markup of one outlet."""
+    pages = spread(table(spark, folder, "pages"))
+    return pages.select("page_id", "url", F.lit(outlet).alias("outlet"), _dressed(outlet).alias("html"))
+
+
 def outlet_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """All given pages, each dressed in the markup of one outlet: the article
-    element, the heading, the paragraph class, a date and closed paragraphs."""
-    pages = table(spark, folder, "pages")
-    outlet = outlet_of("page_id")
+    """All given pages, the outlets taken in turn."""
+    pages = spread(table(spark, folder, "pages")).withColumn("outlet", outlet_of("page_id"))
     html = None
-    for key, (opening, closing, h1) in OUTLET_MARKUP.items():
-        par = '<p class="c-paragraph">' if key == "DailyBeast" else "<p>"
-        dressed = F.regexp_replace("html", "<p><b>([^<]*)<br>", "<p><b>$1</b><br></p>")
-        for old, new in (("<article>", opening), ("</article>", closing), ("<h1>", h1), ("<p>", par)):
-            dressed = F.replace(dressed, F.lit(old), F.lit(new))
-        dressed = F.replace(
-            dressed,
-            F.lit("</head>"),
-            F.concat(
-                F.lit('<meta property="article:published_time" content="'),
-                F.date_format(F.date_add(F.lit("2024-10-01").cast("date"), (F.col("page_id") % 400).cast("int")), "yyyy-MM-dd"),
-                F.lit('T08:00:00Z"></head>'),
-            ),
-        )
+    for key in OUTLET_MARKUP:
         branch = F.col("outlet") == key
-        html = F.when(branch, dressed) if html is None else html.when(branch, dressed)
-    return pages.withColumn("outlet", outlet).withColumn("html", html).select("page_id", "url", "outlet", "html")
+        html = F.when(branch, _dressed(key)) if html is None else html.when(branch, _dressed(key))
+    return pages.select("page_id", "url", "outlet", html.alias("html"))

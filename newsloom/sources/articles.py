@@ -76,16 +76,17 @@ def read_registry(
     root: str,
     files: Mapping[str, str] = K.DATASET_FILES,
     schema: T.StructType | str | None = None,
+    json_lines: bool = False,
 ) -> DataFrame:
     """All registered files in one scan, the outlet taken from the file."""
     paths = [f"{root.rstrip('/')}/{p}" for p in files.values()]
     dim = spark.createDataFrame(list(files.items()), "registered_outlet string, file string")
-    reader = spark.read.option("multiLine", True)
+    reader = spark.read.option("multiLine", not json_lines)
     if schema is not None:
         reader = reader.schema(schema)
     read = reader.json(paths).withColumn("_path", F.col("_metadata.file_path"))
     # the registry is a fixed list of ten files
-    return read.join(F.broadcast(dim), F.endswith(F.col("_path"), F.col("file")), "left").drop(
+    return read.join(F.broadcast(dim), F.contains(F.col("_path"), F.col("file")), "left").drop(
         "_path", "file"
     )
 
@@ -122,10 +123,11 @@ def load_fulltext(
     text_column: str = "text",
     label_column: str = "label",
     source_name: str | None = None,
+    json_lines: bool = False,
     **options,
 ) -> DataFrame:
     """Article files to a validated labelled corpus."""
-    raw = S.standardize_columns(read_articles(spark, paths))
+    raw = S.standardize_columns(read_articles(spark, paths, json_lines=json_lines))
     return standardize_external(
         raw, text_column, label_column, "outlet_name", source_name or "external", **options
     )
