@@ -588,6 +588,17 @@ def _article_id(outlet: str) -> Column:
     return U.url_hash("url").cast("string")
 
 
+def computed(df: DataFrame, keep: tuple[str, ...], **columns: Column) -> DataFrame:
+    """Columns worked out once per row.
+
+    Goes through a one-element ``inline``, which the optimizer does not see
+    through: large expressions are neither copied into later filters nor
+    repeated where they are used more than once.
+    """
+    entry = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select(*keep, F.inline(F.array(entry)))
+
+
 def parsed_pages(pages: DataFrame, outlets: tuple[str, ...] = tuple(K.OUTLETS)) -> DataFrame:
     """Every page with headline, date, body, word count and verdict.
 
@@ -603,35 +614,38 @@ def parsed_pages(pages: DataFrame, outlets: tuple[str, ...] = tuple(K.OUTLETS))
             out = F.when(branch, build(key)) if out is None else out.when(branch, build(key))
         return out
 
-    staged = (
-        with_nodes(pages)
-        .withColumn("form", per_outlet(lambda k: F.lit(profiles.UNICODE_FORM[k])))
-        .withColumn("paras", per_outlet(lambda k: paragraphs(RULES[k])))
-        .withColumn("article_id", per_outlet(_article_id))
-        .withColumn("walled", per_outlet(is_walled))
-        .withColumn("page_type", page_type())
-        .withColumn("publication_date", per_outlet(published))
-        .withColumn("raw_headline", per_outlet(lambda k: profiles.before_form(k, headline(RULES[k]))))
-        .drop("nodes", "strings")
-        .withColumn(
-            "raw_body",
-            per_outlet(lambda k: profiles.before_form(k, joined_paragraphs(k, F.col("paras")))),
-        )
+    parsed = with_nodes(pages)
+    found = computed(
+        parsed,
+        keep=("page_id", "url", "outlet"),
+        form=per_outlet(lambda k: F.lit(profiles.UNICODE_FORM[k])),
+        paras=per_outlet(lambda k: paragraphs(RULES[k])),
+        article_id=per_outlet(_article_id),
+        walled=per_outlet(is_walled),
+        page_type=page_type(),
+        publication_date=per_outlet(published),
+        found_headline=per_outlet(lambda k: headline(RULES[k])),
+    )
+    known = ("page_id", "url", "outlet", "article_id", "walled", "page_type", "publication_date", "paras")
+    raw = computed(
+        found,
+        keep=(*known, "form"),
+        raw_headline=per_outlet(lambda k: profiles.before_form(k, F.col("found_headline"))),
+        raw_body=per_outlet(lambda k: profiles.before_form(k, joined_paragraphs(k, F.col("paras")))),
     )
-    # the second mention keeps the raw columns from being folded into the
-    # arguments of the Python stage
-    staged = staged.withColumns(
-        {
-            "formed_headline": F.coalesce(X.unicode_form("raw_headline", F.col("form")), F.col("raw_headline")),
-            "formed_body": F.coalesce(X.unicode_form("raw_body", F.col("form")), F.col("raw_body")),
-        }
+    formed = raw.select(
+        *known,
+        X.unicode_form("raw_headline", F.col("form")).alias("formed_headline"),
+        X.unicode_form("raw_body", F.col("form")).alias("formed_body"),
+    )
+    finished = computed(
+        formed,
+        keep=known[:-1],
+        headline=per_outlet(lambda k: profiles.after_form(k, F.col("formed_headline"))),
+        body_text=per_outlet(lambda k: finished_body(k, F.col("formed_body"), F.col("paras"))),
     )
     return (
-        staged.withColumn(
-            "headline", per_outlet(lambda k: profiles.after_form(k, F.col("formed_headline")))
-        )
-        .withColumn("body_text", per_outlet(lambda k: finished_body(k, F.col("formed_body"), F.col("paras"))))
-        .withColumn("word_count", X.word_count("body_text"))
+        finished.withColumn("word_count", X.word_count("body_text"))
         .withColumn("accepted", per_outlet(_accepted))
         .select(
             "page_id", "url", "outlet", "article_id", "page_type", "headline", "publication_date",
