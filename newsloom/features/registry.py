@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from newsloom import constants as K
 from newsloom.features import embeddings, linguistic, nmf, scaling, sentiment, tfidf
+from newsloom.operators.models import packed
 
 Apply = Callable[[DataFrame], DataFrame]
 EXTRA_COLUMNS = linguistic.POS_COLUMNS + sentiment.SENTIMENT_COLUMNS + linguistic.READABILITY_COLUMNS
@@ -62,7 +63,7 @@ def _fit_full(train: DataFrame, id_col: str, n_train: int) -> Apply:
 def fit_tfidf_nmf(max_iter: int = K.NMF_MAX_ITER, k: int = K.NMF_COMPONENTS):
     def fit(train: DataFrame, id_col: str, n_train: int) -> Apply:
         model = tfidf.fit(train, n_train)
-        vectors = model.transform(train, "tfidf").select(id_col, "tfidf").persist()
+        vectors = packed(model.transform(train, "tfidf").select(id_col, "tfidf"), n_train).persist()
         topics = nmf.fit(vectors, id_col, "tfidf", len(model.terms), k=k, max_iter=max_iter)
         vectors.unpersist()
 

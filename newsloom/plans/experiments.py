@@ -47,7 +47,9 @@ def _one_fold(
     if n_train == 0:
         raise ValueError("Input text collection is empty.")
     apply = features.fit(train, id_col, n_train)
-    train_x = apply(train).select("label", "features").persist(StorageLevel.MEMORY_AND_DISK)
+    train_x = models.packed(apply(train).select("label", "features"), n_train).persist(
+        StorageLevel.MEMORY_AND_DISK
+    )
     test_x = apply(test)
     parts = [
         models.fit_predict(c, train_x, test_x, n_train, id_col).select(
