@@ -20,6 +20,11 @@ _WS_BODY = (
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 )
 WS = f"[{_WS_BODY}]"
+WS_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 NOT_WS = f"[^{_WS_BODY}]"
 WORD = r"[\p{L}\p{N}_]"
 TOKEN = WORD + WORD + "+"
@@ -41,8 +46,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    """Trim Unicode white space at both ends."""
-    return F.regexp_replace(_col(c), rf"\A{WS}+|{WS}+\z", "")
+    """Trim Unicode white space at both ends; only the ends are looked at."""
+    return F.trim(_col(c), F.lit(WS_CHARS))
 
 
 def as_text(c: Column | str) -> Column:

@@ -133,13 +133,12 @@ def keep_paragraphs(blocks: Column | str, min_words: int = 0, min_chars: int = 0
     )
 
 
-def _lower(t: Column) -> Column:
-    return F.lower(t)
-
-
 def is_boilerplate(outlet: str, t: Column) -> Column:
     """Paragraphs an outlet's rules throw away, by their wording."""
-    low = _lower(t)
+    return X.let(F.lower(t), lambda low: _is_boilerplate(outlet, t, low))
+
+
+def _is_boilerplate(outlet: str, t: Column, low: Column) -> Column:
     if outlet == "CounterPunch":
         return X.starts_with_any(X.strip(low), K.DISCLAIMER_PREFIXES)
     if outlet == "Salon":
@@ -150,11 +149,11 @@ def is_boilerplate(outlet: str, t: Column) -> Column:
         return low.rlike(K.SPECTATOR_PROMO_PATTERN) | X.starts_with_any(low, K.SPECTATOR_PREFIXES)
     if outlet == "FoxNews":
         return (
-            (X.uppercase_ratio(t) > K.FOX_UPPERCASE_LIMIT)
-            | X.contains_any(t, K.FOX_MARKS)
+            X.contains_any(t, K.FOX_MARKS)
             | X.starts_with_any(t, K.FOX_PREFIXES)
             | X.contains_any(low, K.FOX_CAPTION_WORDS)
             | X.contains_any(low, K.FOX_JUNK_PHRASES)
+            | (X.uppercase_ratio(t) > K.FOX_UPPERCASE_LIMIT)
         )
     if outlet == "DailyCaller":
         return X.contains_any(low, K.DAILYCALLER_PHRASES)
@@ -163,9 +162,10 @@ def is_boilerplate(outlet: str, t: Column) -> Column:
 
 def is_author_bio(t: Column) -> Column:
     """Closing author note: an address to write to, or a director of something."""
-    low = _lower(t)
-    return X.contains_any(low, K.SPECTATOR_BIO_PHRASES) | (
-        F.contains(low, F.lit("is a")) & F.contains(low, F.lit("director"))
+    return X.let(
+        F.lower(t),
+        lambda low: X.contains_any(low, K.SPECTATOR_BIO_PHRASES)
+        | (F.contains(low, F.lit("is a")) & F.contains(low, F.lit("director"))),
     )
 
 
@@ -173,9 +173,12 @@ def drop_boilerplate(blocks: Column | str, outlets: Iterable[str] = tuple(K.OUTL
     """Paragraphs that none of the named outlets' wording rules hit."""
 
     def keep(p: Column) -> Column:
-        hit = F.lit(False)
-        for o in outlets:
-            hit = hit | is_boilerplate(o, p)
-        return ~hit
+        def hit(low: Column) -> Column:
+            out = F.lit(False)
+            for o in outlets:
+                out = out | _is_boilerplate(o, p, low)
+            return out
+
+        return ~X.let(F.lower(p), hit)
 
     return F.filter(X._col(blocks), keep)

@@ -393,8 +393,12 @@ def _has_inside(n: Column, inner: Column) -> Column:
     return F.exists(inner, lambda d: within(d, n))
 
 
-def _dropped(rules: PageRules) -> Column:
-    """Elements whose whole content is thrown away."""
+def _none() -> Column:
+    return F.array().cast("array<struct<pos:int,last:int,t0:int,t1:int>>")
+
+
+def _dropped(rules: PageRules) -> Column | None:
+    """Elements whose whole content is thrown away; None without such rules."""
 
     def rule(n: Column, mails: Column) -> Column:
         conditions = []
@@ -417,6 +421,10 @@ def _dropped(rules: PageRules) -> Column:
             )
         return _any(conditions)
 
+    if not (rules.drop_tags or rules.drop_elements or rules.drop_class_parts):
+        return None
+    if not rules.drop_bios:
+        return _spans(F.filter(_nodes(), lambda n: rule(n, _none())))
     mail_links = F.filter(
         _nodes(),
         lambda n: (n["tag"] == "a") & F.startswith(F.lower(F.coalesce(n["href"], F.lit(""))), F.lit("mailto:")),
@@ -424,7 +432,11 @@ def _dropped(rules: PageRules) -> Column:
     return let(_spans(mail_links), lambda m: _spans(F.filter(_nodes(), lambda n: rule(n, m))))
 
 
-def _bad_parents(rules: PageRules) -> Column:
+def _bad_parents(rules: PageRules) -> Column | None:
+    """Elements whose paragraphs are skipped; None without such rules."""
+    if not (rules.skip_under_classes or rules.skip_under_ids or rules.skip_under_tags):
+        return None
+
     def rule(n: Column) -> Column:
         conditions = []
         if rules.skip_under_classes:
@@ -439,7 +451,11 @@ def _bad_parents(rules: PageRules) -> Column:
     return _spans(F.filter(_nodes(), rule))
 
 
-def _bad_children(rules: PageRules) -> Column:
+def _bad_children(rules: PageRules) -> Column | None:
+    """Elements that disqualify the paragraph around them; None without rules."""
+    if not (rules.skip_with or rules.skip_with_tags or rules.long_link_words):
+        return None
+
     def rule(n: Column) -> Column:
         conditions = [is_el(n, el) for el in rules.skip_with]
         if rules.skip_with_tags:
@@ -451,59 +467,70 @@ def _bad_children(rules: PageRules) -> Column:
     return _spans(F.filter(_nodes(), rule))
 
 
-def paragraphs(rules: PageRules) -> Column:
+def _let_all(values: list[Column | None], body) -> Column:
+    """Bind several values, absent ones staying None."""
+
+    def bind(rest: list[Column | None], bound: tuple[Column | None, ...]) -> Column:
+        if not rest:
+            return body(*bound)
+        if rest[0] is None:
+            return bind(rest[1:], (*bound, None))
+        return let(rest[0], lambda v: bind(rest[1:], (*bound, v)))
+
+    return bind(values, ())
+
+
+def paragraphs(rules: PageRules, with_breaks: bool = False) -> Column:
     """Array of (text, has_break) of the body's paragraphs, in page order."""
-    breaks = _spans(F.filter(_nodes(), lambda n: n["tag"] == "br"))
-
-    def of_body(body: Column, dropped: Column, parents: Column, children: Column, brs: Column) -> Column:
-        gone = F.filter(dropped, lambda d: within(d, body))
-
-        def wanted(n: Column, g: Column) -> Column:
-            keep = n["tag"].isin(list(rules.paragraphs)) & within(n, body)
-            if rules.paragraph_class:
-                keep = keep & has_class(n, rules.paragraph_class)
-            keep = keep & ~F.exists(g, lambda d: (d["pos"] <= n["pos"]) & (n["pos"] <= d["last"]))
-            if rules.skip_classes:
-                names = F.array(*[F.lit(c) for c in rules.skip_classes])
-                keep = keep & ~F.arrays_overlap(n["cls"], names)
-            return (
-                keep
-                & ~F.exists(parents, lambda a: within(n, a))
-                & ~_has_inside(n, children)
-            )
 
-        def entry(n: Column, g: Column) -> Column:
+    def wanted(n: Column, body: Column, gone, parents, children) -> Column:
+        keep = n["tag"].isin(list(rules.paragraphs)) & within(n, body)
+        if rules.paragraph_class:
+            keep = keep & has_class(n, rules.paragraph_class)
+        if rules.skip_classes:
+            names = F.array(*[F.lit(c) for c in rules.skip_classes])
+            keep = keep & ~F.arrays_overlap(n["cls"], names)
+        if gone is not None:
+            keep = keep & ~F.exists(gone, lambda d: (d["pos"] <= n["pos"]) & (n["pos"] <= d["last"]))
+        if parents is not None:
+            keep = keep & ~F.exists(parents, lambda a: within(n, a))
+        if children is not None:
+            keep = keep & ~_has_inside(n, children)
+        return keep
+
+    def entry(n: Column, gone, breaks) -> Column:
+        parts = F.slice(_strings(), n["t0"] + 1, n["t1"] - n["t0"])
+        if gone is not None:
             parts = F.filter(
-                F.slice(_strings(), n["t0"] + 1, n["t1"] - n["t0"]),
-                lambda s, i: ~F.exists(g, lambda d: (d["t0"] <= n["t0"] + i) & (n["t0"] + i < d["t1"])),
-            )
-            return F.struct(
-                F.array_join(parts, " ").alias("text"), _has_inside(n, brs).alias("has_break")
+                parts,
+                lambda s, i: ~F.exists(gone, lambda d: (d["t0"] <= n["t0"] + i) & (n["t0"] + i < d["t1"])),
             )
+        has_break = F.lit(False) if breaks is None else _has_inside(n, breaks)
+        return F.struct(F.array_join(parts, " ").alias("text"), has_break.alias("has_break"))
 
-        return let(
-            gone, lambda g: F.transform(F.filter(_nodes(), lambda n: wanted(n, g)), lambda n: entry(n, g))
-        )
+    def of_body(body: Column, dropped, parents, children, breaks) -> Column:
+        def collect(gone) -> Column:
+            kept = F.filter(_nodes(), lambda n: wanted(n, body, gone, parents, children))
+            return F.transform(kept, lambda n: entry(n, gone, breaks))
+
+        if dropped is None:
+            return collect(None)
+        return let(F.filter(dropped, lambda d: within(d, body)), collect)
 
     bodies = F.filter(F.array(*[find(el) for el in rules.body]), lambda n: n.isNotNull())
     if not rules.first_filled_body:
         bodies = F.slice(bodies, 1, 1)
 
-    def first_filled(dropped, parents, children, brs) -> Column:
-        options = F.transform(bodies, lambda b: of_body(b, dropped, parents, children, brs))
-        filled = F.filter(
-            options,
-            lambda o: F.exists(o, lambda p: F.length(p["text"]) > rules.min_chars),
-        ) if rules.first_filled_body else options
-        return F.get(filled, F.lit(0))
+    def chosen(dropped, parents, children, breaks) -> Column:
+        options = F.transform(bodies, lambda b: of_body(b, dropped, parents, children, breaks))
+        if rules.first_filled_body:
+            options = F.filter(
+                options, lambda o: F.exists(o, lambda p: F.length(p["text"]) > rules.min_chars)
+            )
+        return F.get(options, F.lit(0))
 
-    return let(
-        _dropped(rules),
-        lambda d: let(
-            _bad_parents(rules),
-            lambda a: let(_bad_children(rules), lambda c: let(breaks, lambda b: first_filled(d, a, c, b))),
-        ),
-    )
+    breaks = _spans(F.filter(_nodes(), lambda n: n["tag"] == "br")) if with_breaks else None
+    return _let_all([_dropped(rules), _bad_parents(rules), _bad_children(rules), breaks], chosen)
 
 
 _MARK = "\u0001"  # stands between paragraphs while they are one string
@@ -619,7 +646,7 @@ def parsed_pages(pages: DataFrame, outlets: tuple[str, ...] = tuple(K.OUTLETS))
         parsed,
         keep=("page_id", "url", "outlet"),
         form=per_outlet(lambda k: F.lit(profiles.UNICODE_FORM[k])),
-        paras=per_outlet(lambda k: paragraphs(RULES[k])),
+        paras=per_outlet(lambda k: paragraphs(RULES[k], with_breaks=k == "CounterPunch")),
         article_id=per_outlet(_article_id),
         walled=per_outlet(is_walled),
         page_type=page_type(),

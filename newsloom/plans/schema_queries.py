@@ -8,7 +8,7 @@ from newsloom.operators import filters, schema as S
 from newsloom.plans import sql as Q
 from newsloom.plans.registry import query
 from newsloom.plans.tables import (
-    RAW_ARTICLES_SQL, SOURCE_NUMBER, corpus, messy, outlet_of, outlet_sql, raw_articles, table,
+    RAW_ARTICLES_SQL, SOURCE_NUMBER, corpus, documents, messy, outlet_of, outlet_sql, raw_articles, table,
 )
 from newsloom.sources import articles as A
 
@@ -300,7 +300,7 @@ _BOILER = " OR ".join(
     f"SELECT doc_id, array_to_string(list_filter({_LINES}, lambda p: NOT ({_BOILER})), chr(10)) AS kept FROM (SELECT doc_id, {_LACED} AS text FROM documents)",
 )
 def boilerplate_filter(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.expr(_LACED).alias("text"))
+    docs = documents(spark, sf).select("doc_id", F.expr(_LACED).alias("text"))
     return docs.select("doc_id", F.array_join(filters.drop_boilerplate(X.lines("text")), "\n").alias("kept"))
 
 
@@ -331,7 +331,7 @@ _W, _CAPS = Q.words("x"), f"len(list_filter({Q.words('x')}, lambda w: regexp_mat
 )
 def signature_filter(spark, sf):
     blocks = X.lines(F.replace(F.replace("text", F.lit(" th"), F.lit(" Th")), F.lit("."), F.lit("\n")))
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         "doc_id", F.array_join(X.drop_signatures(blocks), "\n").alias("kept")
     )
 
@@ -343,7 +343,7 @@ def signature_filter(spark, sf):
  FROM (SELECT doc_id, {_LINES} AS b FROM documents)""",
 )
 def wrapper_dedup(spark, sf):
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         "doc_id", F.array_join(X.drop_wrappers(X.lines("text")), "\n").alias("kept")
     )
 
@@ -355,7 +355,7 @@ def wrapper_dedup(spark, sf):
 )
 def dedupe_paragraphs(spark, sf):
     twice = X.lines(F.concat("text", F.lit("\n"), "text"))
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         "doc_id", F.array_join(X.distinct_blocks(twice), "\n").alias("kept")
     )
 

@@ -29,7 +29,7 @@ def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
 
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
     """Labelled documents: doc_id, text, label, source."""
-    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    docs = documents(spark, folder, "doc_id", "text", "source")
     labels = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
     return docs.join(labels, "doc_id")
 
@@ -51,9 +51,8 @@ END"""
 
 def messy(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, source, lang, messy text (null at times)."""
-    return table(spark, folder, "documents").select(
-        "doc_id", "source", "lang", F.expr(MESSY_SQL).alias("text")
-    )
+    docs = documents(spark, folder, "doc_id", "source", "lang", "text")
+    return docs.select("doc_id", "source", "lang", F.expr(MESSY_SQL).alias("text"))
 
 
 OUTLET_LIST = tuple(K.OUTLETS)
