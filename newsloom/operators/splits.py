@@ -137,8 +137,8 @@ def group_folds(
     """(source, fold): a source is in one fold, classes spread evenly.
 
     The ``head`` largest sources are placed greedily on the driver, which sees
-    one row per source and class for them and nothing else.  Smaller sources
-    beyond them, if any, are dealt out in Spark in size order, so every source
+    one row per source and class for them and nothing else.  The many smaller
+    sources beyond them, if any, are dealt out in Spark by hash, so every source
     gets a fold however many there are.
     """
     spark = df.sparkSession
@@ -156,11 +156,8 @@ def group_folds(
     if len(top) <= head:
         return heads
     tail = sized.join(F.broadcast(heads), "source", "left_anti")
-    dealt = F.pmod(
-        F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("source"), F.lit(256))).orderBy(F.desc("size"), "source")),
-        F.lit(n_folds),
-    )
-    return heads.unionByName(tail.select("source", dealt.cast("int").alias("fold")))
+    dealt = F.pmod(F.xxhash64("source"), F.lit(n_folds)).cast("int")
+    return heads.unionByName(tail.select("source", dealt.alias("fold")))
 
 
 def assign_group_folds(df: DataFrame, folds: DataFrame, source_col: str) -> DataFrame:
