@@ -1,19 +1,19 @@
 """Cross-validation, held-out test and the experiment loop.
 
 What a text alone determines is computed once per experiment and persisted;
-folds only filter that table.  Folds are submitted from a few threads, so the
-cluster works on several fits at once.  All metrics come from one prediction
+folds only filter that table.  Small folds are submitted from several threads,
+so that the cluster works on several fits at once.  All metrics come from one prediction
 table by grouped aggregates.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom import constants as K
@@ -32,6 +32,20 @@ def with_folds(df: DataFrame, id_col: str, grouped: bool, source_col: str = "sou
     return df.join(splits.stratified_folds(df, id_col, "label").drop("label"), id_col)
 
 
+def _at_once(spark: SparkSession, work: Callable, items: list, n: int) -> list:
+    """Submit jobs for several items from ``n`` threads."""
+    with ThreadPoolExecutor(n) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(work), items))
+
+
+def _folds_at_once(df: DataFrame, n_rows: int) -> int:
+    """As many folds as leave each a core per partition; one for large data,
+    where a single fold fills the cluster and its cache."""
+    parts = max(1, min(df.rdd.getNumPartitions(), -(-n_rows // models.ROWS_PER_TASK)))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(K.N_FOLDS, cores // parts))
+
+
 def _one_fold(
     name: str,
     stage: str,
@@ -51,18 +65,20 @@ def _one_fold(
         StorageLevel.MEMORY_AND_DISK
     )
     test_x = apply(test)
-    parts = [
-        models.fit_predict(c, train_x, test_x, n_train, id_col).select(
+    train_x.count()  # fill the cache once, before both fits read it
+
+    def predicted(classifier: str) -> DataFrame:
+        return models.fit_predict(classifier, train_x, test_x, n_train, id_col).select(
             F.lit(name).alias("model"),
             F.lit(stage).alias("stage"),
-            F.lit(c).alias("classifier"),
+            F.lit(classifier).alias("classifier"),
             F.lit(fold).alias("fold"),
             id_col,
             "label",
             "prediction",
         )
-        for c in classifiers
-    ]
+
+    parts = _at_once(prepared.sparkSession, predicted, list(classifiers), 2)
     train_x.unpersist()
     return reduce(DataFrame.unionByName, parts)
 
@@ -74,22 +90,22 @@ def cross_validate(
     id_col: str,
     grouped: bool = False,
     classifiers: Iterable[str] = tuple(models.MODELS),
-    parallelism: int = 3,
+    parallelism: int | None = None,
 ) -> DataFrame:
     """Out-of-fold predictions of every training row."""
     source = ["source"] if "source" in df.columns else []
     prepared = (
         with_folds(features.prepare(df.select(id_col, "text", "label", *source), id_col), id_col, grouped)
     ).persist(StorageLevel.MEMORY_AND_DISK)
-    spark = df.sparkSession
+    n_rows = prepared.count()
 
     def run(fold: int) -> DataFrame:
         return _one_fold(
             name, "CV", fold, prepared, F.col("fold") == fold, features, id_col, classifiers
         )
 
-    with ThreadPoolExecutor(parallelism) as pool:
-        parts = list(pool.map(inheritable_thread_target(spark)(run), range(K.N_FOLDS)))
+    at_once = parallelism or _folds_at_once(prepared, n_rows)
+    parts = _at_once(df.sparkSession, run, list(range(K.N_FOLDS)), at_once)
     return reduce(DataFrame.unionByName, parts)
 
 
