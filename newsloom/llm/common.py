@@ -94,3 +94,35 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = new
     moved = label != np.arange(len(nodes))
     return nodes[moved], nodes[label[moved]]
+
+
+class Ordered:
+    """Rows dealt to partitions by ascending id, without moving anything yet.
+
+    ``parts`` ranges start at ids of the table (quantiles of the id column alone);
+    ``part_of`` gives the range of a row, ``starts`` whether its id starts one.
+    A null id comes first.
+    """
+
+    def __init__(self, df: DataFrame, id_column: str):
+        number = F.coalesce(F.col(id_column).cast("double"), F.lit(float("-inf")))
+        wanted = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        ids = df.select(F.coalesce(F.col(id_column).cast("double"), F.lit(-1e308)).alias("id"))
+        cuts = ids.approxQuantile("id", [k / wanted for k in range(wanted)], 1 / (8 * wanted))
+        least = ids.agg(F.min("id")).first()[0]
+        self.cuts = sorted({c for c in [least, *cuts] if c is not None})
+        self.parts = max(1, len(self.cuts))
+        self.number = F.greatest(number, F.lit(-1e308))
+
+    def part_of(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``part`` (int) and ``starts`` (boolean)."""
+        from pyspark.ml.feature import Bucketizer
+
+        if len(self.cuts) < 2:
+            return df.withColumn("part", F.lit(0)).withColumn("starts", F.lit(True))
+        splits = [-float("inf"), *self.cuts[1:], float("inf")]
+        numbered = df.withColumn("__number", self.number)
+        dealt = Bucketizer(splits=splits, inputCol="__number", outputCol="__part", handleInvalid="keep").transform(numbered)
+        cuts = F.array(*[F.lit(c) for c in self.cuts])
+        dealt = dealt.withColumn("part", F.col("__part").cast("int"))
+        return dealt.withColumn("starts", F.element_at(cuts, F.col("part") + 1) == F.col("__number")).drop("__number", "__part")

@@ -6,13 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import mixing, quality, secret_scan, simhash_dedup, toxicity
+from newsloom.llm import (
+    mixing,
+    order_minhash,
+    packing,
+    quality,
+    secret_scan,
+    simhash_dedup,
+    token_files,
+    toxicity,
+)
 from newsloom.llm.common import table
+from newsloom.sources.scratch import scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def tokenizer_file(name: str) -> str:
+    """Place of a public tokenizer file; the package must be on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(function):
     QUERIES[function.__name__] = function
     return function
@@ -41,3 +58,20 @@ def op6_hypergeometric_mix(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_secret_lexing(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.secrets(table(spark, folder, "documents"))
+
+
+@query
+def op2_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return order_minhash.fingerprints(table(spark, folder, "documents"))
+
+
+@query
+def op7_residual_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+@query
+def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    place = scratch_folder(spark, "token-files")
+    token_files.write(table(spark, folder, "documents"), place, tokenizer_file("byte_bpe_50k.json"))
+    return token_files.read(spark, place)
