@@ -53,17 +53,17 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(start, rows)
 
 
-def tiled(rows: DataFrame, keys: list[str], member: str, limit: int, name: str) -> DataFrame:
+def tiled(rows: DataFrame, keys: list[str], member: str, limit: int, name: str, counted: DataFrame | None = None) -> DataFrame:
     """Split the groups of ``keys`` that hold more than ``limit`` rows.
 
     Such a group is cut into m chunks by a hash of ``member``; a row goes to the
     m tiles (lo, hi) that hold its chunk, so that any two rows of the group meet
     in exactly one tile if their chunks differ, and in tile (c, c) otherwise.
     Adds ``chunk``, ``lo``, ``hi``; no group of (keys, lo, hi) holds more than
-    about ``2 * limit`` rows.
+    about ``2 * limit`` rows. ``counted``: the same rows, their keys alone.
     """
     hot = saved(
-        rows.groupBy(*keys).count().filter(F.col("count") > limit)
+        (counted or rows).groupBy(*keys).count().filter(F.col("count") > limit)
         .select(*keys, F.ceil(F.col("count") / limit).cast("int").alias("chunks")),
         name,
     )

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from newsloom.llm import (
+    embedding_dedup,
+    license_scan,
     mixing,
     order_minhash,
     packing,
@@ -75,3 +77,13 @@ def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
     place = scratch_folder(spark, "token-files")
     token_files.write(table(spark, folder, "documents"), place, tokenizer_file("byte_bpe_50k.json"))
     return token_files.read(spark, place)
+
+
+@query
+def op3_subspace_pigeonhole(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
+
+
+@query
+def op9_license_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.licenses(table(spark, folder, "documents"))
