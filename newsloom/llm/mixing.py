@@ -225,7 +225,7 @@ def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     out = dealt.withColumn("__shard", shard.cast("int")).withColumn(
         "__order", F.xxhash64(F.lit(seed), "__shard", mix["h"], "__pass")
     ).select(*docs.columns, "__shard", "__words", "__order")
-    return out.repartition("__shard").sortWithinPartitions("__shard", "__order")
+    return out.repartitionById(shards, F.col("__shard")).sortWithinPartitions("__shard", "__order")
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:

@@ -30,12 +30,16 @@ LOOK_ALIKE = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou",
 }
-#: Channel costs in nats: a look-alike, a repeat that is dropped, a mark that is dropped.
-SWAP, REPEAT, DROP, APART = 1.0, 0.4, 3.0, 0.3
-_APART = " .-_*~'/\\,"
+#: Channel costs in nats: a look-alike, a repeat that is dropped, a mark that is
+#: dropped though it may stand for a letter, any other mark, a mark that sets apart;
+#: a star read as a vowel, a letter that is dropped from a double one.
+SWAP, REPEAT, DROP, NOISE, APART = 0.7, 0.4, 10.0, 2.0, 0.3
+STAR, TWICE = 2.5, 3.0
+_APART = " .-_~'/\\,"
 _SIZE = 27
 _WORD_MARKS = ".,;:!?\"'()[]{}<>«»„“”‚‘’…–—-_*#%&/\\=~^`|"
 _THRICE = re.compile(r"([^\W\d_])\1\1")
+_THRICE_RUN = re.compile(r"([^\W\d_])\1{2,}")
 _CACHE_WORDS = 150_000
 
 
@@ -84,16 +88,17 @@ def viterbi(span: str, costs: list[float]) -> str:
     """The likeliest letters behind ``span`` (lower case)."""
     states = {(0, 0): (0.0, None)}
     last = ""
-    for ch in span:
+    long_runs = {k for m in _THRICE_RUN.finditer(span) for k in range(m.start() + 1, m.end())}
+    for place, ch in enumerate(span):
         own = _symbol(ch)
         paths = [(own, ch, 0.0)] if own else []
-        paths += [(ord(x) - 96, x, SWAP) for x in LOOK_ALIKE.get(ch, "")]
+        paths += [(ord(x) - 96, x, STAR if ch == "*" else SWAP) for x in LOOK_ALIKE.get(ch, "")]
         if ch in _APART:
             skip = APART
         elif own:
-            skip = REPEAT if ch == last else None
+            skip = None if ch != last else REPEAT if place in long_runs else TWICE
         else:
-            skip = DROP
+            skip = DROP if ch in LOOK_ALIKE and ch != "*" else NOISE
         new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (cost, back) in states.items():
             if skip is not None and cost + skip < new.get((a, b), (np.inf,))[0]:
