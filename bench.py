@@ -40,6 +40,11 @@ HEADLINE = (
     "page_links",
     "pages_parsed",
     "test_results",
+    "cv_folds",
+    "cv_folds_grouped",
+    "experiment_results",
+    "nmf_topics",
+    "full_features",
 )
 
 
@@ -54,6 +59,7 @@ def main() -> None:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
+        .config("newsloom.input.partitions", cpus)  # the given tables are single files
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

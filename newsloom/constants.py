@@ -26,7 +26,7 @@ LR_C = 1.0
 LR_MAX_ITER = 2000
 SVC_C = 0.5
 SVC_MAX_ITER = 20000
-MODEL_TOL = 1e-3
+MODEL_TOL = 1e-6
 
 MIN_TEXT_RATIO = 0.1
 MIN_SAMPLES = 10

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from newsloom import constants as K
 from newsloom.features import embeddings, linguistic, nmf, scaling, sentiment, tfidf
-from newsloom.operators.models import packed
 
 Apply = Callable[[DataFrame], DataFrame]
 EXTRA_COLUMNS = linguistic.POS_COLUMNS + sentiment.SENTIMENT_COLUMNS + linguistic.READABILITY_COLUMNS
@@ -42,7 +41,7 @@ def _fit_tfidf(train: DataFrame, id_col: str, n_train: int) -> Apply:
 def with_extra_columns(df: DataFrame, id_col: str) -> DataFrame:
     """POS ratios, sentiment and readability of each text."""
     scored = linguistic.with_readability(linguistic.with_pos_ratios(df))
-    return scored.join(sentiment.lexicon_sentiment(df, id_col), id_col)
+    return sentiment.with_sentiment(scored, "text", max_chars=None)
 
 
 def _prepare_full(df: DataFrame, id_col: str) -> DataFrame:
@@ -63,14 +62,12 @@ def _fit_full(train: DataFrame, id_col: str, n_train: int) -> Apply:
 def fit_tfidf_nmf(max_iter: int = K.NMF_MAX_ITER, k: int = K.NMF_COMPONENTS):
     def fit(train: DataFrame, id_col: str, n_train: int) -> Apply:
         model = tfidf.fit(train, n_train)
-        vectors = packed(model.transform(train, "tfidf").select(id_col, "tfidf"), n_train).persist()
+        vectors = model.transform(train, "tfidf").select(id_col, "tfidf").persist()
         topics = nmf.fit(vectors, id_col, "tfidf", len(model.terms), k=k, max_iter=max_iter)
         vectors.unpersist()
 
         def apply(df: DataFrame) -> DataFrame:
-            with_tfidf = model.transform(df, "tfidf")
-            weights = topics.transform(with_tfidf, id_col)
-            return scaling.assemble(with_tfidf.join(weights, id_col), ["tfidf", "topics"])
+            return scaling.assemble(topics.with_weights(model.transform(df, "tfidf")), ["tfidf", "topics"])
 
         return apply
 
@@ -79,9 +76,8 @@ def fit_tfidf_nmf(max_iter: int = K.NMF_MAX_ITER, k: int = K.NMF_COMPONENTS):
 
 def _prepare_embeddings(chunked: bool):
     def prepare(df: DataFrame, id_col: str) -> DataFrame:
-        vectors = embeddings.document_embeddings(df, id_col, chunked=chunked)
-        dense = vectors.select(id_col, array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-        return df.drop("text").join(dense, id_col)
+        vectors = df.withColumn("features", array_to_vector(embeddings.embedding("text", chunked=chunked)))
+        return vectors.drop("text")
 
     return prepare
 

@@ -14,7 +14,7 @@ from math import log
 
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom import constants as K
@@ -56,12 +56,20 @@ class Limits:
 def vocabulary(
     frequencies: DataFrame, limits: Limits, max_features: int = K.TFIDF_MAX_FEATURES
 ) -> DataFrame:
-    """The most frequent admissible terms; ties are settled by the term."""
-    return (
-        frequencies.where(F.col("df").between(limits.min_df, limits.max_df))
-        .orderBy(F.desc("tf"), "term")
-        .limit(max_features)
-    )
+    """The most frequent admissible terms; ties are settled by the term.
+
+    Terms are counted per frequency; that small table says at which frequency the
+    list is full.  Terms above it are all in, and only those of exactly that
+    frequency are put in order for the places that are left.
+    """
+    fit = frequencies.where(F.col("df").between(limits.min_df, limits.max_df))
+    higher = Window.orderBy(F.desc("tf")).rowsBetween(Window.unboundedPreceding, -1)
+    per = fit.groupBy("tf").agg(F.count(F.lit(1)).alias("n")).withColumn("above", F.coalesce(F.sum("n").over(higher), F.lit(0)))
+    cut = per.where((F.col("above") < max_features) & (F.col("above") + F.col("n") > max_features)).first()
+    if cut is None:  # everything fits
+        return fit
+    tied = fit.where(F.col("tf") == cut["tf"]).orderBy("term").limit(max_features - cut["above"])
+    return fit.where(F.col("tf") > cut["tf"]).unionByName(tied)
 
 
 def idf(n_docs: int, df: Column) -> Column:

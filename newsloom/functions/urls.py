@@ -68,12 +68,31 @@ def resolve(href: Column | str, base_url: Column | str) -> Column:
     return (
         F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), h)
         .when(F.startswith(h, F.lit("//")), F.concat(scheme(base), F.lit(":"), h))
-        .when(F.startswith(h, F.lit("/")), F.concat(origin, h))
+        .when(F.startswith(h, F.lit("/")), F.concat(origin, without_dots(h)))
         .when(F.startswith(h, F.lit("?")), F.concat(origin, path(base), h))
-        .otherwise(F.concat(origin, folder, h))
+        .otherwise(F.concat(origin, without_dots(F.concat(folder, h))))
     )
 
 
+def without_dots(place: Column) -> Column:
+    """A path (query and fragment kept) with its ``.`` and ``..`` segments followed."""
+    rest = F.regexp_extract(place, r"([?#].*)$", 1)
+    segments = F.split(F.regexp_extract(place, r"^([^?#]*)", 1), "/")
+
+    def step(done: Column, s: Column) -> Column:
+        return (
+            F.when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1))))
+            .when(s == ".", done)
+            .otherwise(F.concat(done, F.array(s)))
+        )
+
+    # the first segment is the empty one before the leading slash; it always stays
+    walked = F.aggregate(F.slice(segments, 2, 1 << 30), F.array(F.lit("")), step)
+    last = F.element_at(segments, -1)
+    closed = F.when(last.isin(".", ".."), F.concat(walked, F.array(F.lit("")))).otherwise(walked)
+    return F.when(F.contains(place, F.lit("/.")), F.concat(F.array_join(closed, "/"), rest)).otherwise(place)
+
+
 def is_followable(href: Column | str) -> Column:
     """A link that leads to a page."""
     return (_col(href) != "") & ~starts_with_any(href, K.NON_PAGE_PREFIXES)

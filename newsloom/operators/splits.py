@@ -15,13 +15,24 @@ from pyspark.sql import functions as F
 from newsloom import constants as K
 from newsloom.operators.schema import _q
 
-HEAD_SOURCES = 10_000
-
 
 def shuffle_key(id_col: str, seed: int = K.SEED) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), _q(id_col).cast("string")))
 
 
+def _keyed(df: DataFrame, id_col: str, label_col: str, seed: int, digits: int) -> DataFrame:
+    return (
+        df.select(_q(id_col).alias(id_col), _q(label_col).alias(label_col))
+        .withColumn("_key", shuffle_key(id_col, seed))
+        .withColumn("_bucket", F.substring("_key", 1, digits))
+    )
+
+
+def _buckets(keyed: DataFrame, label_col: str) -> DataFrame:
+    """Rows per class and digest bucket; the plan's exchange serves ranks and quotas."""
+    return keyed.groupBy(label_col, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+
+
 def ranked(
     df: DataFrame, id_col: str, label_col: str, seed: int = K.SEED, bucket_digits: int = 3
 ) -> DataFrame:
@@ -30,12 +41,8 @@ def ranked(
 
     The bucket table has at most ``16 ** bucket_digits`` rows per class.
     """
-    keyed = (
-        df.select(_q(id_col).alias(id_col), _q(label_col).alias(label_col))
-        .withColumn("_key", shuffle_key(id_col, seed))
-        .withColumn("_bucket", F.substring("_key", 1, bucket_digits))
-    )
-    sizes = keyed.groupBy(label_col, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    keyed = _keyed(df, id_col, label_col, seed, bucket_digits)
+    sizes = _buckets(keyed, label_col)
     earlier = Window.orderBy(label_col, "_bucket").rowsBetween(Window.unboundedPreceding, -1)
     of_class = Window.partitionBy(label_col)
     table = (
@@ -77,7 +84,7 @@ def train_test_split(
     """(id, label, is_test): ``ceil(share * n)`` test rows, shared out to the
     classes by largest remainder (ties to the smaller label)."""
     r = ranked(df, id_col, label_col, seed)
-    classes = df.groupBy(_q(label_col).alias(label_col)).agg(F.count(F.lit(1)).alias("_n"))
+    classes = _buckets(_keyed(df, id_col, label_col, seed, 3), label_col).groupBy(label_col).agg(F.sum("_n").alias("_n"))
     everything, by_rest = Window.partitionBy(F.lit(0)), Window.orderBy(F.desc("_rest"), label_col)
     quotas = (
         classes.withColumn("_total", F.sum("_n").over(everything))
@@ -96,68 +103,35 @@ def train_test_split(
     )
 
 
-def _greedy(groups: list[tuple[str, list[int]]], n_folds: int) -> dict[str, int]:
-    """Put each group, largest class spread first, where the folds' class
-    shares stay most even."""
-    n_classes = len(groups[0][1]) if groups else 0
-    totals = [max(sum(g[1][c] for g in groups), 1) for c in range(n_classes)]
-    load = [[0.0] * n_classes for _ in range(n_folds)]
-
-    def spread(values: list[float]) -> float:
-        mean = sum(values) / len(values)
-        return (sum((v - mean) ** 2 for v in values) / len(values)) ** 0.5
-
-    placed: dict[str, int] = {}
-    for name, counts in sorted(groups, key=lambda g: (-spread(list(map(float, g[1]))), g[0])):
-        best = None
-        for f in range(n_folds):
-            uneven = sum(
-                spread(
-                    [(load[i][c] + (counts[c] if i == f else 0)) / totals[c] for i in range(n_folds)]
-                )
-                for c in range(n_classes)
-            )
-            score = (round(uneven, 12), sum(load[f]), f)
-            if best is None or score < best[0]:
-                best = (score, f)
-        fold = best[1]
-        placed[name] = fold
-        for c in range(n_classes):
-            load[fold][c] += counts[c]
-    return placed
-
-
-def group_folds(
-    df: DataFrame,
-    source_col: str,
-    label_col: str,
-    n_folds: int = K.N_FOLDS,
-    head: int = HEAD_SOURCES,
-) -> DataFrame:
-    """(source, fold): a source is in one fold, classes spread evenly.
+def group_folds(df: DataFrame, source_col: str, label_col: str, n_folds: int = K.N_FOLDS) -> DataFrame:
+    """(source, fold): a source is in one fold, sizes and classes spread evenly.
 
-    The ``head`` largest sources are placed greedily on the driver, which sees
-    one row per source and class for them and nothing else.  The many smaller
-    sources beyond them, if any, are dealt out in Spark by hash, so every source
-    gets a fold however many there are.
+    One rule at every size: sources in order of class spread, then size (largest
+    first), then digest of their name, are dealt to the folds in snake order.
+    Their places come from a table of (spread, size, digest bucket) counts and a
+    rank inside each bucket, so no task sorts all sources.
     """
-    spark = df.sparkSession
-    per = df.groupBy(_q(source_col).alias("source"), _q(label_col).alias("label")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    sized = per.groupBy("source").agg(
-        F.sum("n").alias("size"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "n")))).alias("mix")
+    per = df.groupBy(_q(source_col).alias("source"), _q(label_col).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    classes = per.agg(F.count_distinct("label").alias("_k"))
+    # "spread" is a whole number that orders sources as the deviation of their class counts does
+    sized = per.groupBy("source").agg(F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("_sq"))
+    keyed = (
+        sized.crossJoin(F.broadcast(classes))  # one row
+        .withColumn("spread", F.col("_k") * F.col("_sq") - F.col("size") * F.col("size"))
+        .withColumn("_key", F.md5("source"))
+        .withColumn("_bucket", F.substring("_key", 1, 3))
+        .select("source", "spread", "size", "_key", "_bucket")
     )
-    top = sized.orderBy(F.desc("size"), "source").limit(head + 1).collect()
-    labels = sorted({label for row in top for label in row["mix"]})
-    groups = [(r["source"], [r["mix"].get(c, 0) for c in labels]) for r in top[:head]]
-    placed = _greedy(groups, n_folds)
-    heads = spark.createDataFrame(list(placed.items()), "source string, fold int")
-    if len(top) <= head:
-        return heads
-    tail = sized.join(F.broadcast(heads), "source", "left_anti")
-    dealt = F.pmod(F.xxhash64("source"), F.lit(n_folds)).cast("int")
-    return heads.unionByName(tail.select("source", dealt.alias("fold")))
+    order = [F.desc("spread"), F.desc("size"), F.asc("_bucket")]
+    earlier = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    counts = keyed.groupBy("spread", "size", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    inside = F.row_number().over(Window.partitionBy("spread", "size", "_bucket").orderBy("_key", "source")) - 1
+    placed = keyed.withColumn("_inside", inside).join(starts, ["spread", "size", "_bucket"])
+    place = F.col("_start") + F.col("_inside")
+    turn, at = F.floor(place / F.lit(n_folds)), F.pmod(place, F.lit(n_folds))
+    fold = F.when(F.pmod(turn, F.lit(2)) == 0, at).otherwise(F.lit(n_folds - 1) - at)
+    return placed.select("source", fold.cast("int").alias("fold"))
 
 
 def assign_group_folds(df: DataFrame, folds: DataFrame, source_col: str) -> DataFrame:

@@ -6,12 +6,12 @@ from newsloom import constants as K
 from newsloom.operators import metrics, ranking, splits
 from newsloom.plans import sql as Q
 from newsloom.plans.registry import query
-from newsloom.plans.tables import corpus, table
+from newsloom.plans.tables import labelled_keys, table
 
 
 @query("stratified_folds", f"SELECT doc_id, label, fold FROM {Q.FOLDS}")
 def stratified_folds(spark, sf):
-    return splits.stratified_folds(corpus(spark, sf), "doc_id", "label")
+    return splits.stratified_folds(labelled_keys(spark, sf), "doc_id", "label")
 
 
 _QUOTA = f"""(WITH c AS (SELECT label, count(*) AS n, sum(count(*)) OVER () AS total FROM {Q.CORPUS} GROUP BY 1),
@@ -26,7 +26,7 @@ _QUOTA = f"""(WITH c AS (SELECT label, count(*) AS n, sum(count(*)) OVER () AS t
     f"SELECT doc_id, label, rank_in_class < quota AS is_test FROM {Q.ranked(Q.CORPUS)} r JOIN {_QUOTA} q USING (label)",
 )
 def train_test_split(spark, sf):
-    return splits.train_test_split(corpus(spark, sf), "doc_id", "label")
+    return splits.train_test_split(labelled_keys(spark, sf), "doc_id", "label")
 
 
 @query(
@@ -35,7 +35,7 @@ def train_test_split(spark, sf):
 )
 def group_folds_check(spark, sf):
     """Every row gets a fold, all five are used, no source is in two."""
-    rows = corpus(spark, sf).drop("text")
+    rows = labelled_keys(spark, sf, "source")
     assigned = splits.assign_group_folds(rows, splits.group_folds(rows, "source", "label"), "source")
     per_source = assigned.groupBy("source").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("fold").alias("k"), F.min("fold").alias("fold")
@@ -48,9 +48,47 @@ def group_folds_check(spark, sf):
     )
 
 
-@query("group_folds")
+_GROUPED = f"""(SELECT source, CAST(CASE WHEN (place // 5) % 2 = 0 THEN place % 5 ELSE 4 - place % 5 END AS INT) AS fold FROM
+ (SELECT source, row_number() OVER (ORDER BY k * sq - size * size DESC, size DESC, md5(source), source) - 1 AS place FROM
+  (SELECT source, sum(n) AS size, sum(n * n) AS sq FROM (SELECT source, label, count(*) AS n FROM {Q.CORPUS} GROUP BY ALL) GROUP BY 1),
+  (SELECT count(DISTINCT label) AS k FROM {Q.CORPUS})))"""
+
+
+@query("group_folds", f"SELECT source, fold FROM {_GROUPED}")
 def group_folds(spark, sf):
-    return splits.group_folds(corpus(spark, sf), "source", "label")
+    return splits.group_folds(labelled_keys(spark, sf, "source"), "source", "label")
+
+
+_SIZES = """SELECT CAST(t.fold + 1 AS INT) AS "Fold", count(*) FILTER (f.fold <> t.fold) AS "Train Size", count(*) FILTER (f.fold = t.fold) AS "Test Size",
+ count(*) FILTER (f.fold <> t.fold AND label = 0) AS "Train Left", count(*) FILTER (f.fold <> t.fold AND label = 1) AS "Train Right",
+ count(*) FILTER (f.fold = t.fold AND label = 0) AS "Test Left", count(*) FILTER (f.fold = t.fold AND label = 1) AS "Test Right"
+ FROM {rows} f, (SELECT CAST(unnest(range(5)) AS INT) AS fold) t GROUP BY t.fold"""
+
+
+def _sizes(folded):
+    from newsloom.plans import experiments
+
+    return experiments.fold_rows(
+        folded.select(
+            F.lit("m").alias("model"), F.lit("LR").alias("classifier"), "fold", "label", F.col("label").alias("prediction")
+        )
+    ).drop("Model", "LR Accuracy", "SVC Accuracy")
+
+
+@query("cv_fold_sizes", _SIZES.replace("{rows}", Q.FOLDS))
+def cv_fold_sizes(spark, sf):
+    """Sizes and class counts of both sides of each fold."""
+    return _sizes(splits.stratified_folds(labelled_keys(spark, sf), "doc_id", "label"))
+
+
+@query(
+    "cv_fold_sizes_grouped",
+    _SIZES.replace("{rows}", f"(SELECT g.fold, c.label FROM {Q.CORPUS} c JOIN {_GROUPED} g ON c.source = g.source)"),
+)
+def cv_fold_sizes_grouped(spark, sf):
+    from newsloom.plans import experiments
+
+    return _sizes(experiments.with_folds(labelled_keys(spark, sf, "source"), "doc_id", grouped=True))
 
 
 # A prediction table over all labelled documents: two models, two classifiers.
@@ -67,7 +105,7 @@ def _predictions(spark, sf, stage="CV"):
             ]
         )
     )
-    rows = splits.stratified_folds(corpus(spark, sf), "doc_id", "label")
+    rows = splits.stratified_folds(labelled_keys(spark, sf), "doc_id", "label")
     wrong = F.pmod("doc_id", F.col("_k")) == 0
     return (
         rows.select("*", setups)
@@ -167,11 +205,11 @@ def summary_text(spark, sf):
     f"SELECT fold, count(*) FILTER (label = 0) AS n_left, count(*) FILTER (label = 1) AS n_right FROM {Q.FOLDS} GROUP BY 1",
 )
 def fold_class_counts(spark, sf):
-    return metrics.class_counts(splits.stratified_folds(corpus(spark, sf), "doc_id", "label"), "fold")
+    return metrics.class_counts(splits.stratified_folds(labelled_keys(spark, sf), "doc_id", "label"), "fold")
 
 
 def _folded(spark, sf):
-    rows = corpus(spark, sf).select("doc_id", "label", "source")
+    rows = labelled_keys(spark, sf, "source")
     return rows.join(splits.stratified_folds(rows, "doc_id", "label").drop("label"), "doc_id")
 
 

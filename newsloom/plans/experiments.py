@@ -1,9 +1,9 @@
 """Cross-validation, held-out test and the experiment loop.
 
-What a text alone determines is computed once per experiment and persisted;
-folds only filter that table.  Small folds are submitted from several threads,
-so that the cluster works on several fits at once.  All metrics come from one prediction
-table by grouped aggregates.
+Membership in folds is decided on ids and classes alone and joined to the texts
+once; what a text alone determines is computed once per experiment.  Predictions
+are written as they are made, so a result never trains or scores again, and every
+cache is let go when its experiment ends.
 """
 
 from __future__ import annotations
@@ -19,8 +19,11 @@ from pyspark.sql import functions as F
 from newsloom import constants as K
 from newsloom.features.registry import FEATURE_SETS, FeatureSet
 from newsloom.operators import metrics, models, splits
+from newsloom.sources.scratch import stored
 
 PREDICTION_COLUMNS = ("model", "stage", "classifier", "fold", "label", "prediction")
+#: Folds whose jobs are submitted together.
+FOLDS_AT_ONCE = 2
 
 
 def with_folds(df: DataFrame, id_col: str, grouped: bool, source_col: str = "source") -> DataFrame:
@@ -38,14 +41,6 @@ def _at_once(spark: SparkSession, work: Callable, items: list, n: int) -> list:
         return list(pool.map(inheritable_thread_target(spark)(work), items))
 
 
-def _folds_at_once(df: DataFrame, n_rows: int) -> int:
-    """As many folds as leave each a core per partition; one for large data,
-    where a single fold fills the cluster and its cache."""
-    parts = max(1, min(df.rdd.getNumPartitions(), -(-n_rows // models.ROWS_PER_TASK)))
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return max(1, min(K.N_FOLDS, cores // parts))
-
-
 def _one_fold(
     name: str,
     stage: str,
@@ -61,10 +56,8 @@ def _one_fold(
     if n_train == 0:
         raise ValueError("Input text collection is empty.")
     apply = features.fit(train, id_col, n_train)
-    train_x = models.packed(apply(train).select("label", "features"), n_train).persist(
-        StorageLevel.MEMORY_AND_DISK
-    )
-    test_x = apply(test)
+    train_x = apply(train).select("label", "features").persist(StorageLevel.MEMORY_AND_DISK)
+    test_x = apply(test).select(id_col, "label", "features").persist(StorageLevel.MEMORY_AND_DISK)
     train_x.count()  # fill the cache once, before both fits read it
 
     def predicted(classifier: str) -> DataFrame:
@@ -79,8 +72,10 @@ def _one_fold(
         )
 
     parts = _at_once(prepared.sparkSession, predicted, list(classifiers), 2)
+    out = stored(reduce(DataFrame.unionByName, parts), "predictions")
     train_x.unpersist()
-    return reduce(DataFrame.unionByName, parts)
+    test_x.unpersist()
+    return out
 
 
 def cross_validate(
@@ -90,22 +85,23 @@ def cross_validate(
     id_col: str,
     grouped: bool = False,
     classifiers: Iterable[str] = tuple(models.MODELS),
-    parallelism: int | None = None,
+    parallelism: int = FOLDS_AT_ONCE,
 ) -> DataFrame:
     """Out-of-fold predictions of every training row."""
     source = ["source"] if "source" in df.columns else []
-    prepared = (
-        with_folds(features.prepare(df.select(id_col, "text", "label", *source), id_col), id_col, grouped)
-    ).persist(StorageLevel.MEMORY_AND_DISK)
-    n_rows = prepared.count()
+    slim = df.select(id_col, "label", *source).persist(StorageLevel.MEMORY_AND_DISK)
+    folds = with_folds(slim, id_col, grouped).select(id_col, "label", "fold")
+    texts = df.select(id_col, "text").join(folds, id_col)
+    prepared = features.prepare(texts, id_col).persist(StorageLevel.MEMORY_AND_DISK)
 
     def run(fold: int) -> DataFrame:
         return _one_fold(
             name, "CV", fold, prepared, F.col("fold") == fold, features, id_col, classifiers
         )
 
-    at_once = parallelism or _folds_at_once(prepared, n_rows)
-    parts = _at_once(df.sparkSession, run, list(range(K.N_FOLDS)), at_once)
+    parts = _at_once(df.sparkSession, run, list(range(K.N_FOLDS)), parallelism)
+    prepared.unpersist()
+    slim.unpersist()
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -120,7 +116,15 @@ def held_out(
     prepared = features.prepare(df.select(id_col, "text", "label", "is_test"), id_col).persist(
         StorageLevel.MEMORY_AND_DISK
     )
-    return _one_fold(name, "TEST", 0, prepared, F.col("is_test"), features, id_col, classifiers)
+    out = _one_fold(name, "TEST", 0, prepared, F.col("is_test"), features, id_col, classifiers)
+    prepared.unpersist()
+    return out
+
+
+def marked_for_test(texts: DataFrame, keys: DataFrame, id_col: str) -> DataFrame:
+    """Texts with label and ``is_test``; the split is made on the keys (id, label)
+    and joined to the texts once."""
+    return texts.select(id_col, "text").join(splits.train_test_split(keys, id_col, "label"), id_col)
 
 
 def fold_rows(predictions: DataFrame) -> DataFrame:
@@ -180,8 +184,11 @@ def run_experiments(
 ) -> DataFrame:
     """Predictions of all experiments: folds over the training rows, then the
     held-out rows.  ``corpus`` holds id, text, label and, if grouped, source."""
-    split = splits.train_test_split(corpus, id_col, "label").drop("label")
-    marked = corpus.join(split, id_col)
+    keys = corpus.select(id_col, "label", *(["source"] if grouped else [])).persist(StorageLevel.MEMORY_AND_DISK)
+    split = splits.train_test_split(keys, id_col, "label")
+    if grouped:
+        split = split.join(keys.select(id_col, "source"), id_col)
+    marked = corpus.select(id_col, "text").join(split, id_col)
     parts = []
     for name, which in experiments:
         features = FEATURE_SETS[which] if isinstance(which, str) else which
@@ -189,4 +196,5 @@ def run_experiments(
         parts.append(cross_validate(train, name, features, id_col, grouped))
         if held_out_split:
             parts.append(held_out(marked, name, features, id_col))
+    keys.unpersist()
     return reduce(DataFrame.unionByName, parts)

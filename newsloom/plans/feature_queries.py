@@ -5,12 +5,13 @@ from pyspark.sql import functions as F
 
 from newsloom import constants as K
 from newsloom.features import embeddings, linguistic, nmf, scaling, sentiment, tfidf
-from newsloom.features.registry import FEATURE_SETS, with_extra_columns
+from newsloom.features.registry import EXTRA_COLUMNS, FEATURE_SETS, with_extra_columns
 from newsloom.functions import text as X
 from newsloom.operators import splits
 from newsloom.plans import sql as Q
 from newsloom.plans.registry import query
-from newsloom.plans.tables import corpus, documents, table
+from newsloom.plans.tables import corpus, documents, labelled_keys, table
+from newsloom.sources.scratch import stored
 
 _STOPPED = f"list_filter({Q.tokens('text')}, lambda t: t NOT IN ({Q.strings(K.STOP_WORDS)}))"
 _TERMS = "list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))"
@@ -24,9 +25,8 @@ _VOCAB = f"""(SELECT term, CAST(sum(n) AS BIGINT) AS tf, count(*) AS df FROM {_C
 
 
 def _folded_terms(spark, sf):
-    rows = corpus(spark, sf)
-    folds = splits.stratified_folds(rows, "doc_id", "label").drop("label")
-    return tfidf.with_terms(rows).drop("text", "source").join(folds, "doc_id")
+    folds = splits.stratified_folds(labelled_keys(spark, sf), "doc_id", "label")
+    return tfidf.with_terms(documents(spark, sf).join(folds, "doc_id")).drop("text")
 
 
 def _train_terms(spark, sf):
@@ -63,17 +63,21 @@ def tfidf_df_idf(spark, sf):
 )
 def tfidf_weights(spark, sf):
     """Weights of all rows under the vocabulary of the training folds."""
-    rows = _folded_terms(spark, sf)
+    rows = stored(_folded_terms(spark, sf), "terms")  # read by the fit and again below
     model = tfidf.fit(rows.where("fold <> 0"))
     out = tfidf.long_form(model.transform(rows), model, "doc_id")
     return out.withColumn("weight", F.round("weight", 6))
 
 
 def _topics(spark, sf):
-    train = tfidf.with_terms(corpus(spark, sf)).drop("text").persist()
-    model = tfidf.fit(train)
-    vectors = model.transform(train).select("doc_id", "tfidf").persist()
-    return model, vectors, nmf.fit(vectors, "doc_id", "tfidf", len(model.terms))
+    """Topics of all documents: vocabulary, vectors (stored), fitted topics."""
+    rows = tfidf.with_terms(documents(spark, sf)).drop("text").persist()
+    model = tfidf.fit(rows)
+    vectors = stored(model.transform(rows).select("doc_id", "tfidf"), "vectors").persist()
+    rows.unpersist()
+    topics = nmf.fit(vectors, "doc_id", "tfidf", len(model.terms))
+    vectors.unpersist()
+    return model, vectors, topics
 
 
 @query("nmf_topics")
@@ -90,6 +94,22 @@ def nmf_top_terms(spark, sf):
     return spark.createDataFrame(rows, "topic int, place int, term string, weight double")
 
 
+@query("nmf_check", "SELECT TRUE AS nonnegative, TRUE AS loss_never_rises, TRUE AS stationary_or_at_limit")
+def nmf_check(spark, sf):
+    """What every solution must satisfy, whatever the start."""
+    _, vectors, topics = _topics(spark, sf)
+    falls = all(b <= a * (1 + 1e-9) for a, b in zip(topics.losses, topics.losses[1:]))
+    still = topics.gradients[-1] <= 1e-4 * topics.gradients[0] or len(topics.losses) == K.NMF_MAX_ITER
+    weights = vector_to_array("topics")
+    return topics.transform(vectors, "doc_id").agg(
+        (F.min(F.array_min(weights)) >= 0).alias("_w")
+    ).select(
+        (F.col("_w") & F.lit(bool((topics.topics >= 0).all()))).alias("nonnegative"),
+        F.lit(falls).alias("loss_never_rises"),
+        F.lit(bool(still)).alias("stationary_or_at_limit"),
+    )
+
+
 # --- linguistic ------------------------------------------------------------------------
 
 _MARKS = f"regexp_extract_all(lower({Q.strip('text')}), '{linguistic.TOKEN_OR_MARK.replace(chr(39), chr(39) * 2)}')"
@@ -122,15 +142,15 @@ _READ_COUNTS = """(SELECT doc_id, len(w) AS words, coalesce(list_sum(sy), 0) AS
  FROM (SELECT doc_id, s, regexp_extract_all(lower(s), '[\\p{L}\\p{N}_]+(?:[''’][\\p{L}]+)?') AS w FROM (SELECT doc_id, """ + Q.strip("text") + """ AS s FROM documents))))"""
 
 
-@query(
-    "readability",
-    f"""SELECT doc_id, round(206.835 - 1.015 * (words / sent) - 84.6 * (syl / words), 6) AS flesch_ease,
+_READ_SQL = f"""SELECT doc_id, round(206.835 - 1.015 * (words / sent) - 84.6 * (syl / words), 6) AS flesch_ease,
  round(0.39 * (words / sent) + 11.8 * (syl / words) - 15.59, 6) AS flesch_kincaid,
  round(0.4 * (words / sent + 100.0 * long_words / words), 6) AS gunning_fog,
  round(CASE WHEN sent >= 3 THEN 1.043 * sqrt(long_words * 30.0 / sent) + 3.1291 ELSE 0 END, 6) AS smog,
  round(4.71 * (letters / words) + 0.5 * (words / sent) - 21.43, 6) AS automated_readability,
- round(words / sent, 6) AS words_per_sentence FROM {_READ_COUNTS} WHERE words > 0""",
-)
+ round(words / sent, 6) AS words_per_sentence FROM {_READ_COUNTS} WHERE words > 0"""
+
+
+@query("readability", _READ_SQL)
 def readability(spark, sf):
     out = linguistic.with_readability(documents(spark, sf))
     out = out.where(X.word_count("text") > 0).drop("text")
@@ -226,10 +246,20 @@ def scaled_features(spark, sf):
     return scaling.scale(rows, scaler).withColumns({c: F.round(c, 6) for c in _SCALED})
 
 
-@query("extra_columns")
+_DEFAULT_LEX = "(SELECT * FROM (VALUES " + ", ".join(f"('{w}', CAST({v} AS DOUBLE))" for w, v in K.DEFAULT_VALENCE.items()) + ") x(token, valence))"
+_POS_SQL = f"SELECT doc_id, {_SHARES}, round(coalesce(count(*) FILTER (t IN ({Q.strings(K.MODALS)})) / nullif(count(*) FILTER (pos <> 'PUNCT'), 0), 0), 9) AS modal_ratio FROM {_TAGGED} GROUP BY doc_id"
+_EXTRA_SQL = (
+    "SELECT doc_id, " + ", ".join(f"round(coalesce({c}, 0), 6) AS {c}" for c in EXTRA_COLUMNS)
+    + f" FROM documents LEFT JOIN ({_POS_SQL}) p USING (doc_id) LEFT JOIN ({_READ_SQL}) r USING (doc_id) LEFT JOIN ("
+    + _sentiment_sql("text").replace(_LEX, _DEFAULT_LEX) + ") s USING (doc_id)"
+)
+
+
+@query("extra_columns", _EXTRA_SQL)
 def extra_columns(spark, sf):
     docs = documents(spark, sf)
-    return with_extra_columns(docs, "doc_id").drop("text")
+    out = with_extra_columns(docs, "doc_id").drop("text")
+    return out.withColumns({c: F.round(c, 6) for c in EXTRA_COLUMNS})
 
 
 @query("full_features")
@@ -246,14 +276,29 @@ def full_features(spark, sf):
 # --- embeddings ----------------------------------------------------------------------------------
 
 
-@query("doc_embeddings")
+# (doc_id, chunk, dim, v): signed counts of the tokens of each chunk of words
+_CODED = f"""(SELECT doc_id, chunk, chunks, CAST(code % {K.EMBEDDING_DIM} AS INT) AS dim, CAST(sum(CASE WHEN code >= 2147483648 THEN -1 ELSE 1 END) AS DOUBLE) AS v
+ FROM (SELECT doc_id, chunk, chunks, CAST('0x' || substr(md5(token), 1, 8) AS BIGINT) AS code FROM
+  (SELECT doc_id, (i - 1) // {{size}} AS chunk, ceil(n / {{size}}) AS chunks, unnest({Q.tokens('w')}) AS token FROM
+   (SELECT doc_id, len(ws) AS n, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT doc_id, {Q.words('text')} AS ws FROM documents)))) GROUP BY ALL)"""
+_EMBEDDED = """SELECT doc_id, dim, value FROM (SELECT doc_id, dim, round(sum(v / norm) / max(chunks), 6) AS value FROM
+ (SELECT *, sqrt(sum(v * v) OVER (PARTITION BY doc_id, chunk)) AS norm FROM {coded}) WHERE norm > 0 GROUP BY doc_id, dim) WHERE value <> 0"""
+
+
+def _places(vectors):
+    """Entries of each vector that are not zero."""
+    long = vectors.select("doc_id", F.posexplode("embedding").alias("dim", "value"))
+    return long.withColumn("value", F.round("value", 6)).where("value <> 0")
+
+
+@query("doc_embeddings", _EMBEDDED.replace("{coded}", _CODED.replace("{size}", "1000000000").replace("ceil(n / 1000000000)", "1")))
 def doc_embeddings(spark, sf):
-    return embeddings.document_embeddings(documents(spark, sf), "doc_id")
+    return _places(embeddings.document_embeddings(documents(spark, sf), "doc_id"))
 
 
-@query("chunk_embeddings")
+@query("chunk_embeddings", _EMBEDDED.replace("{coded}", _CODED.replace("{size}", str(K.CHUNK_WORDS))))
 def chunk_embeddings(spark, sf):
-    return embeddings.document_embeddings(documents(spark, sf), "doc_id", chunked=True)
+    return _places(embeddings.document_embeddings(documents(spark, sf), "doc_id", chunked=True))
 
 
 @query(

@@ -7,14 +7,14 @@ from newsloom.operators import pages as P
 from newsloom.plans import sql as Q
 from newsloom.plans.registry import query
 from newsloom.plans.tables import (
-    OUTLET_MARKUP, RAW_ARTICLES_SQL, corpus, outlet_pages, outlet_sql, raw_articles, spread, table,
+    OUTLET_MARKUP, RAW_ARTICLES_SQL, corpus, outlet_pages, outlet_sql, raw_articles, split_input, table,
 )
 from newsloom.sources import articles as A, html_nodes, sitemaps
 from newsloom.sources.scratch import scratch_folder
 
 
 def _pages(spark, sf):
-    return spread(table(spark, sf, "pages"))
+    return split_input(table(spark, sf, "pages"))
 
 
 # --- files in and out ------------------------------------------------------------------
@@ -38,10 +38,10 @@ def registry_scan(spark, sf):
 
     docs = table(spark, sf, "documents").select("doc_id", "text", outlet_of(SOURCE_NUMBER).alias("o"))
     folder = scratch_folder(spark, "registry")
-    for outlet, path in K.DATASET_FILES.items():
-        docs.where(F.col("o") == outlet).drop("o").write.json(f"{folder}/{path}")
+    docs.write.partitionBy("o").json(folder)
+    files = {outlet: f"o={outlet}" for outlet in K.DATASET_FILES}
     return A.read_registry(
-        spark, folder, schema="doc_id bigint, text string", json_lines=True
+        spark, folder, files, schema="doc_id bigint, text string", json_lines=True
     ).select("doc_id", "registered_outlet", "text")
 
 
@@ -54,7 +54,9 @@ def fulltext_load(spark, sf):
     corpus(spark, sf).select(
         F.col("doc_id").cast("string").alias("id"), F.col("text").alias("body"), "label", "source"
     ).write.json(folder)
-    return A.load_fulltext(spark, folder, json_lines=True)
+    return A.load_fulltext(
+        spark, folder, json_lines=True, schema="id string, body string, label bigint, source string"
+    )
 
 
 @query("results_export", f"SELECT source, CAST(label AS INT) AS label, count(*) AS n FROM {Q.CORPUS} GROUP BY ALL")

@@ -7,7 +7,7 @@ from newsloom.functions import text as X
 from newsloom.operators import filters, profiling, ranking, schema as S
 from newsloom.plans import sql as Q
 from newsloom.plans.registry import query
-from newsloom.plans.tables import RAW_ARTICLES_SQL, SOURCE_NUMBER, corpus, messy, outlet_of, outlet_sql, raw_articles, table
+from newsloom.plans.tables import RAW_ARTICLES_SQL, SOURCE_NUMBER, corpus, documents, messy, outlet_of, outlet_sql, raw_articles, table
 
 _FILLED = f"{Q.strip(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')} <> ''"
 
@@ -70,25 +70,26 @@ def source_summary(spark, sf):
 
 
 _LENGTHS = f"(SELECT doc_id, source, label, {Q.n_words('text')} AS n_words FROM {Q.CORPUS})"
+_ALL_LENGTHS = f"(SELECT {Q.n_words('text')} AS n_words FROM documents)"
 
 
 @query(
     "text_length_describe",
     f"""SELECT count(*) AS count, round(avg(n_words), 6) AS mean, round(stddev_samp(n_words), 6) AS std, CAST(min(n_words) AS INT) AS min,
- quantile_cont(n_words, 0.25) AS q25, quantile_cont(n_words, 0.5) AS q50, quantile_cont(n_words, 0.75) AS q75, CAST(max(n_words) AS INT) AS max FROM {_LENGTHS}""",
+ quantile_cont(n_words, 0.25) AS q25, quantile_cont(n_words, 0.5) AS q50, quantile_cont(n_words, 0.75) AS q75, CAST(max(n_words) AS INT) AS max FROM {_ALL_LENGTHS}""",
 )
 def text_length_describe(spark, sf):
-    out = profiling.length_describe(profiling.length_counts(corpus(spark, sf)))
+    out = profiling.length_describe(profiling.length_counts(documents(spark, sf)))
     return out.withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
 
 
 @query(
     "text_length_hist",
-    f"""WITH x AS (SELECT n_words, min(n_words) OVER () AS lo, max(n_words) OVER () AS hi FROM {_LENGTHS})
+    f"""WITH x AS (SELECT n_words, min(n_words) OVER () AS lo, max(n_words) OVER () AS hi FROM {_ALL_LENGTHS})
  SELECT CAST(least(floor((n_words - lo) / ((hi - lo) / 50)), 49) AS BIGINT) AS bin, count(*) AS n, CAST(min(n_words) AS INT) AS min_words, CAST(max(n_words) AS INT) AS max_words FROM x GROUP BY 1""",
 )
 def text_length_hist(spark, sf):
-    return profiling.length_histogram(profiling.length_counts(corpus(spark, sf)))
+    return profiling.length_histogram(profiling.length_counts(documents(spark, sf)))
 
 
 @query(

@@ -12,19 +12,25 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Enough partitions for every core, for work that is heavy per row.
+def split_input(df: DataFrame) -> DataFrame:
+    """Rows in as many pieces as the setting ``newsloom.input.partitions`` says.
 
-    Only inputs stored in fewer pieces than there are cores are moved; a table
-    of many files passes through unchanged.
+    For tables stored as one file with one block, which no reader can split; unset,
+    as it is by default, the table is read as it is stored.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    pieces = df.sparkSession.conf.get("newsloom.input.partitions", None)
+    return df.repartition(int(pieces)) if pieces else df
 
 
 def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     """Documents for heavy per-row work, only the columns asked for."""
-    return spread(table(spark, folder, "documents").select(*(columns or ("doc_id", "text"))))
+    return split_input(table(spark, folder, "documents").select(*(columns or ("doc_id", "text"))))
+
+
+def labelled_keys(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """Labelled documents without their text: doc_id, label and the columns asked for."""
+    labels = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
+    return table(spark, folder, "documents").select("doc_id", *columns).join(labels, "doc_id")
 
 
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
@@ -138,13 +144,13 @@ def _dressed(key: str):
 
 def dressed_as(spark: SparkSession, folder: str, outlet: str) -> DataFrame:
     """All given pages in the markup of one outlet."""
-    pages = spread(table(spark, folder, "pages"))
+    pages = split_input(table(spark, folder, "pages"))
     return pages.select("page_id", "url", F.lit(outlet).alias("outlet"), _dressed(outlet).alias("html"))
 
 
 def outlet_pages(spark: SparkSession, folder: str) -> DataFrame:
     """All given pages, the outlets taken in turn."""
-    pages = spread(table(spark, folder, "pages")).withColumn("outlet", outlet_of("page_id"))
+    pages = split_input(table(spark, folder, "pages")).withColumn("outlet", outlet_of("page_id"))
     html = None
     for key in OUTLET_MARKUP:
         branch = F.col("outlet") == key

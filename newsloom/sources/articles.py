@@ -78,16 +78,26 @@ def read_registry(
     schema: T.StructType | str | None = None,
     json_lines: bool = False,
 ) -> DataFrame:
-    """All registered files in one scan, the outlet taken from the file."""
-    paths = [f"{root.rstrip('/')}/{p}" for p in files.values()]
-    dim = spark.createDataFrame(list(files.items()), "registered_outlet string, file string")
+    """All registered files (or folders of files) in one scan.
+
+    The outlet is found by the path below ``root``, as an equal key: the path of a
+    registered file itself, or of the registered folder the file is in.
+    """
+    root = root.rstrip("/")
+    paths = [f"{root}/{p.strip('/')}" for p in files.values()]
+    by_place = [(p.strip("/"), outlet) for outlet, p in files.items()]
     reader = spark.read.option("multiLine", not json_lines)
     if schema is not None:
         reader = reader.schema(schema)
-    read = reader.json(paths).withColumn("_path", F.col("_metadata.file_path"))
-    # the registry is a fixed list of ten files
-    return read.join(F.broadcast(dim), F.contains(F.col("_path"), F.col("file")), "left").drop(
-        "_path", "file"
+    read = reader.json(paths).withColumn("_path", F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B")))
+    below = F.substring_index(F.col("_path"), f"{root.rsplit('/', 1)[-1]}/", -1)
+    dim = spark.createDataFrame(by_place, "_place string, registered_outlet string")
+    exact = read.withColumn("_below", below).join(dim, F.col("_below") == F.col("_place"), "left").drop("_place")
+    folder = F.regexp_replace("_below", "/[^/]*$", "")
+    folders = dim.toDF("_place", "_of_folder")
+    both = exact.join(folders, folder == F.col("_place"), "left")
+    return both.withColumn("registered_outlet", F.coalesce("registered_outlet", "_of_folder")).drop(
+        "_path", "_below", "_place", "_of_folder"
     )
 
 
@@ -124,10 +134,11 @@ def load_fulltext(
     label_column: str = "label",
     source_name: str | None = None,
     json_lines: bool = False,
+    schema: T.StructType | str | None = None,
     **options,
 ) -> DataFrame:
-    """Article files to a validated labelled corpus."""
-    raw = S.standardize_columns(read_articles(spark, paths, json_lines=json_lines))
+    """Article files to a validated labelled corpus; with a schema they are read once."""
+    raw = S.standardize_columns(read_articles(spark, paths, schema=schema, json_lines=json_lines))
     return standardize_external(
         raw, text_column, label_column, "outlet_name", source_name or "external", **options
     )
@@ -164,8 +175,8 @@ def write_articles(
 
 
 def write_results(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Result tables (a few rows) as CSV with a header."""
-    df.coalesce(1).write.mode(mode).option("header", True).csv(path)
+    """Result tables as CSV with a header, a file per task."""
+    df.write.mode(mode).option("header", True).csv(path)
 
 
 def article_word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:

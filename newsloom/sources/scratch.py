@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from uuid import uuid4
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
@@ -20,3 +20,12 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("Set spark.checkpoint.dir to a folder all executors share.")
         root = tempfile.mkdtemp(prefix="newsloom-")
     return f"{root.rstrip('/')}/{name}-{uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a new scratch folder and read back: computed once, with no
+    lineage left."""
+    spark = df.sparkSession
+    path = scratch_folder(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
