@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from newsloom import constants as K
-from newsloom.functions.text import _col, contains_any, starts_with_any
+from newsloom.functions.text import _col, contains_any, let, starts_with_any
 
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*)://"
 _HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)"
@@ -68,14 +68,17 @@ def resolve(href: Column | str, base_url: Column | str) -> Column:
     return (
         F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), h)
         .when(F.startswith(h, F.lit("//")), F.concat(scheme(base), F.lit(":"), h))
-        .when(F.startswith(h, F.lit("/")), F.concat(origin, without_dots(h)))
         .when(F.startswith(h, F.lit("?")), F.concat(origin, path(base), h))
-        .otherwise(F.concat(origin, without_dots(F.concat(folder, h))))
+        .otherwise(F.concat(origin, let(F.when(F.startswith(h, F.lit("/")), h).otherwise(F.concat(folder, h)), without_dots)))
     )
 
 
 def without_dots(place: Column) -> Column:
     """A path (query and fragment kept) with its ``.`` and ``..`` segments followed."""
+    return F.when(F.contains(place, F.lit("/.")), let(place, _walked)).otherwise(place)
+
+
+def _walked(place: Column) -> Column:
     rest = F.regexp_extract(place, r"([?#].*)$", 1)
     segments = F.split(F.regexp_extract(place, r"^([^?#]*)", 1), "/")
 
@@ -90,7 +93,7 @@ def without_dots(place: Column) -> Column:
     walked = F.aggregate(F.slice(segments, 2, 1 << 30), F.array(F.lit("")), step)
     last = F.element_at(segments, -1)
     closed = F.when(last.isin(".", ".."), F.concat(walked, F.array(F.lit("")))).otherwise(walked)
-    return F.when(F.contains(place, F.lit("/.")), F.concat(F.array_join(closed, "/"), rest)).otherwise(place)
+    return F.concat(F.array_join(closed, "/"), rest)
 
 
 def is_followable(href: Column | str) -> Column:

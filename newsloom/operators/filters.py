@@ -25,7 +25,7 @@ def remove_empty_text(df: DataFrame, text_col: str = "text", check: bool = True)
     """
     kept = df.where(nonempty_mask(df, text_col))
     if check and kept.select(F.lit(1)).isEmpty():
-        raise ValueError("All rows were removed because article text is empty.")
+        raise ValueError("No row has any text: nothing is left after the empty ones go.")
     return kept
 
 
@@ -104,19 +104,19 @@ def validate_text_dataset(
     """Raise on an unusable corpus, else return it stripped and without blanks."""
     r = validation_report(df, text_col, label_col).first()
     if r["n_rows"] == 0:
-        raise ValueError("Dataset is empty.")
+        raise ValueError("The corpus is empty: it has no rows.")
     if r["n_usable"] / r["n_rows"] < K.MIN_TEXT_RATIO:
-        raise ValueError("Dataset contains no usable article text.")
+        raise ValueError(f"Only {r['n_usable']} of {r['n_rows']} rows have text.")
     if r["n_usable"] < min_samples:
         raise ValueError(
-            f"Dataset contains too few usable samples ({r['n_usable']} found, minimum={min_samples})."
+            f"{r['n_usable']} rows with text are fewer than the {min_samples} that are needed."
         )
     if r["n_null_labels"]:
-        raise ValueError("Label column contains missing values.")
+        raise ValueError(f"{r['n_null_labels']} rows with text have no label.")
     if r["n_classes"] < 2:
-        raise ValueError("Dataset must contain at least two classes.")
+        raise ValueError("There is only one class to tell apart.")
     if require_binary_labels and r["n_classes"] != 2:
-        raise ValueError(f"Binary classification expected, but found {r['n_classes']} labels.")
+        raise ValueError(f"Two classes are needed, {r['n_classes']} are there.")
     return df.where(nonempty_mask(df, text_col)).withColumn(
         text_col, X.normalize_string(_q(text_col))
     )

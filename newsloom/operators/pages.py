@@ -43,6 +43,7 @@ class PageRules:
     drop_tags: tuple[str, ...] = ()
     drop_elements: tuple[El, ...] = ()
     drop_class_parts: tuple[str, ...] = ()
+    drop_class_parts_cased: tuple[str, ...] = ()
     drop_class_tags: tuple[str, ...] = ()
     drop_paragraph_ids: tuple[str, ...] = ()
     drop_marked: tuple[str, str] | None = None
@@ -152,7 +153,8 @@ RULES: dict[str, PageRules] = {
         paragraphs=("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "li"),
         drop_tags=("script", "style", "ins", "iframe"),
         drop_elements=(El("p", "wp-caption-text"),),
-        drop_class_parts=("ad", "spect-", "disclaimer"),
+        drop_class_parts=("ad",),
+        drop_class_parts_cased=("spect-", "disclaimer"),
         drop_class_tags=("div",),
         drop_paragraph_ids=("caption-attachment-",),
         drop_marked=("strong", "(related:"),
@@ -208,9 +210,13 @@ def has_class(n: Column, cls: str) -> Column:
     return F.array_contains(n["cls"], cls)
 
 
-def class_contains(n: Column, parts: tuple[str, ...]) -> Column:
-    """Substring test on the class names, as written: ``ad`` also hits ``header``."""
-    return X.contains_any(F.lower(F.array_join(n["cls"], " ")), parts)
+def class_contains(n: Column, parts: tuple[str, ...], cased: tuple[str, ...] = ()) -> Column:
+    """Substring test on the class names: ``ad`` also hits ``header``.
+
+    ``parts`` are found in any case, ``cased`` only as they are written.
+    """
+    names = F.array_join(n["cls"], " ")
+    return X.contains_any(F.lower(names), parts) | X.contains_any(names, cased)
 
 
 def is_el(n: Column, el: El) -> Column:
@@ -406,7 +412,7 @@ def _dropped(rules: PageRules) -> Column | None:
             conditions.append(n["tag"].isin(list(rules.drop_tags)))
         conditions += [is_el(n, el) for el in rules.drop_elements]
         if rules.drop_class_parts:
-            hit = class_contains(n, rules.drop_class_parts)
+            hit = class_contains(n, rules.drop_class_parts, rules.drop_class_parts_cased)
             if rules.drop_class_tags:
                 hit = n["tag"].isin(list(rules.drop_class_tags)) & hit
             conditions.append(hit)
@@ -716,6 +722,66 @@ def page_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url")
     )
 
 
+def _hrefs(outlet: str) -> Column:
+    """Addresses of the anchors in an outlet's listing containers, as written."""
+    anchors = F.filter(_nodes(), lambda n: (n["tag"] == "a") & (F.coalesce(n["href"], F.lit("")) != ""))
+    href = lambda n: n["href"]
+
+    def under(boxes: Column, nodes: Column) -> Column:
+        return let(boxes, lambda b: F.filter(nodes, lambda n: F.exists(b, lambda o: within(n, o))))
+
+    def boxes_of(el: El) -> Column:
+        return F.filter(_nodes(), lambda n: is_el(n, el))
+
+    if outlet == "MotherJones":
+        return F.transform(under(boxes_of(El("ul", "articles-list")), anchors), href)
+    if outlet == "CounterPunch":
+        posts = F.filter(
+            _nodes(),
+            lambda n: (n["tag"] == "div") & F.startswith(F.coalesce(n["id"], F.lit("")), F.lit("post-"))
+            & F.contains(F.array_join(n["cls"], " "), F.lit("post_box")),
+        )
+        return F.transform(under(under(posts, boxes_of(El("h1", "headline"))), anchors), href)
+    if outlet == "Salon":  # the first link of each card
+        cards = boxes_of(El("div", "grid-article"))
+        return let(anchors, lambda a: F.transform(cards, lambda o: F.get(F.filter(a, lambda n: within(n, o)), F.lit(0))["href"]))
+    return F.transform(anchors, href)
+
+
+def _admitted(outlet: str, href: Column, base: Column) -> Column:
+    """The cleaned address of an article of the outlet, or null."""
+    if outlet == "MotherJones":
+        fits = U.is_dated_article(href, K.MOTHERJONES_DATED_PATH, K.MOTHERJONES_ORIGIN, K.MOTHERJONES_SECTION)
+        return F.when(fits, U.drop_query(href))
+    if outlet == "CounterPunch":
+        return F.when(href.rlike(K.COUNTERPUNCH_URL_PATTERN), href)
+    if outlet == "Salon":
+        return F.when(U.is_dated_article(href, K.SALON_DATED_PATH, K.SALON_ORIGIN), U.drop_query(href))
+    full = let(U.resolve(href, base), lambda u: U.normalize_url(u))
+    return F.when(U.is_followable(href), let(full, lambda u: F.when(U.is_crawlable(u), u)))
+
+
+DISCOVERING = ("MotherJones", "CounterPunch", "Salon", "American_Conservative")
+
+
+def discovered_links(pages: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """(outlet, url): articles linked from listing pages (url, outlet, html), each once.
+
+    Links come from the outlet's listing container, are admitted by its rule and
+    cleaned; addresses in ``seen`` (url) are left out.
+    """
+    hrefs = link = None
+    for outlet in DISCOVERING:
+        here, own = F.col("outlet") == outlet, _admitted(outlet, F.col("href"), F.col("url"))
+        hrefs = F.when(here, _hrefs(outlet)) if hrefs is None else hrefs.when(here, _hrefs(outlet))
+        link = F.when(here, own) if link is None else link.when(here, own)
+    kept = pages.where(F.col("outlet").isin(*DISCOVERING))
+    found = with_nodes(kept).select("outlet", "url", F.explode(hrefs).alias("href")).where("href IS NOT NULL")
+    links = found.select("outlet", link.alias("link")).where("link IS NOT NULL")
+    links = links.select("outlet", F.col("link").alias("url")).distinct()
+    return links if seen is None else links.join(seen.select("url"), "url", "left_anti").select("outlet", "url")
+
+
 def listing_links(pages: DataFrame, block: El, link: El = El("a")) -> DataFrame:
     """Hrefs of links inside the blocks of a listing page, each once."""
     blocks = _spans(F.filter(_nodes(), lambda n: is_el(n, block)))

@@ -194,10 +194,12 @@ def encode_labels(
     require_columns(df, [source_col], "source column")
     named = df.withColumn(source_col, known_outlet(_q(source_col), synonyms))
     if check:
-        unknown = unknown_sources(named, source_col).orderBy(source_col).limit(20).collect()
-        if unknown:
+        found = unknown_sources(named, source_col).agg(
+            F.count(F.lit(1)).alias("n"), F.min(_q(source_col)).alias("first")
+        ).first()
+        if found["n"]:
             raise ValueError(
-                f"Unknown sources encountered during label encoding: {[r[source_col] for r in unknown]}"
+                f"{found['n']} outlets have no label, the first is {found['first']!r}; unknown_sources() lists them all."
             )
     source = _q(source_col)
     label = (

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from newsloom import constants as K
+from newsloom.functions import urls as U
 from newsloom.operators import pages as P
 from newsloom.plans import sql as Q
 from newsloom.plans.registry import query
@@ -135,14 +136,25 @@ def _unescape(x):
     return x
 
 
+_H1 = _unescape(Q.strip(chr(114) + 'egexp_extract(html, ' + chr(39) + '<h1>([^<]*)</h1>' + chr(39) + ', 1)'))
+
+
 @query(
     "page_headline",
-    f"SELECT page_id, {_unescape(Q.strip(chr(114) + 'egexp_extract(html, ' + chr(39) + '<h1>([^<]*)</h1>' + chr(39) + ', 1)'))} AS headline FROM pages",
+    f"""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'A headline of some length, ' || page_id WHEN length({_H1}) > 10 THEN {_H1} END AS headline FROM pages""",
 )
 def page_headline(spark, sf):
-    """First element of the outlet's list that is there and long enough."""
-    found = P.headline(P.RULES["FoxNews"])
-    return html_nodes.with_nodes(_pages(spark, sf)).select("page_id", found.alias("headline"))
+    """First element of the outlet's list that is there and long enough: a hero
+    title too short to count, or long enough, is put before each page's own."""
+    title = F.when(F.expr("page_id % 3") == 0, F.concat(F.lit("A headline of some length, "), F.col("page_id"))).when(
+        F.expr("page_id % 3") == 1, F.lit("Ten chars.")
+    )
+    hero = F.concat(F.lit('<h2 class="c-hero-article__title">'), title, F.lit("</h2><article>"))
+    pages = _pages(spark, sf).withColumn(
+        "html", F.when(title.isNotNull(), F.replace("html", F.lit("<article>"), hero)).otherwise(F.col("html"))
+    )
+    found = P.headline(P.RULES["American_Conservative"])
+    return html_nodes.with_nodes(pages).select("page_id", found.alias("headline"))
 
 
 _ARTICLE_OUTLETS = [k for k, (o, _, h) in OUTLET_MARKUP.items() if "<article" in o or "o-content" in o]
@@ -216,3 +228,89 @@ def listing_links(spark, sf):
     """Links inside the navigation lists of all pages."""
     return P.listing_links(_pages(spark, sf), P.El("nav"))
 
+
+
+# --- links found on listing pages ---------------------------------------------------------------
+
+_SLUG = "regexp_extract(rtrim(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), '([^/]*)$', 1)"
+_LISTED_PAGES = f"(SELECT page_id, {_SLUG} || '-' || (page_id % 50) AS slug, page_id % 5 AS kind FROM pages)"
+
+
+def _listing_pages(spark, sf):
+    """Every page as a listing of one of the outlets, with links to keep and not to."""
+    slug = F.concat(U.slug("url"), F.lit("-"), F.expr("page_id % 50").cast("string"))
+    kind = F.expr("page_id % 5")
+    a = lambda *href: F.concat(F.lit('<a href="'), *href, F.lit('">x</a>'))
+    lit = F.lit
+    html = (
+        F.when(kind == 0, F.concat(
+            lit('<ul class="articles-list"><li>'), a(lit("https://www.motherjones.com/politics/2026/03/"), slug, lit("/?s=1")),
+            a(lit("https://www.motherjones.com/food/2026/03/"), slug), a(lit("/politics/2026/03/"), slug), lit("</li></ul>"),
+            a(lit("https://www.motherjones.com/politics/2026/04/"), slug)))
+        .when(kind == 1, F.concat(
+            lit('<div id="post-1" class="big post_box"><h1 class="headline">'), a(lit("https://www.counterpunch.org/2026/03/09/"), slug, lit("/")),
+            lit("</h1>"), a(lit("https://www.counterpunch.org/2026/03/10/"), slug), lit('</div><h1 class="headline">'),
+            a(lit("https://www.counterpunch.org/2026/03/11/"), slug), lit("</h1>")))
+        .when(kind == 2, F.concat(
+            lit('<div class="grid-article">'), a(lit("https://www.salon.com/2026/03/09/"), slug, lit("?u=2")),
+            a(lit("https://www.salon.com/2026/03/10/"), slug), lit('</div><div class="grid-article">'), a(lit("/2026/03/11/"), slug), lit("</div>")))
+        .when(kind == 3, F.concat(
+            a(lit("../../2026/./"), slug, lit("/?p=1#top")), a(lit("mailto:x@y.org")), a(lit("/about/")), a(lit("https://elsewhere.org/2026/"), slug)))
+        .otherwise(F.concat(lit("<ul>"), a(lit("https://www.foxnews.com/"), slug), lit("</ul>")))
+    )
+    outlets = F.array(*[lit(o) for o in (*P.DISCOVERING, "FoxNews")])
+    return _pages(spark, sf).select(
+        lit("https://www.theamericanconservative.com/category/a/b").alias("url"),
+        F.get(outlets, kind.cast("int")).alias("outlet"), F.concat(lit("<html><body>"), html, lit("</body></html>")).alias("html"),
+    )
+
+
+@query(
+    "discovered_links",
+    f"""SELECT DISTINCT * FROM (SELECT CASE kind WHEN 0 THEN 'MotherJones' WHEN 1 THEN 'CounterPunch' WHEN 2 THEN 'Salon' ELSE 'American_Conservative' END AS outlet,
+ CASE kind WHEN 0 THEN 'https://www.motherjones.com/politics/2026/03/' || slug || '/' WHEN 1 THEN 'https://www.counterpunch.org/2026/03/09/' || slug || '/'
+ WHEN 2 THEN 'https://www.salon.com/2026/03/09/' || slug ELSE 'https://www.theamericanconservative.com/2026/' || slug END AS url
+ FROM {_LISTED_PAGES} WHERE kind < 4) WHERE url NOT IN (SELECT 'https://www.salon.com/2026/03/09/' || slug FROM {_LISTED_PAGES} WHERE page_id % 10 = 7)
+ UNION SELECT 'American_Conservative', 'https://www.theamericanconservative.com/about' FROM pages WHERE page_id % 5 = 3""",
+)
+def discovered_links(spark, sf):
+    """New article links of all listing pages, under each outlet's own rules."""
+    seen = table(spark, sf, "pages").where("page_id % 10 = 7").select(
+        F.concat(F.lit("https://www.salon.com/2026/03/09/"), U.slug("url"), F.lit("-"), F.expr("page_id % 50").cast("string")).alias("url")
+    )
+    return P.discovered_links(_listing_pages(spark, sf), seen)
+
+
+@query(
+    "sitemap_index",
+    """SELECT url, strftime(TIMESTAMP '2026-01-01' + to_days(CAST(page_id % 90 AS INT)), '%Y-%m-%d') AS lastmod FROM pages WHERE page_id % 7 < 5""",
+)
+def sitemap_index(spark, sf):
+    """All pages in seven stored sitemaps; a root index names two indexes, which name
+    five of the sitemaps, some of them twice, and the root again."""
+    day = F.date_add(F.lit("2026-01-01").cast("date"), (F.col("page_id") % 90).cast("int"))
+    entry = F.concat(
+        F.lit("<url><loc> "), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit(" </loc><lastmod>"),
+        F.date_format(day, "yyyy-MM-dd'T'00:00:00'Z'"), F.lit("</lastmod></url>"),
+    )
+    # a stored sitemap document holds a bounded stretch of the pages
+    number = F.concat(F.expr("page_id % 7").cast("string"), F.lit("/"), F.floor(F.col("page_id") / 700).cast("string"))
+    maps = table(spark, sf, "pages").groupBy(F.concat(F.lit("https://x.org/map/"), number).alias("url")).agg(
+        F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(entry), ""), F.lit("</urlset>")).alias("xml")
+    )
+    named = maps.select("url", F.substring("url", 19, 1).cast("int").alias("k"))
+    loc = F.concat(F.lit("<sitemap><loc>"), F.col("url"), F.lit("</loc></sitemap>"))
+    indexes = named.where("k < 5").select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("i"), "k", "url").where(
+        "i = 'a' AND k < 3 OR i = 'b' AND k > 1"
+    ).groupBy(F.concat(F.lit("https://x.org/index/"), F.col("i")).alias("url")).agg(F.array_join(F.collect_list(loc), "").alias("locs")).select(
+        "url", F.concat(F.lit("<sitemapindex><sitemap><loc>https://x.org/root</loc></sitemap>"), F.col("locs"), F.lit("</sitemapindex>")).alias("xml")
+    )
+    root = spark.createDataFrame(
+        [("https://x.org/root", "<sitemapindex><sitemap><loc>https://x.org/index/a</loc></sitemap><sitemap><loc>https://x.org/index/b</loc></sitemap></sitemapindex>")],
+        "url string, xml string",
+    )
+    from newsloom.sources.scratch import stored
+
+    documents = stored(maps.union(indexes).union(root), "sitemap-documents")
+    found = sitemaps.index_entries(documents, root.select("url"))
+    return found.withColumn("lastmod", F.date_format("lastmod", "yyyy-MM-dd"))

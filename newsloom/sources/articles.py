@@ -52,7 +52,7 @@ def read_articles(
     listed = [paths] if isinstance(paths, str) else list(paths)
     for p in listed:
         if not p.rstrip("/*").lower().endswith((".json", ".jsonl")) and "." in p.rsplit("/", 1)[-1]:
-            raise ValueError(f"Expected a JSON file, got: {p}")
+            raise ValueError(f"Not named like a JSON file: {p}")
     reader = spark.read.option("multiLine", not json_lines).option("mode", "FAILFAST")
     if schema is not None:
         reader = reader.schema(schema)
@@ -60,14 +60,14 @@ def read_articles(
         df = reader.json(listed)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e):
-            raise FileNotFoundError(f"Dataset file not found: {paths}") from e
-        raise ValueError(f"Invalid JSON format in file: {paths}") from e
+            raise FileNotFoundError(f"No such file: {paths}") from e
+        raise ValueError(f"Not readable as JSON: {paths}") from e
     except Exception as e:
         if "malformed" in str(e).lower() or "MALFORMED" in str(e) or "FAILFAST" in str(e):
-            raise ValueError(f"Invalid JSON format in file: {paths}") from e
+            raise ValueError(f"Not readable as JSON: {paths}") from e
         raise
     if not df.columns or df.isEmpty():
-        raise ValueError(f"JSON dataset contains no records: {paths}")
+        raise ValueError(f"No records in {paths}")
     return flatten_structs(df) if normalize else df
 
 

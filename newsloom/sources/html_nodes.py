@@ -24,6 +24,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,9 +116,27 @@ def shred(html: str | None) -> tuple[list[dict], list[str]]:
     return parser.finish()
 
 
+#: Bytes of page source turned into elements at once inside a task.
+SHREDDED_BYTES = 4 << 20
+
+
+def _cuts(batches: Iterator[pa.RecordBatch], html_col: str) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of a few megabytes of page source, a page at least."""
+    for batch in batches:
+        sizes = pa.compute.binary_length(batch.column(html_col)).fill_null(0).to_pylist()
+        start = total = 0
+        for row, size in enumerate(sizes):
+            if row > start and total + size > SHREDDED_BYTES:
+                yield batch.slice(start, row - start)
+                start, total = row, 0
+            total += size
+        if batch.num_rows:
+            yield batch.slice(start)
+
+
 def _shred_batches(html_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _cuts(batches, html_col):
             pages = [shred(h) for h in batch.column(html_col).to_pylist()]
             kept = [(f.name, batch.column(f.name)) for f in batch.schema if f.name != html_col]
             yield pa.RecordBatch.from_arrays(

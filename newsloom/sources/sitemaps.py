@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions import dates, text as X, urls as U
+from newsloom.sources import scratch
 
 _URL = "loc string, lastmod string"
 
@@ -24,6 +25,29 @@ def sitemap_children(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return rows.where(X.is_nonempty("loc")).select(X.strip("loc").alias("url")).distinct()
 
 
+def index_entries(stored: DataFrame, roots: DataFrame) -> DataFrame:
+    """(url, lastmod) reached from root sitemaps through index files.
+
+    ``stored``: (url, xml) of every sitemap document at hand; ``roots``: (url).
+    Indexes are followed level by level, each sitemap once; a level is one join on
+    the address, and the walk ends when no index names a sitemap not yet seen.
+    """
+    children = stored.select(
+        "url", F.explode(F.from_xml("xml", "sitemap array<struct<loc:string>>")["sitemap"]).alias("s")
+    ).select(F.col("url").alias("parent"), X.strip(F.col("s")["loc"]).alias("url")).where(X.is_nonempty("url")).distinct()
+    level = seen = roots.select("url").distinct()
+    while True:
+        level = scratch.stored(
+            children.join(level.select(F.col("url").alias("parent")), "parent", "left_semi").select("url").distinct()
+            .join(seen, "url", "left_anti"),
+            "sitemap-level",
+        )
+        if level.isEmpty():
+            break
+        seen = scratch.stored(seen.union(level), "sitemaps-seen")
+    return entries_from_xml(stored.join(seen, "url", "left_semi"), "xml")
+
+
 def feed_links(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Cleaned links of feed items that may be crawled, each once."""
     rows = spark.read.format("xml").option("rowTag", "item").schema("link string").load(paths)

@@ -124,3 +124,24 @@ def test_free_beacon_and_daily_caller_dates(spark):
     html = "<time><span>January 14, 2026</span> <span>4:47 PM ET</span></time><div id='articleContent' dc_data='9'><p>Related: x</p><p>y</p></div>"
     row = parse(spark, "DailyCaller", html)
     assert (row["publication_date"], row["body_text"], row["article_id"]) == ("2026-01-14T21:47:00+00:00", "y", "9")
+
+
+def test_pages_are_cut_by_bytes(monkeypatch):
+    import pyarrow as pa
+
+    from newsloom.sources import html_nodes
+
+    monkeypatch.setattr(html_nodes, "SHREDDED_BYTES", 10)
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * 6, None, "b" * 4, "c" * 30, "", "d"])], ["html"])
+    cuts = [c.column(0).to_pylist() for c in html_nodes._cuts([batch, batch.slice(0, 0)], "html")]
+    assert [x for c in cuts for x in c] == batch.column(0).to_pylist() and [len(c) for c in cuts] == [3, 1, 2]
+
+
+def test_cased_class_parts(spark):
+    from newsloom.operators import pages as P
+
+    rows = [(0, "spect-box"), (1, "SPECT-box"), (2, "Disclaimer"), (3, "disclaimer x"), (4, "MyAds")]
+    df = spark.createDataFrame(rows, "id int, c string").selectExpr("id", "struct(split(c, ' ') AS cls) AS n")
+    rules = P.RULES["American_Spectator"]
+    hit = P.class_contains(df["n"], rules.drop_class_parts, rules.drop_class_parts_cased)
+    assert [r.id for r in df.where(hit).orderBy("id").collect()] == [0, 3, 4]

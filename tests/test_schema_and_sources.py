@@ -54,11 +54,11 @@ def test_explicit_column_wins(spark):
     "rows, message",
     [
         ([], "empty"),
-        ([(" ", 0)] * 20, "no usable"),
-        ([("a", 0)] * 5, "too few"),
-        ([("a", None)] * 12, "missing values"),
-        ([("a", 0)] * 12, "two classes"),
-        ([("a", i % 3) for i in range(12)], "Binary"),
+        ([(" ", 0)] * 20, "have text"),
+        ([("a", 0)] * 5, "fewer than"),
+        ([("a", None)] * 12, "no label"),
+        ([("a", 0)] * 12, "only one class"),
+        ([("a", i % 3) for i in range(12)], "Two classes"),
     ],
 )
 def test_validation_errors(spark, rows, message):
