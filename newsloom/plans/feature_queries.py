@@ -266,7 +266,7 @@ def extra_columns(spark, sf):
 def full_features(spark, sf):
     """Size, entries and norm of each document's full vector."""
     features = FEATURE_SETS["full"]
-    rows = features.prepare(corpus(spark, sf).select("doc_id", "text", "label"), "doc_id").persist()
+    rows = stored(features.prepare(corpus(spark, sf).select("doc_id", "text", "label"), "doc_id"), "prepared")
     vectors = features.fit(rows, "doc_id", rows.count())(rows)
     v = F.unwrap_udt("features")
     filled = F.aggregate(v["values"], F.lit(0.0), lambda a, x: a + x * x)

@@ -122,7 +122,8 @@ def standardize_external(
     out = S.ensure_source(out, "outlet_name", source_name)
     out = S.normalize_text(out, "text", lowercase, strip_whitespace)
     if drop_empty_text:
-        out = filters.remove_empty_text(out, "text", check=validate)
+        # the validation below sees an empty result by itself
+        out = filters.remove_empty_text(out, "text", check=False)
     out = S.keep_standard_columns(out, ["text", "label", "outlet_name"])
     return filters.validate_text_dataset(out) if validate else out
 
