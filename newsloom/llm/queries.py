@@ -79,6 +79,18 @@ def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read(spark, place)
 
 
+# every pair, and whatever is reachable through links
+ORACLES["op3_subspace_pigeonhole"] = """WITH RECURSIVE v AS (SELECT vec_id, CASE WHEN len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND len(list_filter(embedding, lambda x: x <> 0)) > 0 THEN CAST(embedding AS DOUBLE[]) END AS e FROM embeddings),
+ ok AS (SELECT vec_id, e, CASE WHEN e IS NOT NULL THEN sqrt(list_dot_product(e, e)) END AS n FROM v WHERE e IS NOT NULL),
+ l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.95),
+ r AS (SELECT vec_id AS node, vec_id AS root FROM v UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node),
+ c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node), k AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+ SELECT v.vec_id, coalesce(k.n, 0) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+ FROM v JOIN c ON c.node = v.vec_id LEFT JOIN k ON k.a = v.vec_id"""
+
+
 @query
 def op3_subspace_pigeonhole(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))

@@ -50,3 +50,19 @@ def test_doubles_and_empty(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in E.near_duplicates(df).orderBy("vec_id").collect()] == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
     assert E.near_duplicates(df.limit(0)).collect() == []
+
+
+def test_sql_twin_on_linked_vectors(spark):
+    """The SQL of the query against the operator, on vectors that do link."""
+    duckdb = pytest.importorskip("duckdb")
+    import pandas as pd
+
+    from newsloom.llm.queries import ORACLES
+
+    rows = [(i, v) for i, v in vectors(8, 3) if i is not None and v and None not in v][:-1]
+    con = duckdb.connect()
+    con.register("given", pd.DataFrame(rows, columns=["vec_id", "embedding"]))
+    con.execute("CREATE VIEW embeddings AS SELECT vec_id, CAST(embedding AS FLOAT[]) AS embedding FROM given")
+    want = sorted(con.execute(ORACLES["op3_subspace_pigeonhole"]).fetchall())
+    got = E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    assert sorted(map(tuple, got.collect())) == want and sum(r[1] for r in want) > 100
