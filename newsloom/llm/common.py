@@ -40,9 +40,21 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Rows of a batch on its way to and from Python: whole texts, held on both sides.
+BATCH_ROWS = 512
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def mapped(df: DataFrame, function, schema: str) -> DataFrame:
-    """``mapInArrow`` with the package at hand on every executor."""
-    ship_package(df.sparkSession)
+    """``mapInArrow`` with the package at hand on every executor.
+
+    Lowers the session's batches to BATCH_ROWS rows: at Spark's default of 10,000 a
+    task holds tens of megabytes of text several times over.
+    """
+    spark = df.sparkSession
+    ship_package(spark)
+    if int(spark.conf.get(_BATCH)) > BATCH_ROWS or int(spark.conf.get(_BATCH)) <= 0:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     return df.mapInArrow(function, schema)
 
 

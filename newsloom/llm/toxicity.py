@@ -40,7 +40,7 @@ _SIZE = 27
 _WORD_MARKS = ".,;:!?\"'()[]{}<>«»„“”‚‘’…–—-_*#%&/\\=~^`|"
 _THRICE = re.compile(r"([^\W\d_])\1\1")
 _THRICE_RUN = re.compile(r"([^\W\d_])\1{2,}")
-_CACHE_WORDS = 150_000
+_CACHE_WORDS = 60_000
 
 
 def _fold(code: int) -> int:

@@ -16,7 +16,7 @@ import re
 import numpy as np
 
 #: Words kept in each of two generations.
-KEPT = 250_000
+KEPT = 150_000
 # Latin letters without U+0130, whose lower case is two characters
 _LETTERS = "A-Za-zÀ-ÖØ-öø-įıĲ-ɏ"
 _MARKS = re.escape(".,;:!?%&#*$|-+=/()[]{}<>@_~^\"\\") + "–—…“”„«»‘’"
