@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 _SUMS = "part long, loss double, slope binary"
 MEMORY, FAN_IN = 10, 16
 #: The gradient's norm at the end, relative to the one at the start.
-GRADIENT_TOL = 1e-6
+GRADIENT_TOL = 1e-4
 
 
 def _rows(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -24,7 +24,7 @@ def objective(w, x, y, C):
 
 def test_squared_hinge_reaches_the_minimum(rows):
     x, y, df = rows
-    model = SquaredHinge(0.5, 500).fit(df.repartition(20))
+    model = SquaredHinge(0.5, 500, 1e-8).fit(df.repartition(20))
     value, slope = objective(model.weights, x, y, 0.5)
     assert np.linalg.norm(slope) < 1e-4
     # a plain gradient descent ends at the same value
@@ -36,11 +36,11 @@ def test_squared_hinge_reaches_the_minimum(rows):
 
 def test_predictions_and_dense_rows(spark, rows):
     x, y, df = rows
-    model = SquaredHinge(0.5, 500).fit(df)
+    model = SquaredHinge(0.5, 500, 1e-8).fit(df)
     got = {r.doc_id: r.prediction for r in model.transform(df).collect()}
     assert [got[k] for k in range(120)] == (x @ model.weights[:-1] + model.weights[-1] > 0).astype(float).tolist()
     dense = spark.createDataFrame([(k, int(y[k]), Vectors.dense(x[k])) for k in range(120)], ["doc_id", "label", "features"])
-    assert np.allclose(SquaredHinge(0.5, 500).fit(dense).weights, model.weights, atol=1e-4)
+    assert np.allclose(SquaredHinge(0.5, 500, 1e-8).fit(dense).weights, model.weights, atol=1e-4)
 
 
 def test_links_with_dots(spark):
