@@ -84,7 +84,10 @@ def words_in(column) -> F.Column:
     return F.coalesce(F.regexp_count(column, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def placed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> tuple[DataFrame, list]:
+def placed(
+    docs: DataFrame, id_column: str = "doc_id", source_column: str = "source",
+    size: F.Column | None = None, tie: F.Column | None = None,
+) -> tuple[DataFrame, list]:
     """Every row of ``docs`` with its part in the mix; all columns kept, and
     ``__mix``: struct of size, source_size, target (long, long, double), ``start``
     (words before it in its source's order), ``full`` (passes over the whole source)
@@ -93,10 +96,13 @@ def placed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     The running sums go through two levels of hash buckets, so that no window holds
     more than about BUCKET_ROWS rows of a source, however large the source. Also
     returns the recipe: (is null, source, words, target, full passes, words over).
+    ``size`` and ``tie``: words and a digest of the text, where they are known already.
     """
+    size = words_in(F.col("text")) if size is None else size
+    tie = F.xxhash64(F.col("text")) if tie is None else tie
     hashed = F.xxhash64(F.lit(SEED), F.col(id_column).cast("long"))
     slim = docs.select(
-        F.col(source_column).cast("string").alias("source"), hashed.alias("h"), words_in(F.col(text_column)).alias("size")
+        F.col(source_column).cast("string").alias("source"), hashed.alias("h"), size.alias("size")
     )
     marked = slim.select("source", "h", "size", F.col("source").isNull().alias("none"))
     # buckets of the finest kind; they are merged below once the number of rows is known
@@ -146,8 +152,8 @@ def placed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
         F.col(source_column).isNull().alias("none"), F.coalesce(F.col(source_column).cast("string"), F.lit("")).alias("source"),
         F.shiftrightunsigned("__h", 64 - bits).cast("long").alias("bucket") if bits else F.lit(0).cast("long").alias("bucket"),
     )
-    rows = docs.withColumn("__h", hashed).withColumn("__size", words_in(F.col(text_column))).withColumn("__key", key)
-    order = [F.col("__h"), F.col(id_column), F.xxhash64(F.col(text_column))]
+    rows = docs.withColumn("__h", hashed).withColumn("__size", size).withColumn("__key", key)
+    order = [F.col("__h"), F.col(id_column), tie]
     ranked = _running(rows, ["__key.none", "__key.source", "__key.bucket"], order, "__size", "__inner")
     joined = ranked.join(
         starts.select(
@@ -173,18 +179,30 @@ def placed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 def shares(docs: DataFrame) -> DataFrame:
     """What the mix takes of each row: doc_id, size, source_size, target, taken.
 
-    Sources are taken in code-point order, null last, with weights 1, 2, 3 in turn.
-    Whole passes over a source take every document once; the rest of a target is
-    taken from the front of the source's random order, the last document in part,
-    so a source's words meet its target to a word. A null text has size 0. Rows
-    with null or repeated ids are documents of their own. An empty table gives an
-    empty result.
+    ``taken`` sums the words of the row's copies in the dealt and shuffled shards,
+    which are written as rows without their texts. Sources are taken in code-point
+    order, null last, with weights 1, 2, 3 in turn. Whole passes over a source take
+    every document once; the rest of a target is taken from the front of the source's
+    random order, the last document in part, so a source's words meet its target to a
+    word. A null text has size 0. Rows with null or repeated ids are documents of
+    their own. An empty table gives an empty result.
     """
+    slim = saved(
+        docs.select(
+            F.monotonically_increasing_id().alias("__row"), "doc_id", "source",
+            words_in(F.col("text")).alias("__n"), F.xxhash64("text").alias("__tie"),
+        ),
+        "mix-documents",
+    )
+    rows, recipe = placed(slim, size=F.col("__n"), tie=F.col("__tie"))
+    rows = saved(rows, "mix-placed")
+    # written, so that the order within the shards is made and not only planned
+    copies = saved(dealt(rows.select("__row", "__mix"), recipe), "mix-dealt")
+    taken = copies.groupBy("__row").agg(F.sum("__words").alias("__taken"))
     mix = F.col("__mix")
-    slim = docs.select("doc_id", "text", "source")
-    return placed(slim)[0].select(
+    return rows.join(taken, "__row", "left").select(
         "doc_id", mix["size"].alias("size"), mix["source_size"].alias("source_size"), mix["target"].alias("target"),
-        (mix["size"] * mix["full"] + mix["left"]).alias("taken"),
+        F.coalesce("__taken", F.lit(0).cast("long")).alias("taken"),
     )
 
 
@@ -197,8 +215,12 @@ def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     the block number), and shard k draws the stretch its quota gives it. Rows come
     out grouped by shard and shuffled within it.
     """
-    spark = docs.sparkSession
-    rows, recipe = placed(docs)
+    return dealt(*placed(docs), seed)
+
+
+def dealt(rows: DataFrame, recipe: list, seed: int = SEED) -> DataFrame:
+    """``mixed`` for rows that are placed already: their columns but ``__mix``."""
+    spark = rows.sparkSession
     mix = F.col("__mix")
     per_pass = np.array([max(1, -(-words // BLOCK_WORDS)) for _, _, words, _, _, _ in recipe], np.int64)
     # a partial pass ends in the block that holds its last word
@@ -217,14 +239,14 @@ def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     copies = rows.withColumn("__pass", F.explode(F.sequence(F.lit(0), mix["full"]))).withColumn(
         "__words", F.when(F.col("__pass") < mix["full"], mix["size"]).otherwise(mix["left"])
     ).filter((F.col("__words") > 0) | ((mix["size"] == 0) & (F.col("__pass") == 0)))
-    dealt = copies.join(table, (mix["none"] == F.col("__none")) & (mix["source"] == F.col("__source")))
+    blocks = copies.join(table, (mix["none"] == F.col("__none")) & (mix["source"] == F.col("__source")))
     block = F.col("__pass") * F.col("__blocks") + F.floor(mix["start"] / F.lit(BLOCK_WORDS))
     block = F.least(block, F.col("__quota") - 1)
     at = F.pmod(F.pmod(block, "__quota") * F.pmod("__step", "__quota") + F.col("__shift"), F.col("__quota"))
     shard = F.least(F.size(F.filter("__bounds", lambda b: b <= at)), F.lit(shards - 1))
-    out = dealt.withColumn("__shard", shard.cast("int")).withColumn(
+    out = blocks.withColumn("__shard", shard.cast("int")).withColumn(
         "__order", F.xxhash64(F.lit(seed), "__shard", mix["h"], "__pass")
-    ).select(*docs.columns, "__shard", "__words", "__order")
+    ).select(*[c for c in rows.columns if c != "__mix"], "__shard", "__words", "__order")
     return out.repartitionById(shards, F.col("__shard")).sortWithinPartitions("__shard", "__order")
 
 

@@ -91,3 +91,21 @@ def test_mix_rows(spark, monkeypatch):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert M.shares(docs).collect() == [] and M.mix_documents(docs).collect() == []
+
+
+def test_shares_come_from_the_dealt_shards(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK_WORDS", 64)
+    monkeypatch.setattr(M, "SHARD_BLOCKS", 40)
+    rows, docs = table(spark)
+    docs = docs.unionByName(docs.limit(30)).unionByName(docs.filter("doc_id % 7 = 0").selectExpr("CAST(NULL AS LONG) AS doc_id", "text", "source", "size", "bucket"))
+    drawn, split = [], M.split_tree
+    monkeypatch.setattr(M, "split_tree", lambda quotas, shards, *seed: drawn.append(shards) or split(quotas, shards, *seed))
+    got = Counter((r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken) for r in M.shares(docs).collect())
+    assert drawn and drawn[0] > 3
+    # twin: the running sums alone
+    mix = [(r.doc_id, r["__mix"]) for r in M.placed(docs)[0].collect()]
+    assert got == Counter((i, m.size, m.source_size, round(m.target, 6), m.size * m.full + m.left) for i, m in mix)
+    # a shard that gets lost is missed in the result
+    deal = M.dealt
+    monkeypatch.setattr(M, "dealt", lambda *a: deal(*a).filter("__shard > 0"))
+    assert sum(r.taken for r in M.shares(docs).collect()) < sum(k[-1] * n for k, n in got.items())
