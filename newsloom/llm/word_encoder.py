@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from itertools import islice
 
 import numpy as np
 
@@ -87,28 +88,26 @@ class WordEncoder:
         found[_LINE] = self._bytes([self.line]) if self.kind == "byte" else b""
         return [found[w] for w in words]
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.new) + len(words) > KEPT:
-            self.old, self.new = self.new, {}
-        lacking = []
-        for word in words:
-            ids = self.old.get(word)
-            if ids is None:
-                lacking.append(word)
-            else:
-                self.new[word] = ids
-        if lacking:
-            self.new.update(zip(lacking, self._many(lacking)))
+    def _ids(self, wanted: set[str]) -> dict[str, bytes]:
+        """Ids of at least the words of ``wanted``, however many; at most KEPT are kept for later."""
+        lacking = wanted.difference(self.new)
+        if not lacking:
+            return self.new
+        found = {w: self.old[w] for w in lacking if w in self.old}
+        rest = [w for w in lacking if w not in found]
+        if rest:
+            found.update(zip(rest, self._many(rest)))
+        if len(self.new) + len(found) <= KEPT:
+            self.new.update(found)
+            return self.new
+        # a new generation begins; what these texts need stays at hand in any case
+        found.update((w, self.new[w]) for w in wanted.difference(lacking))
+        self.old, self.new = self.new, dict(islice(found.items(), KEPT))
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self._words(t) if t else [] for t in texts]
-        wanted = set().union(*[w for w in cut if w])
-        lacking = wanted.difference(self.new)
-        if lacking:
-            self._learn(lacking)
-            if len(lacking) < len(wanted) and not self.new.keys() >= wanted:  # a new generation has begun
-                self._learn(wanted.difference(self.new))
-        get = self.new.__getitem__
+        get = self._ids(set().union(*[w for w in cut if w])).__getitem__
         return [self._bytes(self._library([t])[0]) if w is None else b"".join(map(get, w)) for t, w in zip(texts, cut)]
 
 

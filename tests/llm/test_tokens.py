@@ -103,3 +103,16 @@ def test_packing(spark):
 def test_best_fit():
     bins, offsets, used = P.best_fit(np.array([6, 5, 4, 3, 2]), 10)
     assert used.tolist() == [10, 10] and bins.tolist() == [0, 1, 0, 1, 1] and offsets.tolist() == [0, 0, 6, 5, 8]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_slices_of_more_words_than_are_kept(name, monkeypatch):
+    monkeypatch.setattr("newsloom.llm.word_encoder.KEPT", 4)
+    path = public_tokenizers.path(name)
+    plain = Tokenizer.from_file(path)
+    words = WordEncoder(path)
+    few, many = ["one two", "three"], ["one two three", "four five six seven", "eight nine ten one"]
+    for texts in (few, many, few, many[::-1], many + few):
+        got = [np.frombuffer(b, words.dtype).tolist() for b in words.encode(texts)]
+        assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(words.new) <= 4 and len(words.old) <= 4
