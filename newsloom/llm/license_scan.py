@@ -58,7 +58,59 @@ TEMPLATES = {
         "notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided "
         "with the distribution."
     ),
+    "isc-disclaimer": (
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE "
+        "INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR "
+        "ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF "
+        "USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF "
+        "OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "bsd-3-clause": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software without specific prior written permission."
+    ),
+    "bsd-disclaimer": (
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED "
+        "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+        "PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY "
+        "DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+        "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+        "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING "
+        "NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE "
+        "POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "lgpl-2.1-header": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation; either version 2.1 of the License, or "
+        "(at your option) any later version. This library is distributed in the hope that it will be useful, but "
+        "WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR "
+        "PURPOSE. See the GNU Lesser General Public License for more details."
+    ),
+    "agpl-3.0-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+        "General Public License as published by the Free Software Foundation, either version 3 of the License, or (at "
+        "your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT "
+        "ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See "
+        "the GNU Affero General Public License for more details."
+    ),
+    "epl-2.0-header": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License "
+        "2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"
+    ),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
+        "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled "
+        "binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize "
+        "copyright laws, the author or authors of this software dedicate any and all copyright interest in the "
+        "software to the public domain. We make this dedication for the benefit of the public at large and to the "
+        "detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in "
+        "perpetuity of all present and future rights to this software under copyright law."
+    ),
+    "cc-by-4.0-line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-sa-4.0-line": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
 }
+#: A table of templates may hold up to so many.
+MAX_TEMPLATES = 10_000
 #: Words of a fingerprint, fingerprints of a window; a shared run of
 #: GRAM + WINDOW - 1 words always meets in the index.
 GRAM, WINDOW = 3, 3
@@ -72,7 +124,7 @@ class Index:
 
     def __init__(self, templates: dict[str, str]):
         self.names = list(templates)
-        listed = [_WORD.findall(t.lower()) for t in templates.values()]
+        listed = [[w.lower() for w in _WORD.findall(t)] for t in templates.values()]
         self.vocabulary: dict[str, int] = defaultdict(lambda: -1)
         for words in listed:
             for word in words:
@@ -145,7 +197,7 @@ def matches(text: str, index: Index) -> list[tuple[str, float, int, int, int, in
     """(name, coverage, matched words, start, end, template start, template end): spans
     in code points and in words of the template; the best of overlapping spans of
     one template."""
-    ids = np.array(list(map(index.vocabulary.__getitem__, _WORD.findall(text.lower()))), np.int64)
+    ids = np.array([index.vocabulary[w.lower()] for w in _WORD.findall(text)], np.int64)
     grams = index.grams(ids)
     some = np.flatnonzero(grams >= 0)
     some = some[np.isin(grams[some], index.keys)] if some.size else some
@@ -180,9 +232,7 @@ def matches(text: str, index: Index) -> list[tuple[str, float, int, int, int, in
             if all(d <= x or y <= c for x, y in taken):
                 taken.append((c, d))
                 if spans is None:
-                    low_text = text.lower()
-                    # positions hold only while lower-casing keeps every length
-                    spans = [m.span() for m in _WORD.finditer(low_text if len(low_text) == len(text) else text)]
+                    spans = [m.span() for m in _WORD.finditer(text)]
                 found.append((index.names[number], matched / len(template), matched, spans[c][0], spans[d - 1][1], a, b))
     return sorted(found, key=lambda f: (f[3], f[0]))
 
@@ -205,15 +255,28 @@ def _scanned(templates: dict[str, str]):
     return run
 
 
-def licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def template_table(templates: DataFrame, name_column: str = "license", text_column: str = "text") -> dict[str, str]:
+    """Templates of a table of names and texts, one row per name; null rows are left out."""
+    usable = templates.select(F.col(name_column).alias("name"), F.col(text_column).alias("text")).dropna()
+    rows = usable.limit(MAX_TEMPLATES + 1).collect()
+    out = {r["name"]: r["text"] for r in rows}
+    if len(rows) > MAX_TEMPLATES or len(out) < len(rows):
+        raise ValueError(f"Templates need names of their own, {MAX_TEMPLATES} at most.")
+    return out
+
+
+def licenses(docs: DataFrame, templates: dict[str, str] | DataFrame = TEMPLATES, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per license text found: doc_id, license, coverage (matched words of the
     template's), matched_words, start and end in code points, and the stretch of the
     template that is covered.
 
-    The templates travel with the tasks (a parameter of a few notices). Null and
+    The templates travel with the tasks; they are notices and short licenses, or a
+    table of ``license`` and ``text``, such as full texts of long ones. Null and
     empty texts give no rows; rows with null or repeated ids are scanned like any
     other; other columns are not read.
     """
+    if isinstance(templates, DataFrame):
+        templates = template_table(templates)
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     schema = "doc_id long, license string, coverage double, matched_words long, start long, end long, template_start long, template_end long"
     return mapped(source, _scanned(templates), schema)

@@ -61,3 +61,23 @@ def test_repeated_lines_and_clean_texts(spark):
     n = len(line)
     assert sorted(got) == [(50, "mit-line", k * (n + 1), k * (n + 1) + n - 1, 1.0) for k in range(3)] + [(52, "mit-line", 0, n - 1, 1.0)]
     assert L.licenses(docs.limit(0)).collect() == []
+
+
+def test_letters_whose_lower_case_is_longer():
+    line = L.TEMPLATES["mit-line"]
+    for before in ("İstanbul İzmir. ", "İİ İ " * 30):
+        text = before + line
+        assert [(m[0], text[m[3]:m[4]]) for m in L.matches(text, INDEX)] == [("mit-line", line.strip("."))]
+
+
+def test_template_table(spark):
+    own = "You may read this text aloud on any day but Monday, to whoever listens."
+    told = spark.createDataFrame([("own-1", own), ("none", None)], "license string, text string")
+    docs = spark.createDataFrame([(1, "İ " + own.upper()), (2, L.TEMPLATES["mit"])], "doc_id long, text string")
+    assert [(r.doc_id, r.license, r.start, r.coverage) for r in L.licenses(docs, told).collect()] == [(1, "own-1", 2, 1.0)]
+
+
+def test_kinds_of_notices_are_told_apart():
+    for name in ("lgpl-2.1-header", "agpl-3.0-header", "gpl-3.0-header", "epl-2.0-header", "unlicense", "cc-by-4.0-line", "bsd-3-clause"):
+        found = L.matches("Before it. " + L.TEMPLATES[name], INDEX)
+        assert max(found, key=lambda m: (m[1], m[2]))[0] == name
