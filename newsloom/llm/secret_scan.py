@@ -50,6 +50,9 @@ _LEX = re.compile(
     r"""|(?P<plus>\+)|(?P<end>[\n;,{}()])|(?P<other>\S)"""
 )
 
+#: The rest of a bare value: signs other than operators and separators, and what follows them.
+_MORE = re.compile(r"(?:[!#$@%^*~?][\w!#$@%^*~?/.\-]*)?")
+
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the three fixed patterns, sorted by start, then kind."""
@@ -133,11 +136,12 @@ def pairs(text: str) -> list[tuple[str, str, list[tuple[int, int]]]]:
             continue
         if kind in ("name", "bare"):
             if wants:
+                whole = token + _MORE.match(text, m.end()).group()
                 if kind == "name" and token in known:
                     parts.append(known[token])
                     wants = False
-                elif any(c.isdigit() for c in token) and len(token) >= MIN_LITERAL:
-                    parts.append((token, [m.span()]))
+                elif any(c.isdigit() for c in whole) and len(whole) >= MIN_LITERAL:
+                    parts.append((whole, [(m.start(), m.start() + len(whole))]))
                     wants = False
                 else:
                     wants = False
@@ -165,10 +169,18 @@ def literal_spans(text: str) -> list[tuple[int, int, str]]:
     return [(a, b, "literal") for (a, b) in sorted(best) if b > a]
 
 
+def _covered(start: int, end: int, base: list[tuple[int, int, str]]) -> bool:
+    """Whether the spans of ``base``, sorted by start, together hold all of [start, end)."""
+    for a, b, _ in base:
+        if a <= start < b:
+            start = b
+    return start >= end
+
+
 def scan(text: str) -> list[tuple[int, int, str]]:
-    """All spans: the fixed patterns, and the literals that none of them touches."""
+    """All spans: the fixed patterns, and the literals that reach beyond them."""
     base = base_spans(text)
-    more = [s for s in literal_spans(text) if not any(a < s[1] and s[0] < b for a, b, _ in base)]
+    more = [s for s in literal_spans(text) if not _covered(s[0], s[1], base)]
     return sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 

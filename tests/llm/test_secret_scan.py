@@ -60,3 +60,14 @@ def test_masking(spark):
     assert out.columns == docs.columns and out.count() == 4
     assert rows[1].text == 'é [SECRET]" and [SECRET]' and rows[1].n_chars == len(rows[1].text)
     assert rows[2].text is None and rows[3].text == "plain" and rows[3].n_chars == 5
+
+
+def test_literals_that_reach_beyond_a_base_span():
+    text = 'db_password = "hunter2x!Zq9#mR$w"\n'
+    assert [text[a:b] for a, b, kind in S.scan(text) if kind == "assign"] == ['password = "hunter2x']
+    assert S.masked(text) == 'db_[SECRET]"\n'
+    assert S.masked('secret: "abcdef7 Zq9%mR&w", x') == '[SECRET]", x'
+    assert S.masked("TOKEN=hunter2x!Zq9#mR$w\nrest") == "[SECRET]\nrest"
+    # wholly covered, by one span or by two that meet
+    assert caught('password = "abc123xyz"') == []
+    assert S._covered(3, 9, [(0, 5, "assign"), (5, 12, "hex")]) and not S._covered(3, 9, [(0, 5, "assign"), (6, 12, "hex")])
