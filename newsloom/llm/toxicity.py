@@ -3,7 +3,8 @@
 Noisy channel: a writer's letters may be swapped for look-alikes, repeated, or set
 apart. For each token that shows such marks, the lattice of its possible letters is
 decoded (Viterbi) under a character trigram model counted over all documents; a
-token of plain letters has a lattice of one path and passes as it is. The restored
+token of plain letters has a lattice of one path and passes as it is, and so does a
+word with double letters or marks at its edges that many documents hold. The restored
 words are then scored by what labelled documents say about them.
 """
 
@@ -12,6 +13,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +37,20 @@ LOOK_ALIKE = {
 #: a star read as a vowel, a letter that is dropped from a double one.
 SWAP, REPEAT, DROP, NOISE, APART = 0.7, 0.4, 10.0, 2.0, 0.3
 STAR, TWICE = 2.5, 3.0
+#: A look-alike at a token's edge that is a mark after all, and one that seldom opens a
+#: word as a mark; a space that parts words, after a lone "a" or "i" and elsewhere.
+EDGE, OPENING, ALONE, BORDER = 4.0, 7.0, 0.0, 4.0
+#: Words taken for plain: seen in so many documents, and in this share of them.
+MAX_WORDS, MIN_SEEN, OFTEN = 50_000, 3, 1 / 2000
 _APART = " .-_~'/\\,"
 _SIZE = 27
 _WORD_MARKS = ".,;:!?\"'()[]{}<>«»„“”‚‘’…–—-_*#%&/\\=~^`|"
 _THRICE = re.compile(r"([^\W\d_])\1\1")
 _THRICE_RUN = re.compile(r"([^\W\d_])\1{2,}")
+_TWICE = re.compile(r"([^\W\d_])\1")
+#: Amounts, dates and the like: digits with signs at the edges only.
+_NUMBER = re.compile(r"[+\-$€£]{0,2}[\d.,:/\-]*\d[\d.,:/\-]*[+$€£%]?")
+_SIGNS = frozenset(ch for ch in LOOK_ALIKE if not ch.isdigit())
 _CACHE_WORDS = 60_000
 
 
@@ -84,8 +95,39 @@ def character_model(texts: DataFrame, text_column: str = "text") -> np.ndarray:
     return -np.log(triple)
 
 
-def viterbi(span: str, costs: list[float]) -> str:
-    """The likeliest letters behind ``span`` (lower case)."""
+def _word_counts(batches):
+    counts: Counter = Counter()
+
+    def told():
+        words: Counter = Counter()
+        for token, n in counts.items():
+            word = token.strip(_WORD_MARKS)
+            if len(word) > 2 and word.isalpha():
+                words[word] += n
+        counts.clear()
+        return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
+
+    for part in slices(batches):
+        for text in part.column(0).to_pylist():
+            if text:
+                counts.update(set(text.encode("utf-8", "replace").decode().lower().split()))
+        if len(counts) > 200_000:
+            yield told()
+    yield told()
+
+
+def word_counts(texts: DataFrame, text_column: str = "text") -> tuple[dict[str, int], int]:
+    """In how many documents the MAX_WORDS most frequent words occur, and from what
+    number on a word is taken for plain."""
+    counts = mapped(texts.select(F.col(text_column).alias("text")), _word_counts, "word string, n long")
+    kept = counts.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_SEEN)
+    rows = kept.orderBy(F.desc("n"), "word").limit(MAX_WORDS).collect()
+    return {r["word"]: r["n"] for r in rows}, max(MIN_SEEN, int(texts.count() * OFTEN))
+
+
+def viterbi(span: str, costs: list[float], edges: tuple[int, int] = (0, 0), borders: bool = False) -> str:
+    """The likeliest letters behind ``span`` (lower case). ``edges``: how many
+    characters at its ends may be marks; ``borders``: spaces may part words."""
     states = {(0, 0): (0.0, None)}
     last = ""
     long_runs = {k for m in _THRICE_RUN.finditer(span) for k in range(m.start() + 1, m.end())}
@@ -93,7 +135,10 @@ def viterbi(span: str, costs: list[float]) -> str:
         own = _symbol(ch)
         paths = [(own, ch, 0.0)] if own else []
         paths += [(ord(x) - 96, x, STAR if ch == "*" else SWAP) for x in LOOK_ALIKE.get(ch, "")]
-        if ch in _APART:
+        edge = place < edges[0] or place >= len(span) - edges[1]
+        if edge:
+            skip = REPEAT if ch == last else NOISE if ch == "*" else OPENING if place < edges[0] and ch != "(" else EDGE
+        elif ch in _APART:
             skip = APART
         elif own:
             skip = None if ch != last else REPEAT if place in long_runs else TWICE
@@ -104,6 +149,10 @@ def viterbi(span: str, costs: list[float]) -> str:
             if skip is not None and cost + skip < new.get((a, b), (np.inf,))[0]:
                 new[a, b] = (cost + skip, back)
             at = a * 729 + b * 27
+            if borders and ch == " " and b:
+                total = cost + costs[at] + (ALONE if a == 0 and b in (1, 9) else BORDER)
+                if total < new.get((0, 0), (np.inf,))[0]:
+                    new[0, 0] = (total, (back, " "))
             for symbol, out, more in paths:
                 total = cost + more + costs[at + symbol]
                 if total < new.get((b, symbol), (np.inf,))[0]:
@@ -120,38 +169,70 @@ def viterbi(span: str, costs: list[float]) -> str:
 class Restorer:
     """Restores tokens and texts; remembers what it has decoded."""
 
-    def __init__(self, costs: np.ndarray):
+    def __init__(self, costs: np.ndarray, seen: dict[str, int] | None = None, often: int = 1):
         self.costs = costs.ravel().tolist()
+        self.seen = seen or {}
+        self.plain = {w for w, n in self.seen.items() if n >= often}
         self.known: dict[str, str] = {}
 
     def token(self, token: str) -> str:
         """Restored word of one lower-case token."""
         core = token.strip(_WORD_MARKS)
-        if core.isalpha() and not _THRICE.search(core):
+        if not core:
             return core
-        if not any(ch.isalpha() for ch in core):
+        at = token.index(core)
+        front = "".join([ch for ch in token[:at] if ch in LOOK_ALIKE])
+        back = "".join([ch for ch in token[at + len(core):] if ch in LOOK_ALIKE])
+        if core.isalpha():
+            if not (front or back) and not _TWICE.search(core):
+                return core
+            if core in self.plain and not _THRICE.search(core):
+                return core
+        elif not any(ch.isalpha() for ch in core) and (_SIGNS.isdisjoint(core) or _NUMBER.fullmatch(core)):
             return core
-        word = self.known.get(core)
+        key = f"{front} {core} {back}"
+        word = self.known.get(key)
         if word is None:
             if len(self.known) >= _CACHE_WORDS:
                 self.known.clear()
-            word = self.known[core] = viterbi(core, self.costs)
+            word = self.known[key] = viterbi(front + core + back, self.costs, (len(front), len(back)))
         return word
 
-    def words(self, text: str) -> list[str]:
-        """All restored words of ``text``; letters set apart by spaces are joined."""
+    def _run(self, tokens: list[str]) -> list[list[str]]:
+        """Readings of characters that stand alone, the best one first: as one word,
+        with word borders, and with a leading "a" or "i" as a word."""
+        span = " ".join(tokens)
+        whole, parted = [viterbi(span, self.costs)], viterbi(span, self.costs, borders=True).split()
+        found = [parted] if parted == whole else [whole, parted]
+        if tokens[0] in ("a", "i") and len(tokens) > 3:
+            rest = [tokens[0], viterbi(" ".join(tokens[1:]), self.costs)]
+            found += [rest] if rest not in found else []
+        good = [r for r in found if all(w in self.seen or w in ("a", "i") for w in r)]
+        best = (good or [parted])[0]
+        return [best] + [r for r in found if r != best]
+
+    def readings(self, text: str) -> tuple[list[str], list[str]]:
+        """All restored words of ``text``, letters set apart by spaces joined; and the
+        words of the other readings of such letters."""
         tokens = text.lower().split()
         spans = "".join(["1" if len(t) == 1 else "0" for t in tokens])
-        joined = []
-        if "1111" in spans:
-            out, at = [], 0
-            for m in re.finditer("1{4,}", spans):
-                out += tokens[at:m.start()]
-                out.append(viterbi(" ".join(tokens[m.start():m.end()]), self.costs))
-                joined.append(out[-1])
-                at = m.end()
-            tokens = out + tokens[at:]
-        return [self.token(t) for t in tokens]
+        if "111" not in spans:
+            return [self.token(t) for t in tokens], []
+        out, others, at = [], [], 0
+        for m in re.finditer("1{3,}", spans):
+            run = tokens[m.start():m.end()]
+            out += [self.token(t) for t in tokens[at:m.start()]]
+            if len(run) > 3 or any(ch.isalpha() for ch in run):
+                best, *rest = self._run(run)
+                out += best
+                others += [w for words in rest for w in words]
+            else:
+                out += [self.token(t) for t in run]
+            at = m.end()
+        return out + [self.token(t) for t in tokens[at:]], others
+
+    def words(self, text: str) -> list[str]:
+        return self.readings(text)[0]
 
     def text(self, text: str) -> str:
         return " ".join(self.words(text))
@@ -164,13 +245,13 @@ def _terms(word: str) -> tuple[int, ...]:
     return tuple(zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in {word, word[:4] + "*", word[:5] + "*", word[:6] + "*"})
 
 
-def _term_rows(costs):
+def _term_rows(costs, seen, often):
     def run(batches):
-        restorer = Restorer(costs)
+        restorer = Restorer(costs, seen, often)
         for part in slices(batches):
             terms = []
             for text in part.column(2).to_pylist():
-                words = set(restorer.words(text or ""))
+                words = set().union(*restorer.readings(text or ""))
                 terms.append([list(_terms(w)) for w in words if len(w) > 2])
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array(terms, pa.list_(pa.list_(pa.int64())))], ["row", "label", "words"]
@@ -205,15 +286,16 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
 
 
 class Model:
-    """Character costs, term weights, and the weights of the evidence."""
+    """Character costs, term weights, the weights of the evidence, and how often words are seen."""
 
-    def __init__(self, costs, terms: dict[int, float], final: np.ndarray):
-        self.costs, self.terms, self.final = costs, terms, final
+    def __init__(self, costs, terms: dict[int, float], final: np.ndarray, seen: dict[str, int], often: int):
+        self.costs, self.terms, self.final, self.seen, self.often = costs, terms, final, seen, often
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, label_column: str) -> Model:
     """Learn from the given labelled rows (bounded by MAX_LABELLED) and all texts."""
     costs = character_model(docs, text_column)
+    frequent, often = word_counts(docs, text_column)
     known = labels.filter(F.col(label_column).isin(0, 1) & F.col(id_column).isNotNull()).select(
         F.col(id_column).alias("row"), F.col(label_column).cast("int").alias("label")
     )
@@ -222,13 +304,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, la
     # at most about MAX_LABELLED pairs of an id and a label, so this broadcast is bounded
     learned = docs.select(F.col(id_column).alias("row"), F.col(text_column).alias("text")).join(F.broadcast(known), "row")
     rows = saved(
-        mapped(learned.select("row", "label", "text"), _term_rows(costs), "row long, label int, words array<array<long>>"),
+        mapped(learned.select("row", "label", "text"), _term_rows(costs, frequent, often), "row long, label int, words array<array<long>>"),
         "toxic-terms",
     )
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("bad")).first()
     if not size["n"] or not size["bad"] or size["bad"] == size["n"]:
         level = 0.5 if not size["n"] else size["bad"] / size["n"]
-        return Model(costs, {}, np.array([0, 0, 0, 0, np.log((level + 1e-3) / (1 - level + 1e-3))]))
+        return Model(costs, {}, np.array([0, 0, 0, 0, np.log((level + 1e-3) / (1 - level + 1e-3))]), frequent, often)
     odds = size["bad"] / (size["n"] - size["bad"])
     seen = rows.select("label", F.explode(F.array_distinct(F.flatten("words"))).alias("term"))
     counts = seen.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("bad"))
@@ -257,20 +339,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, la
     # bounded by MAX_LABELLED rows of five numbers
     found = mapped(rows.select("label", "words"), own_evidence, "label int, a double, b double, c double, d double").toPandas()
     x = found[["a", "b", "c", "d"]].to_numpy()
-    return Model(costs, weights, logistic(x, found["label"].to_numpy(float)))
+    return Model(costs, weights, logistic(x, found["label"].to_numpy(float)), frequent, often)
 
 
 def _scores(model: Model, keep_text: bool):
     def run(batches):
-        restorer, weight_of = Restorer(model.costs), {}
+        restorer, weight_of = Restorer(model.costs, model.seen, model.often), {}
         names = ["row", "score"] + ["restored"] * keep_text
         for part in slices(batches):
             evidence, restored = [], []
             for text in part.column(1).to_pylist():
-                words = restorer.words(text or "")
+                words, others = restorer.readings(text or "")
                 restored.append(" ".join(words) if keep_text else None)
                 found = []
-                for word in set(words):
+                for word in {*words, *others}:
                     weight = weight_of.get(word)
                     if weight is None:
                         if len(weight_of) >= _CACHE_WORDS:

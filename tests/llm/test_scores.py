@@ -84,3 +84,19 @@ def test_awkward_rows(spark, operator):
     assert operator(docs.limit(0), labels).collect() == [] == operator(docs.limit(0), labels.limit(0)).collect()
     flat = {r.score for r in operator(docs, labels.filter(F.lit(False))).collect()}
     assert flat == {0.5}
+
+
+@needs_tables
+def test_look_alikes_at_edges_doubled_letters_and_short_runs(spark):
+    docs = table(spark, FOLDER, "documents")
+    restorer = toxicity.Restorer(toxicity.character_model(docs), *toxicity.word_counts(docs))
+    for told, meant in (
+        ("!diot", "idiot"), ("|diot", "idiot"), ("@$$", "ass"), ("iidiot", "idiot"), ("mmoron", "moron"), ("l0$er!", "loser"),
+        ("the!!", "the"), ("(the", "the"), ("!!!", ""), ("$100", "$100"), ("555-6268", "555-6268"),
+    ):
+        assert restorer.text(told) == meant, (told, restorer.text(told))
+    assert restorer.text("10$3+") != "10$3+" and restorer.text("10$3+").isalpha()
+    words, others = restorer.readings("such a i d i o t here")
+    assert "idiot" in words + others and {"such", "here"} <= set(words)
+    assert len(restorer.words("x s h y z")) < 5 and len(restorer.words("b a d")) == 1
+    assert restorer.words("1 2 3") == ["1", "2", "3"]
