@@ -39,6 +39,8 @@ HARMLESS = ("_path", "_file", "_url", "_uri", "_name", "_type", "_length", "_fie
 #: Literals that stand for a value to be filled in.
 PLACEHOLDERS = {"changeme", "example", "placeholder", "password", "secret", "token", "none", "null", "true", "false", "xxxxxx", "your"}
 MIN_LITERAL, MIN_SCORE = 6, 0.75
+#: A name whose weight is below MIN_SCORE is reached by literals of this form score.
+MIN_FORM = 0.9
 MASK = "[SECRET]"
 
 _CLUE = re.compile(r"pass(?:word|wd|phrase)|pwd|secret|token|key|credential|auth|bearer|connection_?string", re.IGNORECASE)
@@ -50,6 +52,9 @@ _LEX = re.compile(
     r"""|(?P<plus>\+)|(?P<end>[\n;,{}()])|(?P<other>\S)"""
 )
 
+#: "auth" where it isn't part of author, authority or authentic; names whose values hold blanks.
+_AUTH = re.compile(r"auth(?!or(?!i[sz])|entic(?!ation))")
+_WORDY = re.compile(r"pass_?phrase|connection_?string")
 #: The rest of a bare value: signs other than operators and separators, and what follows them.
 _MORE = re.compile(r"(?:[!#$@%^*~?][\w!#$@%^*~?/.\-]*)?")
 
@@ -66,12 +71,30 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
+def _lowered(name: str) -> str:
+    return re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", name).lower().replace("-", "_").replace(".", "_")
+
+
+def _weight(low: str) -> float:
+    tight = low.replace("_", "")
+    return max(
+        [
+            v for k, v in SENSITIVE.items()
+            if (k in low or k.replace("_", "") in tight) and (k != "auth" or _AUTH.search(low))
+        ],
+        default=0.0,
+    )
+
+
 def sensitivity(name: str) -> float:
     """0 to 1: how much a name says that its value is secret."""
-    low = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", name).lower().replace("-", "_").replace(".", "_")
-    tight = low.replace("_", "")
-    best = max([v for k, v in SENSITIVE.items() if k in low or k.replace("_", "") in tight], default=0.0)
-    return best * (0.3 if low.endswith(HARMLESS) else 1.0)
+    low = _lowered(name)
+    return _weight(low) * (0.3 if low.endswith(HARMLESS) else 1.0)
+
+
+def least_score(name: str) -> float:
+    """What a literal of that name must score; literals of every listed name can."""
+    return min(MIN_SCORE, MIN_FORM * _weight(_lowered(name)) or MIN_SCORE)
 
 
 def literal_score(value: str, name: str) -> float:
@@ -79,13 +102,14 @@ def literal_score(value: str, name: str) -> float:
     core = value.strip()
     if len(core) < MIN_LITERAL or core.lower() in PLACEHOLDERS or len(set(core)) < 4:
         return 0.0
-    if core.startswith(("${", "{{", "<", "%(", "$(")) or core.count(" ") > 1:
+    blanks = core.count(" ")
+    if core.startswith(("${", "{{", "<", "%(", "$(")) or blanks > 1 and not _WORDY.search(_lowered(name)):
         return 0.0
-    counts = Counter(core[:256])
+    counts = Counter(core)
     n = sum(counts.values())
     spread = -sum(c / n * math.log2(c / n) for c in counts.values())
     mixed = any(c.isdigit() for c in core) + any(c.isupper() for c in core) + any(not c.isalnum() for c in core)
-    return sensitivity(name) * min(1.0, 0.55 + 0.1 * mixed + 0.08 * spread)
+    return sensitivity(name) * min(1.0, 0.55 + 0.1 * mixed + 0.08 * spread) * max(0.92, 1 - 0.02 * max(0, blanks - 1))
 
 
 def _regions(text: str):
@@ -164,7 +188,7 @@ def literal_spans(text: str) -> list[tuple[int, int, str]]:
     for start, end in _regions(text):
         for name, value, spans in pairs(text[start:end]):
             score = literal_score(value, name)
-            for a, b in spans if score >= MIN_SCORE else []:
+            for a, b in spans if score >= least_score(name) else []:
                 best[start + a, start + b] = max(score, best.get((start + a, start + b), 0))
     return [(a, b, "literal") for (a, b) in sorted(best) if b > a]
 

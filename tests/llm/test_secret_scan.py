@@ -71,3 +71,19 @@ def test_literals_that_reach_beyond_a_base_span():
     # wholly covered, by one span or by two that meet
     assert caught('password = "abc123xyz"') == []
     assert S._covered(3, 9, [(0, 5, "assign"), (5, 12, "hex")]) and not S._covered(3, 9, [(0, 5, "assign"), (6, 12, "hex")])
+
+
+def test_every_listed_name_can_be_reached():
+    for name in S.SENSITIVE:
+        assert caught(f'{name} = "q!W2-e3R#t5Y%u7I"') or S.masked(f'{name} = "q!W2-e3R#t5Y%u7I"') == '[SECRET]"', name
+    assert caught('connection_string = "Server=db;User=sa;Pwd=Zx9qLm27"') == ["Server=db;User=sa;Pwd=Zx9qLm27"]
+    assert caught('ConnectionString: "Data Source=db 1; User Id=sa; Pwd=Zx9qLm27; A=b c d e f"') != []
+    assert caught('auth = "Zx9qLm27-kk"') == ["Zx9qLm27-kk"] and caught('author = "Zx9qLm27-kk"') == []
+    assert caught('auth_url = "Zx9qLm27-kk"') == []
+    assert caught('passphrase = "correct horse battery staple9"') == ["correct horse battery staple9"]
+    assert caught('pwd = "must have 8 characters"') == []
+
+
+def test_the_whole_literal_is_scored():
+    plain, mixed = "ab" * 128, "q7Wx-2Zk9" * 30
+    assert S.literal_score(plain + mixed, "bearer") > S.literal_score(plain + "ABC-1", "bearer")
