@@ -40,6 +40,11 @@ HEADLINE = (
     "page_links",
     "pages_parsed",
     "test_results",
+    "cv_folds",
+    "cv_folds_grouped",
+    "experiment_results",
+    "nmf_topics",
+    "full_features",
 )
 
 

@@ -2,7 +2,8 @@
 
 A feature set is split in two: ``prepare`` adds whatever a document's own text
 determines, once for all folds; ``fit`` learns from training rows only and
-returns a function that adds the ``features`` vector to any prepared rows.
+returns a function that adds the ``features`` vector to any prepared rows.  Sets
+that start from TF-IDF take its model, so folds can share the counting of terms.
 """
 
 from __future__ import annotations
@@ -23,18 +24,23 @@ EXTRA_COLUMNS = linguistic.POS_COLUMNS + sentiment.SENTIMENT_COLUMNS + linguisti
 
 @dataclass(frozen=True)
 class FeatureSet:
-    """``prepare(df, id_col)`` and ``fit(train, id_col, n_train)``."""
+    """``prepare(df, id_col)`` and ``fit(train, id_col, n_train, terms)``; ``terms`` is a
+    fitted TF-IDF model, or None for a set that has none or learns its own."""
 
     prepare: Callable[[DataFrame, str], DataFrame]
-    fit: Callable[[DataFrame, str, int], Apply]
+    fit: Callable[..., Apply]
+    uses_terms: bool = True
 
 
 def _prepare_terms(df: DataFrame, id_col: str) -> DataFrame:
     return tfidf.with_terms(df).drop("text")
 
 
-def _fit_tfidf(train: DataFrame, id_col: str, n_train: int) -> Apply:
-    model = tfidf.fit(train, n_train)
+Terms = tfidf.TfidfModel | None
+
+
+def _fit_tfidf(train: DataFrame, id_col: str, n_train: int, terms: Terms = None) -> Apply:
+    model = terms or tfidf.fit(train, n_train)
     return lambda df: model.transform(df, "features")
 
 
@@ -48,8 +54,8 @@ def _prepare_full(df: DataFrame, id_col: str) -> DataFrame:
     return tfidf.with_terms(with_extra_columns(df, id_col)).drop("text")
 
 
-def _fit_full(train: DataFrame, id_col: str, n_train: int) -> Apply:
-    model = tfidf.fit(train, n_train)
+def _fit_full(train: DataFrame, id_col: str, n_train: int, terms: Terms = None) -> Apply:
+    model = terms or tfidf.fit(train, n_train)
     scaler = scaling.fit_scaler(train, EXTRA_COLUMNS)
 
     def apply(df: DataFrame) -> DataFrame:
@@ -60,8 +66,8 @@ def _fit_full(train: DataFrame, id_col: str, n_train: int) -> Apply:
 
 
 def fit_tfidf_nmf(max_iter: int = K.NMF_MAX_ITER, k: int = K.NMF_COMPONENTS):
-    def fit(train: DataFrame, id_col: str, n_train: int) -> Apply:
-        model = tfidf.fit(train, n_train)
+    def fit(train: DataFrame, id_col: str, n_train: int, terms: Terms = None) -> Apply:
+        model = terms or tfidf.fit(train, n_train)
         vectors = model.transform(train, "tfidf").select(id_col, "tfidf").persist()
         topics = nmf.fit(vectors, id_col, "tfidf", len(model.terms), k=k, max_iter=max_iter)
         vectors.unpersist()
@@ -82,7 +88,7 @@ def _prepare_embeddings(chunked: bool):
     return prepare
 
 
-def _no_fit(train: DataFrame, id_col: str, n_train: int) -> Apply:
+def _no_fit(train: DataFrame, id_col: str, n_train: int, terms: Terms = None) -> Apply:
     return lambda df: df
 
 
@@ -90,6 +96,6 @@ FEATURE_SETS: dict[str, FeatureSet] = {
     "tfidf": FeatureSet(_prepare_terms, _fit_tfidf),
     "tfidf_nmf": FeatureSet(_prepare_terms, fit_tfidf_nmf()),
     "full": FeatureSet(_prepare_full, _fit_full),
-    "embeddings": FeatureSet(_prepare_embeddings(False), _no_fit),
-    "chunked": FeatureSet(_prepare_embeddings(True), _no_fit),
+    "embeddings": FeatureSet(_prepare_embeddings(False), _no_fit, False),
+    "chunked": FeatureSet(_prepare_embeddings(True), _no_fit, False),
 }

@@ -10,6 +10,7 @@ transformers over at most ``max_features`` dimensions.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from math import log
 
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from newsloom import constants as K
 from newsloom.functions import text as X
+from newsloom.sources.scratch import stored
 
 
 def terms_of(text_col: Column | str, stop_words=K.STOP_WORDS) -> Column:
@@ -54,15 +56,18 @@ class Limits:
 
 
 def vocabulary(
-    frequencies: DataFrame, limits: Limits, max_features: int = K.TFIDF_MAX_FEATURES
+    frequencies: DataFrame, limits: Limits, max_features: int = K.TFIDF_MAX_FEATURES, tf: str = "tf", df: str = "df"
 ) -> DataFrame:
-    """The most frequent admissible terms; ties are settled by the term.
+    """(term, tf, df) of the most frequent admissible terms; ties are settled by the term.
 
     Terms are counted per frequency; that small table says at which frequency the
     list is full.  Terms above it are all in, and only those of exactly that
-    frequency are put in order for the places that are left.
+    frequency are put in order for the places that are left.  ``frequencies`` is
+    read up to three times: pass a stored table.
     """
-    fit = frequencies.where(F.col("df").between(limits.min_df, limits.max_df))
+    fit = frequencies.select("term", F.col(tf).alias("tf"), F.col(df).alias("df")).where(
+        F.col("df").between(limits.min_df, limits.max_df)
+    )
     higher = Window.orderBy(F.desc("tf")).rowsBetween(Window.unboundedPreceding, -1)
     per = fit.groupBy("tf").agg(F.count(F.lit(1)).alias("n")).withColumn("above", F.coalesce(F.sum("n").over(higher), F.lit(0)))
     cut = per.where((F.col("above") < max_features) & (F.col("above") + F.col("n") > max_features)).first()
@@ -72,6 +77,14 @@ def vocabulary(
     return fit.where(F.col("tf") > cut["tf"]).unionByName(tied)
 
 
+def corpus_vocabulary(rows: DataFrame, n_docs: int, max_features: int = K.TFIDF_MAX_FEATURES) -> DataFrame:
+    """The vocabulary of rows with ``terms``; terms are counted once and written, but
+    for those outside the document-frequency limits."""
+    limits = Limits.for_corpus(n_docs)
+    counted = term_frequencies(rows).where(F.col("df").between(limits.min_df, limits.max_df))
+    return vocabulary(stored(counted, "term-frequencies"), limits, max_features)
+
+
 def idf(n_docs: int, df: Column) -> Column:
     """Smoothed inverse document frequency."""
     return F.log((1.0 + n_docs) / (1.0 + df)) + 1.0
@@ -100,19 +113,38 @@ class TfidfModel:
         )
 
 
+def _model(rows: DataFrame, n: int) -> TfidfModel:
+    terms = sorted((r["term"], r["df"]) for r in rows.collect())
+    if not terms:
+        raise ValueError("No terms remain after pruning.")
+    return TfidfModel(tuple(t for t, _ in terms), tuple(log((1 + n) / (1 + df)) + 1 for _, df in terms), n)
+
+
 def fit(train: DataFrame, n_docs: int | None = None, max_features: int = K.TFIDF_MAX_FEATURES) -> TfidfModel:
     """Learn terms and weights from rows with a ``terms`` array.
 
     Only the final vocabulary (at most ``max_features`` rows) reaches the driver.
     """
     n = train.count() if n_docs is None else n_docs
-    rows = vocabulary(term_frequencies(train), Limits.for_corpus(n), max_features).collect()
-    if not rows:
-        raise ValueError("No terms remain after pruning.")
-    rows.sort(key=lambda r: r["term"])
-    return TfidfModel(
-        tuple(r["term"] for r in rows), tuple(log((1 + n) / (1 + r["df"])) + 1 for r in rows), n
-    )
+    return _model(corpus_vocabulary(train, n, max_features), n)
+
+
+def fit_folds(
+    rows: DataFrame, in_test: dict[int, Column], sizes: dict[int, int], max_features: int = K.TFIDF_MAX_FEATURES
+) -> dict[int, TfidfModel]:
+    """The model of every fold, learnt from the rows that are not in its test part.
+
+    Terms are counted once for all folds: each fold has its own pair of sums in the
+    same aggregation.  ``sizes``: training rows of each fold.
+    """
+    limits = {k: Limits.for_corpus(n) for k, n in sizes.items()}
+    trained = [(~c).alias(f"in_{k}") for k, c in in_test.items()]
+    sums = [F.sum(F.when(F.col(f"in_{k}"), F.col("n"))).alias(f"tf_{k}") for k in in_test]
+    sums += [F.count_if(f"in_{k}").alias(f"df_{k}") for k in in_test]
+    kept = [F.col(f"df_{k}").between(limits[k].min_df, limits[k].max_df) for k in in_test]
+    terms = rows.select(*trained, F.inline(X.term_counts("terms"))).groupBy("term").agg(*sums)
+    counted = stored(terms.where(reduce(Column.__or__, kept)), "term-frequencies")
+    return {k: _model(vocabulary(counted, limits[k], max_features, f"tf_{k}", f"df_{k}"), sizes[k]) for k in in_test}
 
 
 def long_form(df: DataFrame, model: TfidfModel, id_col: str, vector: str = "tfidf") -> DataFrame:

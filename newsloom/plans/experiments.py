@@ -1,9 +1,10 @@
 """Cross-validation, held-out test and the experiment loop.
 
 Membership in folds is decided on ids and classes alone and joined to the texts
-once; what a text alone determines is computed once per experiment.  Predictions
-are written as they are made, so a result never trains or scores again, and every
-cache is let go when its experiment ends.
+once; what a text alone determines is computed once per experiment.  All folds and
+classifiers of an experiment are trained together: each training step reads the
+vectors once.  Predictions are written, so a result never trains or scores again,
+and every cache is let go when its experiment ends.
 """
 
 from __future__ import annotations
@@ -13,16 +14,18 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom import constants as K
+from newsloom.features import tfidf
 from newsloom.features.registry import FEATURE_SETS, FeatureSet
 from newsloom.operators import metrics, models, splits
+from newsloom.plans.tables import split_input
 from newsloom.sources.scratch import stored
 
 PREDICTION_COLUMNS = ("model", "stage", "classifier", "fold", "label", "prediction")
-#: Folds whose jobs are submitted together.
+#: Folds whose features are learnt together.
 FOLDS_AT_ONCE = 2
 
 
@@ -41,41 +44,50 @@ def _at_once(spark: SparkSession, work: Callable, items: list, n: int) -> list:
         return list(pool.map(inheritable_thread_target(spark)(work), items))
 
 
-def _one_fold(
+def _training_sizes(prepared: DataFrame, folds: dict[int, Column]) -> dict[int, int]:
+    """Training rows of each fold."""
+    counts = prepared.agg(*[F.count_if(~c).alias(str(k)) for k, c in folds.items()]).first()
+    sizes = {k: counts[str(k)] for k in folds}
+    if not all(sizes.values()):
+        raise ValueError("There are no training rows.")
+    return sizes
+
+
+def _predictions(
     name: str,
     stage: str,
-    fold: int,
     prepared: DataFrame,
-    in_test,
+    folds: dict[int, Column],
     features: FeatureSet,
     id_col: str,
     classifiers: Iterable[str],
+    parallelism: int = 1,
 ) -> DataFrame:
-    train, test = prepared.where(~in_test), prepared.where(in_test)
-    n_train = train.count()
-    if n_train == 0:
-        raise ValueError("Input text collection is empty.")
-    apply = features.fit(train, id_col, n_train)
-    train_x = apply(train).select("label", "features").persist(StorageLevel.MEMORY_AND_DISK)
-    test_x = apply(test).select(id_col, "label", "features").persist(StorageLevel.MEMORY_AND_DISK)
-    train_x.count()  # fill the cache once, before both fits read it
-
-    def predicted(classifier: str) -> DataFrame:
-        return models.fit_predict(classifier, train_x, test_x, n_train, id_col).select(
-            F.lit(name).alias("model"),
-            F.lit(stage).alias("stage"),
-            F.lit(classifier).alias("classifier"),
-            F.lit(fold).alias("fold"),
-            id_col,
-            "label",
-            "prediction",
-        )
-
-    parts = _at_once(prepared.sparkSession, predicted, list(classifiers), 2)
-    out = stored(reduce(DataFrame.unionByName, parts), "predictions")
-    train_x.unpersist()
-    test_x.unpersist()
-    return out
+    """Predictions of each fold's test rows. Terms are counted once for all folds,
+    and the classifiers of all folds are trained together, in one pass a step."""
+    names, sizes = list(classifiers), _training_sizes(prepared, folds)
+    terms = tfidf.fit_folds(prepared, folds, sizes) if features.uses_terms else {}
+
+    def vectors_of(fold: int) -> DataFrame:
+        """Vectors of all rows under what the fold's training rows teach, written out."""
+        train = prepared.where(~folds[fold])
+        apply = features.fit(train, id_col, sizes[fold], terms.get(fold))
+        rows = apply(prepared.withColumn("in_test", folds[fold]))
+        return stored(rows.select(F.lit(fold).alias("task"), id_col, "label", "in_test", "features"), "vectors")
+
+    vectors = _at_once(prepared.sparkSession, vectors_of, list(folds), parallelism)
+    train = reduce(DataFrame.unionByName, [v.where("NOT in_test") for v in vectors])
+    fitted = models.fit_tasks(train.select("task", "label", "features"), folds, names)
+    parts = []
+    for fold, rows in zip(folds, vectors):
+        test = rows.where("in_test").select(id_col, "label", "features")
+        for classifier in names:
+            scored = fitted[fold, classifier].transform(test)
+            parts.append(scored.select(
+                F.lit(name).alias("model"), F.lit(stage).alias("stage"), F.lit(classifier).alias("classifier"),
+                F.lit(fold).alias("fold"), id_col, "label", F.col("prediction").cast("int").alias("prediction"),
+            ))
+    return stored(reduce(DataFrame.unionByName, parts), "predictions")
 
 
 def cross_validate(
@@ -91,18 +103,13 @@ def cross_validate(
     source = ["source"] if "source" in df.columns else []
     slim = df.select(id_col, "label", *source).persist(StorageLevel.MEMORY_AND_DISK)
     folds = with_folds(slim, id_col, grouped).select(id_col, "label", "fold")
-    texts = df.select(id_col, "text").join(folds, id_col)
+    texts = split_input(df.select(id_col, "text").join(folds, id_col))
     prepared = features.prepare(texts, id_col).persist(StorageLevel.MEMORY_AND_DISK)
-
-    def run(fold: int) -> DataFrame:
-        return _one_fold(
-            name, "CV", fold, prepared, F.col("fold") == fold, features, id_col, classifiers
-        )
-
-    parts = _at_once(df.sparkSession, run, list(range(K.N_FOLDS)), parallelism)
+    in_test = {fold: F.col("fold") == fold for fold in range(K.N_FOLDS)}
+    out = _predictions(name, "CV", prepared, in_test, features, id_col, classifiers, parallelism)
     prepared.unpersist()
     slim.unpersist()
-    return reduce(DataFrame.unionByName, parts)
+    return out
 
 
 def held_out(
@@ -113,10 +120,10 @@ def held_out(
     classifiers: Iterable[str] = tuple(models.MODELS),
 ) -> DataFrame:
     """Predictions for rows with ``is_test``, learnt from the others."""
-    prepared = features.prepare(df.select(id_col, "text", "label", "is_test"), id_col).persist(
+    prepared = features.prepare(split_input(df.select(id_col, "text", "label", "is_test")), id_col).persist(
         StorageLevel.MEMORY_AND_DISK
     )
-    out = _one_fold(name, "TEST", 0, prepared, F.col("is_test"), features, id_col, classifiers)
+    out = _predictions(name, "TEST", prepared, {0: F.col("is_test")}, features, id_col, classifiers)
     prepared.unpersist()
     return out
 

@@ -10,7 +10,7 @@ from newsloom.functions import text as X
 from newsloom.operators import splits
 from newsloom.plans import sql as Q
 from newsloom.plans.registry import query
-from newsloom.plans.tables import corpus, documents, labelled_keys, table
+from newsloom.plans.tables import corpus, documents, labelled_keys, split_input, table
 from newsloom.sources.scratch import stored
 
 _STOPPED = f"list_filter({Q.tokens('text')}, lambda t: t NOT IN ({Q.strings(K.STOP_WORDS)}))"
@@ -26,7 +26,8 @@ _VOCAB = f"""(SELECT term, CAST(sum(n) AS BIGINT) AS tf, count(*) AS df FROM {_C
 
 def _folded_terms(spark, sf):
     folds = splits.stratified_folds(labelled_keys(spark, sf), "doc_id", "label")
-    return tfidf.with_terms(documents(spark, sf).join(folds, "doc_id")).drop("text")
+    texts = table(spark, sf, "documents").select("doc_id", "text").join(folds, "doc_id")
+    return tfidf.with_terms(split_input(texts)).drop("text")
 
 
 def _train_terms(spark, sf):
@@ -45,14 +46,14 @@ def tfidf_tokens(spark, sf):
 @query("tfidf_vocab", f"SELECT term, tf, df FROM {_VOCAB}")
 def tfidf_vocab(spark, sf):
     train = _train_terms(spark, sf)
-    return tfidf.vocabulary(tfidf.term_frequencies(train), tfidf.Limits.for_corpus(train.count()))
+    return tfidf.corpus_vocabulary(train, train.count())
 
 
 @query("tfidf_df_idf", f"SELECT term, df, round(ln((1 + {_N}) / (1 + df)) + 1, 9) AS idf FROM {_VOCAB}")
 def tfidf_df_idf(spark, sf):
     train = _train_terms(spark, sf)
     n = train.count()
-    vocab = tfidf.vocabulary(tfidf.term_frequencies(train), tfidf.Limits.for_corpus(n))
+    vocab = tfidf.corpus_vocabulary(train, n)
     return vocab.select("term", "df", F.round(tfidf.idf(n, F.col("df")), 9).alias("idf"))
 
 

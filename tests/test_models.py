@@ -4,7 +4,9 @@ from pyspark.ml.linalg import SparseVector, Vectors
 from pyspark.sql import functions as F
 
 from newsloom.functions import urls as U
-from newsloom.operators.squared_hinge import SquaredHinge
+from newsloom.operators import linear
+from newsloom.operators.linear import LOGISTIC, SQUARED_HINGE, Classifier
+from newsloom.plans import catalog
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +26,7 @@ def objective(w, x, y, C):
 
 def test_squared_hinge_reaches_the_minimum(rows):
     x, y, df = rows
-    model = SquaredHinge(0.5, 500, 1e-8).fit(df.repartition(20))
+    model = Classifier(SQUARED_HINGE, 0.5, 500, 1e-8).fit(df.repartition(20))
     value, slope = objective(model.weights, x, y, 0.5)
     assert np.linalg.norm(slope) < 1e-4
     # a plain gradient descent ends at the same value
@@ -36,11 +38,72 @@ def test_squared_hinge_reaches_the_minimum(rows):
 
 def test_predictions_and_dense_rows(spark, rows):
     x, y, df = rows
-    model = SquaredHinge(0.5, 500, 1e-8).fit(df)
+    model = Classifier(SQUARED_HINGE, 0.5, 500, 1e-8).fit(df)
     got = {r.doc_id: r.prediction for r in model.transform(df).collect()}
     assert [got[k] for k in range(120)] == (x @ model.weights[:-1] + model.weights[-1] > 0).astype(float).tolist()
     dense = spark.createDataFrame([(k, int(y[k]), Vectors.dense(x[k])) for k in range(120)], ["doc_id", "label", "features"])
-    assert np.allclose(SquaredHinge(0.5, 500, 1e-8).fit(dense).weights, model.weights, atol=1e-4)
+    assert np.allclose(Classifier(SQUARED_HINGE, 0.5, 500, 1e-8).fit(dense).weights, model.weights, atol=1e-4)
+
+
+def logistic(w, x, y, C):
+    sign = 2.0 * y - 1
+    f = x @ w[:-1] + w[-1]
+    pull = -sign / (1 + np.exp(sign * f))
+    return C * np.log1p(np.exp(-sign * f)).sum() + w[:-1] @ w[:-1] / 2, C * np.append(x.T @ pull, pull.sum()) + np.append(w[:-1], 0)
+
+
+def test_logistic_regression_reaches_the_minimum(rows):
+    x, y, df = rows
+    model = Classifier(LOGISTIC, 1.0, 500).fit(df.repartition(3))
+    w = np.zeros(7)
+    for _ in range(20_000):
+        w = w - 0.01 * logistic(w, x, y, 1.0)[1]
+    assert np.allclose(w, model.weights, atol=1e-4)
+    assert np.linalg.norm(logistic(model.weights, x, y, 1.0)[1]) <= 1.01e-6 * np.linalg.norm(logistic(np.zeros(7), x, y, 1.0)[1])
+
+
+def test_default_stop_holds_for_both(rows):
+    _, _, df = rows
+    for loss in (LOGISTIC, SQUARED_HINGE):
+        model = Classifier(loss, 0.7, 500).fit(df)
+        assert model.gradient_norm <= 1e-6 * model.first_norm
+
+
+def test_fits_together_equal_fits_alone(rows):
+    """Tasks on different rows, of both losses, in the same passes; blocks of a few entries."""
+    _, _, df = rows
+    folds = [df.where(F.col("doc_id") % 3 != k).withColumn("task", F.lit(k)) for k in range(3)]
+    train = folds[0].union(folds[1]).union(folds[2]).select("task", "label", "features")
+    fits = [Classifier(loss, 0.7, 500).task(k) for k in range(3) for loss in (LOGISTIC, SQUARED_HINGE)]
+    together = linear.fit_all(linear.blocks(train.repartition(20)), linear.widths(train), fits)
+    for fit, model in zip(fits, together):
+        alone = Classifier(fit.loss, 0.7, 500).fit(folds[fit.task])
+        assert np.allclose(model.weights, alone.weights, atol=1e-4)
+
+
+def test_blocks_are_bounded(rows, monkeypatch):
+    _, _, df = rows
+    whole = linear.blocks(df.withColumn("task", F.col("doc_id") % 2).coalesce(1))
+    batches = [r.asDict() for r in whole.collect()]
+    assert sum(len(r["sizes"]) // 4 for r in batches) == 120 and {r["task"] for r in batches} == {0, 1}
+
+
+def test_one_class_and_no_entries(spark):
+    df = spark.createDataFrame([(1, SparseVector(3, {})), (1, SparseVector(3, {0: 1.0}))], ["label", "features"])
+    for loss in (LOGISTIC, SQUARED_HINGE):
+        model = Classifier(loss, 1.0, 50).fit(df)
+        assert np.isfinite(model.weights).all() and [r.prediction for r in model.transform(df).collect()] == [1.0, 1.0]
+
+
+def test_predictions_after_an_observation_in_the_session(spark):
+    """A model must not carry the session: an observed table leaves things in it that no task can take."""
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    spark.range(10).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 10
+    out = catalog.QUERIES["lr_predictions"](spark, "/root/testdata/sf0.001")
+    assert out.count() > 0 and {r[0] for r in out.select("prediction").distinct().collect()} <= {0, 1}
 
 
 def test_links_with_dots(spark):
