@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from newsloom.sources.scratch import scratch_folder
 
 #: Rows turned into Python objects at once inside a task.
 SLICE_ROWS = 256
+#: Bytes of text in such a slice.
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,7 +34,8 @@ def saved_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     ship_package(spark)
     path = scratch_folder(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -45,24 +50,50 @@ BATCH_ROWS = 512
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def mapped(df: DataFrame, function, schema: str) -> DataFrame:
-    """``mapInArrow`` with the package at hand on every executor.
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches of BATCH_ROWS rows for the jobs inside; the session's setting comes back.
 
-    Lowers the session's batches to BATCH_ROWS rows: at Spark's default of 10,000 a
-    task holds tens of megabytes of text several times over.
+    At Spark's default of 10,000 rows a task holds tens of megabytes of text several
+    times over. Jobs of other threads of the session may see the lower number meanwhile.
     """
-    spark = df.sparkSession
-    ship_package(spark)
-    if int(spark.conf.get(_BATCH)) > BATCH_ROWS or int(spark.conf.get(_BATCH)) <= 0:
+    before = spark.conf.get(_BATCH)
+    lower = not 0 < int(before) <= BATCH_ROWS
+    if lower:
         spark.conf.set(_BATCH, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        if lower:
+            spark.conf.set(_BATCH, before)
+
+
+def mapped(df: DataFrame, function, schema: str) -> DataFrame:
+    """``mapInArrow`` with the package at hand on every executor."""
+    ship_package(df.sparkSession)
     return df.mapInArrow(function, schema)
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """Small cuts of the incoming batches, so few texts are Python objects at once."""
+def _row_bytes(batch: pa.RecordBatch) -> np.ndarray:
+    """Bytes of texts and byte strings in each row."""
+    total = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type):
+            total += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    return total
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Small cuts of the incoming batches, so few texts are Python objects at once: at
+    most ``rows`` rows and ``size`` bytes of text, but for a single longer row."""
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        ends = np.cumsum(_row_bytes(batch))
+        start = 0
+        while start < batch.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            stop = min(start + rows, max(start + 1, int(np.searchsorted(ends, before + size, "right"))))
+            yield batch.slice(start, stop - start)
+            start = stop
 
 
 def tiled(rows: DataFrame, keys: list[str], member: str, limit: int, name: str, counted: DataFrame | None = None) -> DataFrame:

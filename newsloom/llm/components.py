@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import delete_folder, saved_at
@@ -42,14 +42,12 @@ def components(edges: DataFrame) -> DataFrame:
             _with_least(large, least).filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
             .union(least.select("u", "m")).distinct()
         )
-        marks = Observation()
-        marked = small.observe(
-            marks, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"),
-            F.sum(F.xxhash64("b", "a").cast("decimal(38,0)")).alias("s"),
-        )
         before = folder
-        links, folder = saved_at(marked, "components")
-        found = marks.get
+        links, folder = saved_at(small, "components")
+        found = links.agg(
+            F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"),
+            F.sum(F.xxhash64("b", "a").cast("decimal(38,0)")).alias("s"),
+        ).first()
         state = (found["n"], found["x"], found["s"])
         if before:
             delete_folder(spark, before)

@@ -13,7 +13,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import mapped, saved, slices
@@ -123,13 +123,9 @@ def pack(
     })
     groups, round_, items, done = rest.rdd.getNumPartitions(), 0, None, []
     while True:
-        marks = Observation()
-        bins = mapped(rest, _packed(round_, length), schema).observe(
-            marks, F.count(F.when(F.col("fill") < length - SLACK, 1)).alias("rows"),
-            F.count(F.when((F.col("fill") < length - SLACK) & (F.col("offset") == 0), 1)).alias("items"),
-        )
-        bins = saved(bins, "packed")
-        found = marks.get
+        bins = saved(mapped(rest, _packed(round_, length), schema), "packed")
+        left = bins.filter(F.col("fill") < length - SLACK)
+        found = left.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("offset") == 0).alias("items")).first()
         shrunk = items is None or found["items"] < 0.99 * items
         if groups == 1 or not found["items"] or not shrunk:
             done.append(bins)
@@ -137,7 +133,6 @@ def pack(
         done.append(bins.filter(F.col("fill") >= length - SLACK))
         items, round_ = found["items"], round_ + 1
         groups = max(-(-groups // FAN_IN), -(-found["rows"] // GROUP_ROWS))
-        left = bins.filter(F.col("fill") < length - SLACK)
         group = F.pmod(F.xxhash64(F.lit(round_), "item"), F.lit(groups)).cast("int")
         rest = left.repartitionById(groups, group).sortWithinPartitions(F.desc("fill"), "item", "offset")
     out = done[0]

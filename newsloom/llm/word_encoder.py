@@ -1,10 +1,12 @@
-"""Token ids of whole texts by a public tokenizer, words remembered.
-
-Byte-pair merges never cross the borders at which a tokenizer cuts a text into
-words, so the ids of a text are the ids of its words in a row. For two known ways
-of cutting, texts of plain Latin letters, digits and marks are cut here at the same
-borders; the ids of each distinct word come from the library, and are kept for later
-texts. Any other text, and any other tokenizer, goes to the library whole.
+"""Token ids of whole texts by a public tokenizer, remembered by what stands between blanks.
+
+Byte-pair merges never cross the borders at which a tokenizer cuts a text into words.
+Two known ways of cutting always have a border before a single blank between two
+characters that are no white space, so a text's ids are those of its pieces in a row.
+A piece of plain Latin letters, digits and marks is cut into words here at the same
+borders, and each distinct word goes to the tokenizer's own model; any other piece goes
+to the library as it is. Texts with other white space around a blank, and any other
+tokenizer, go to the library whole.
 """
 
 from __future__ import annotations
@@ -12,12 +14,15 @@ from __future__ import annotations
 import json
 import os
 import re
-from itertools import islice
 
 import numpy as np
 
-#: Words kept in each of two generations.
-KEPT = 150_000
+#: Bytes (about) of each of two generations of pieces, and of words.
+KEPT_BYTES = 26 << 20
+#: What an entry takes beside its own characters.
+_ENTRY = 150
+#: Longer pieces are not remembered.
+_LONGEST = 64
 # Latin letters without U+0130, whose lower case is two characters
 _LETTERS = "A-Za-zÀ-ÖØ-öø-įıĲ-ɏ"
 _MARKS = re.escape(".,;:!?%&#*$|-+=/()[]{}<>@_~^\"\\") + "–—…“”„«»‘’"
@@ -26,95 +31,120 @@ _CUT = {
     "byte": re.compile(rf" ?[{_LETTERS}]+| ?[{_MARKS}]+| ?[0-9]+|\n(?=\S)"),
     "lower": re.compile(rf"[{_LETTERS}]+|[{_MARKS}]+|[0-9]"),
 }
-_LINE = "\n"
+#: A word of letters with or without marks behind it.
+_SIMPLE = re.compile(rf"([{_LETTERS}]+)([{_MARKS}]*)").fullmatch
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte: visible ones for themselves, the others
+    for the letters from 256 on, in order."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: b for b in visible} | {b: 256 + k for k, b in enumerate(hidden)}
+
+
+class _Remembered(dict):
+    """Values by key, in two generations of bounded size; absent ones are made."""
+
+    def __init__(self, make):
+        self.make, self.old, self.size = make, {}, 0
+
+    def __missing__(self, key):
+        value = self.old.get(key, False)
+        if value is False:
+            value = self.make(key)
+        length = len(key[0] if type(key) is tuple else key)
+        if length <= _LONGEST:
+            entry = _ENTRY + length + len(value or b"")
+            if self.size + entry > KEPT_BYTES:
+                self.old, self.size = dict(self), 0
+                self.clear()
+            self.size += entry
+            self[key] = value
+        return value
 
 
 class WordEncoder:
     """``encode(texts)``: ids of each text as little-endian bytes of ``dtype``."""
 
-    def __init__(self, path: str, dtype: str = "<u2"):
+    def __init__(self, path: str, dtype: str | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        if self.library.get_vocab_size() > np.iinfo(dtype).max:
+        size = max(self.library.get_vocab_size(), *(1 + k for k in self.library.get_added_tokens_decoder()), 0)
+        self.dtype = np.dtype(dtype or ("<u2" if size < 65_000 else "<u4"))
+        if size > np.iinfo(self.dtype).max:
             raise ValueError(f"{dtype} can't hold the ids of {path}")
-        self.dtype = np.dtype(dtype)
-        with open(path, encoding="utf-8") as file:
-            self.kind = _kind(json.load(file))
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        if self.kind == "byte":
-            self.ends = np.zeros(self.library.get_vocab_size(), bool)
-            self.line = self._library([_LINE])[0][0]
-        elif self.kind == "lower":
-            vocabulary = self.library.get_vocab()
-            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-            self.ends[[k for word, k in vocabulary.items() if word.endswith("</w>")]] = True
-
-    def _library(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        self.kind = _kind(self.library)
+        self.letters, self.tokenize = _byte_letters(), self.library.model.tokenize
+        self.blank, self.line = chr(self.letters[32]), chr(self.letters[10])
+        raw, width = np.arange(size).astype(self.dtype).tobytes(), self.dtype.itemsize
+        self.table = [raw[k:k + width] for k in range(0, len(raw), width)]
+        self.words = _Remembered(self._word)
+        self.pieces = _Remembered(self._piece)
 
     def _bytes(self, ids) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
-    def _words(self, text: str) -> list[str] | None:
-        """Words of ``text`` whose ids follow each other; None: not sure."""
-        if self.kind is None:
-            return None
-        if self.kind == "lower":
-            text = text.lower()
-        words = _CUT[self.kind].findall(text)
-        size = sum(map(len, words))
-        if self.kind == "lower":
-            size += text.count(" ") + text.count("\n")
-        return words if size == len(text) else None
-
-    def _many(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct words, through one text in which they stand apart."""
-        plain = [w for w in words if w != _LINE]
-        ids = np.array(self._library([(_LINE if self.kind == "byte" else " ").join(plain)])[0], self.dtype)
-        if self.kind == "byte":
-            last = np.concatenate([np.flatnonzero(ids == self.line), [len(ids)]])
-            first = np.concatenate([[0], last[:-1] + 1])
+    def _whole(self, text: str) -> bytes:
+        return self._bytes(self.library.encode(text, add_special_tokens=False).ids)
+
+    def _word(self, word: str) -> bytes:
+        """Ids of one word of known characters, from the tokenizer's model."""
+        if word.isascii():
+            letters = word.replace(" ", self.blank).replace("\n", self.line)
         else:
-            last = np.flatnonzero(self.ends[ids]) + 1
-            first = np.concatenate([[0], last[:-1]])
-        if len(last) != len(plain):
-            return [self._bytes(i) for i in self._library(words)]
-        raw, size = ids.tobytes(), self.dtype.itemsize
-        found = dict(zip(plain, [raw[a:b] for a, b in zip((first * size).tolist(), (last * size).tolist())]))
-        found[_LINE] = self._bytes([self.line]) if self.kind == "byte" else b""
-        return [found[w] for w in words]
-
-    def _ids(self, wanted: set[str]) -> dict[str, bytes]:
-        """Ids of at least the words of ``wanted``, however many; at most KEPT are kept for later."""
-        lacking = wanted.difference(self.new)
-        if not lacking:
-            return self.new
-        found = {w: self.old[w] for w in lacking if w in self.old}
-        rest = [w for w in lacking if w not in found]
-        if rest:
-            found.update(zip(rest, self._many(rest)))
-        if len(self.new) + len(found) <= KEPT:
-            self.new.update(found)
-            return self.new
-        # a new generation begins; what these texts need stays at hand in any case
-        found.update((w, self.new[w]) for w in wanted.difference(lacking))
-        self.old, self.new = self.new, dict(islice(found.items(), KEPT))
-        return found
+            letters = word.encode("utf-8").decode("latin-1").translate(self.letters)
+        table = self.table
+        return b"".join([table[t.id] for t in self.tokenize(letters)])
+
+    def _piece(self, piece: str | tuple[str]) -> bytes | None:
+        """Ids of what stands between two blanks; a tuple opens its text. None: not sure."""
+        byte, opens = self.kind == "byte", type(piece) is tuple
+        own = piece[0] if opens else piece
+        simple = _SIMPLE(own)
+        if simple:
+            word, marks = simple.groups()
+            if marks and not opens:
+                return self.pieces[word] + self.words[marks]
+            word = word if opens else " " + word if byte else word.lower()
+            return self._word(word) + (self.words[marks] if marks else b"")
+        if byte:
+            # white space beside a blank belongs to a run of white space
+            if not own or own[0].isspace() or own[-1].isspace():
+                return None
+            text = own if opens else " " + own
+        else:
+            text = own.lower()
+        words = _CUT[self.kind].findall(text)
+        if sum(map(len, words)) + (0 if byte else text.count("\n")) != len(text):
+            return self._whole(text if byte else own)
+        return b"".join(map(self.words.__getitem__, words))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._words(t) if t else [] for t in texts]
-        get = self._ids(set().union(*[w for w in cut if w])).__getitem__
-        return [self._bytes(self._library([t])[0]) if w is None else b"".join(map(get, w)) for t, w in zip(texts, cut)]
-
-
-def _kind(told: dict) -> str | None:
+        if self.kind is None:
+            return [self._whole(t) if t else b"" for t in texts]
+        get, out = self.pieces.__getitem__, []
+        for text in texts:
+            pieces = text.split(" ") if text else []
+            if pieces and self.kind == "byte":
+                pieces[0] = (pieces[0],)
+            try:
+                out.append(b"".join(map(get, pieces)))
+            except TypeError:  # a piece that is not sure
+                out.append(self._whole(text))
+        return out
+
+
+def _kind(library) -> str | None:
     """Which of the two known ways the tokenizer cuts a text into words."""
-    cutter, shape = told.get("pre_tokenizer") or {}, told.get("normalizer")
-    if any(not a["content"].startswith("<|") for a in told.get("added_tokens", [])):
+    def told(part):
+        return json.loads(part.__getstate__()) if part is not None else None
+
+    cutter, shape, model = told(library.pre_tokenizer) or {}, told(library.normalizer), library.model
+    if any(not a.content.startswith("<|") for a in library.get_added_tokens_decoder().values()) or type(model).__name__ != "BPE":
         return None
     if shape is None and cutter.get("type") == "ByteLevel" and cutter.get("use_regex") and not cutter.get("add_prefix_space"):
         return "byte"
@@ -133,7 +163,5 @@ _ENCODERS: dict[str, WordEncoder] = {}
 def encoder(path: str) -> WordEncoder:
     """The encoder of this process for a tokenizer file; its words outlive a task."""
     if path not in _ENCODERS:
-        with open(path, encoding="utf-8") as file:
-            size = 1 + max(json.load(file)["model"]["vocab"].values())
-        _ENCODERS[path] = WordEncoder(path, "<u2" if size < 65_000 else "<u4")
+        _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]

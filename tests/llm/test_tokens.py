@@ -27,8 +27,8 @@ def test_encoder_is_the_library(name, monkeypatch):
     words = WordEncoder(path)
     assert words.kind in ("byte", "lower")
     texts = ODD + [t or "" for _, t, _ in documents()] + [f"word{k} Word {k}, again\nLine {k}." for k in range(50)]
-    for limit in (250_000, 3):  # with generations that change all the time
-        monkeypatch.setattr("newsloom.llm.word_encoder.KEPT", limit)
+    for limit in (1 << 25, 400):  # with generations that change all the time
+        monkeypatch.setattr("newsloom.llm.word_encoder.KEPT_BYTES", limit)
         for _ in range(2):
             got = [np.frombuffer(b, words.dtype).tolist() for b in words.encode(texts)]
             assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
@@ -107,7 +107,7 @@ def test_best_fit():
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_slices_of_more_words_than_are_kept(name, monkeypatch):
-    monkeypatch.setattr("newsloom.llm.word_encoder.KEPT", 4)
+    monkeypatch.setattr("newsloom.llm.word_encoder.KEPT_BYTES", 700)
     path = public_tokenizers.path(name)
     plain = Tokenizer.from_file(path)
     words = WordEncoder(path)
@@ -115,4 +115,24 @@ def test_slices_of_more_words_than_are_kept(name, monkeypatch):
     for texts in (few, many, few, many[::-1], many + few):
         got = [np.frombuffer(b, words.dtype).tolist() for b in words.encode(texts)]
         assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
-        assert len(words.new) <= 4 and len(words.old) <= 4
+        assert len(words.pieces) <= 4 and len(words.pieces.old) <= 4
+
+
+def test_slices_are_cut_by_rows_and_bytes():
+    import pyarrow as pa
+    from newsloom.llm.common import slices
+
+    texts = ["x" * n for n in (10, 10, 10, 500, 10, 10)] + [None, ""] * 5
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "t": pa.array(texts, pa.string())})
+    cut = list(slices([batch, batch.slice(0, 0)], 4, 30))
+    assert [c.num_rows for c in cut] == [3, 1, 4, 4, 4]
+    assert pa.Table.from_batches(cut).to_pydict() == pa.Table.from_batches([batch]).to_pydict()
+
+
+def test_no_setting_is_left_behind(spark):
+    from newsloom.llm.common import saved
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    saved(spark.range(3).toDF("x"), "any").count()
+    assert spark.conf.get(name) == before
