@@ -18,7 +18,7 @@ import re
 import numpy as np
 
 #: Bytes (about) of each of two generations of pieces, and of words.
-KEPT_BYTES = 26 << 20
+KEPT_BYTES = 40 << 20
 #: What an entry takes beside its own characters.
 _ENTRY = 150
 #: Longer pieces are not remembered.
@@ -31,8 +31,11 @@ _CUT = {
     "byte": re.compile(rf" ?[{_LETTERS}]+| ?[{_MARKS}]+| ?[0-9]+|\n(?=\S)"),
     "lower": re.compile(rf"[{_LETTERS}]+|[{_MARKS}]+|[0-9]"),
 }
-#: A word of letters with or without marks behind it.
-_SIMPLE = re.compile(rf"([{_LETTERS}]+)([{_MARKS}]*)").fullmatch
+#: A word of letters (or a number, where its digits stay together) with or without marks behind it.
+_SIMPLE = {
+    "byte": re.compile(rf"([{_LETTERS}]+|[0-9]+)([{_MARKS}]*)").fullmatch,
+    "lower": re.compile(rf"([{_LETTERS}]+)([{_MARKS}]*)").fullmatch,
+}
 
 
 def _byte_letters() -> dict[int, int]:
@@ -82,6 +85,7 @@ class WordEncoder:
         self.blank, self.line = chr(self.letters[32]), chr(self.letters[10])
         raw, width = np.arange(size).astype(self.dtype).tobytes(), self.dtype.itemsize
         self.table = [raw[k:k + width] for k in range(0, len(raw), width)]
+        self.simple = _SIMPLE.get(self.kind)
         self.words = _Remembered(self._word)
         self.pieces = _Remembered(self._piece)
 
@@ -104,7 +108,7 @@ class WordEncoder:
         """Ids of what stands between two blanks; a tuple opens its text. None: not sure."""
         byte, opens = self.kind == "byte", type(piece) is tuple
         own = piece[0] if opens else piece
-        simple = _SIMPLE(own)
+        simple = self.simple(own)
         if simple:
             word, marks = simple.groups()
             if marks and not opens:
