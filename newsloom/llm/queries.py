@@ -15,6 +15,7 @@ from newsloom.llm import (
     quality,
     secret_scan,
     simhash_dedup,
+    spelling_variants,
     token_files,
     toxicity,
 )
@@ -99,3 +100,8 @@ def op3_subspace_pigeonhole(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_license_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.licenses(table(spark, folder, "documents"))
+
+
+@query
+def op13_trie_frontier(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants.variants(table(spark, folder, "documents"))
