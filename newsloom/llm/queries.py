@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from newsloom.llm import (
+    code_compression,
     embedding_dedup,
+    kmeans_tree,
     license_scan,
     mixing,
     order_minhash,
@@ -105,3 +107,41 @@ def op9_license_alignment(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op13_trie_frontier(spark: SparkSession, folder: str) -> DataFrame:
     return spelling_variants.variants(table(spark, folder, "documents"))
+
+
+def _code_rounds() -> str:
+    """Six rounds in SQL: whole parts ``p`` (vec_id, label, part, v); codebooks ``b0`` to ``b6``."""
+    far = "list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = []
+    for k in range(7):
+        # distance and entry in one number: the nearest, of equals the first
+        steps.append(f"""a{k} AS (SELECT p.vec_id, p.label, p.part, any_value(p.v) AS v, CAST(min({far} * 16 + b.entry) AS HUGEINT) AS best
+ FROM p JOIN b{k} b USING (part) GROUP BY ALL)""")
+        if k < 6:
+            steps.append(f"""m{k} AS (SELECT part, CAST(best % 16 AS INT) AS entry, i, CAST(floor(sum(x) / count(*)) AS BIGINT) AS x
+ FROM (SELECT part, best, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM a{k}) GROUP BY ALL)""")
+            steps.append(f"""b{k + 1} AS (SELECT b.part, b.entry, coalesce(n.v, b.v) AS v FROM b{k} b
+ LEFT JOIN (SELECT part, entry, list(x ORDER BY i) AS v FROM m{k} GROUP BY ALL) n USING (part, entry))""")
+    return ",\n ".join(steps)
+
+
+ORACLES["op12_dual_tree_codes"] = f"""WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ p AS MATERIALIZED (SELECT vec_id, label, CAST(unnest(range(0, 8)) AS INT) AS part, unnest(list_transform(range(0, 8), lambda j: w[j * (len(w) // 8) + 1:(j + 1) * (len(w) // 8)])) AS v FROM k),
+ b0 AS (SELECT part, CAST(row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS INT) AS entry, v FROM p
+  WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT 16)),
+ {_code_rounds()},
+ c AS (SELECT vec_id, any_value(label) AS label, string_agg(format('{{:02x}}', CAST(best % 16 AS INT)), '' ORDER BY part) AS code,
+  CAST(sum(best // 16) AS BIGINT) AS error FROM a6 GROUP BY vec_id),
+ d AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b6)
+ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM c, d"""
+
+
+@query
+def op12_dual_tree_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return code_compression.compress(table(spark, folder, "embeddings"))
+
+
+@query
+def op11_kmeans_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return kmeans_tree.nearest(table(spark, folder, "embeddings"))
