@@ -288,7 +288,8 @@ _EMBEDDED = """SELECT doc_id, dim, value FROM (SELECT doc_id, dim, round(sum(v /
 
 def _places(vectors):
     """Entries of each vector that are not zero."""
-    long = vectors.select("doc_id", F.posexplode("embedding").alias("dim", "value"))
+    # outer: no filter on the whole expression is inferred, which would compute it twice and below the split
+    long = vectors.select("doc_id", F.posexplode_outer("embedding").alias("dim", "value"))
     return long.withColumn("value", F.round("value", 6)).where("value <> 0")
 
 

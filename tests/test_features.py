@@ -1,3 +1,6 @@
+import hashlib
+import re
+
 from math import log, sqrt
 
 import numpy as np
@@ -86,7 +89,15 @@ def test_embeddings(spark):
     whole = {r["doc_id"]: np.array(r["embedding"]) for r in embeddings.document_embeddings(df, "doc_id", dim=16).collect()}
     parts = {r["doc_id"]: np.array(r["embedding"]) for r in embeddings.document_embeddings(df, "doc_id", dim=16, chunked=True).collect()}
     assert np.linalg.norm(whole[1]) == pytest.approx(1, abs=1e-5) and not parts[2].any()
-    encode = embeddings.hashing_encoder(16)()
+    def encode(texts):
+        """Signed hashing, word by word."""
+        out = np.zeros((len(texts), 16))
+        for row, text in zip(out, texts):
+            for token in re.findall(r"\w\w+", text.lower()):
+                code = int(hashlib.md5(token.encode()).hexdigest()[:8], 16)
+                row[code % 16] += -1 if code >> 31 else 1
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+
     words = text.split()
     chunks = [" ".join(words[i : i + 200]) for i in (0, 200, 400)]
     assert np.allclose(parts[1], encode(chunks).mean(axis=0), atol=1e-6) and np.allclose(parts[3], whole[3])
