@@ -51,7 +51,10 @@ _TWICE = re.compile(r"([^\W\d_])\1")
 #: Amounts, dates and the like: digits with signs at the edges only.
 _NUMBER = re.compile(r"[+\-$€£]{0,2}[\d.,:/\-]*\d[\d.,:/\-]*[+$€£%]?")
 _SIGNS = frozenset(ch for ch in LOOK_ALIKE if not ch.isdigit())
-_CACHE_WORDS = 60_000
+#: Tokens remembered by a task, and the longest of them.
+_CACHE_WORDS, _LONGEST = 200_000, 64
+#: Three characters in a row that stand alone.
+_ALONE = re.compile(r"(?<!\S)\S\s+\S\s+\S(?!\S)")
 
 
 def _fold(code: int) -> int:
@@ -125,16 +128,21 @@ def word_counts(texts: DataFrame, text_column: str = "text") -> tuple[dict[str,
     return {r["word"]: r["n"] for r in rows}, max(MIN_SEEN, int(texts.count() * OFTEN))
 
 
-def viterbi(span: str, costs: list[float], edges: tuple[int, int] = (0, 0), borders: bool = False) -> str:
-    """The likeliest letters behind ``span`` (lower case). ``edges``: how many
-    characters at its ends may be marks; ``borders``: spaces may part words."""
-    states = {(0, 0): (0.0, None)}
-    last = ""
+#: Lattices of at most so many paths are decoded path by path.
+FEW_PATHS = 8
+#: A way through one place of a lattice: symbol (-1: nothing is written), letter, cost.
+Way = tuple[int, str, float]
+
+
+def lattice(span: str, edges: tuple[int, int] = (0, 0)) -> list[list[Way]]:
+    """The ways through each character of ``span`` (lower case); ``edges``: how many
+    characters at its ends may be marks."""
+    places, last = [], ""
     long_runs = {k for m in _THRICE_RUN.finditer(span) for k in range(m.start() + 1, m.end())}
     for place, ch in enumerate(span):
         own = _symbol(ch)
-        paths = [(own, ch, 0.0)] if own else []
-        paths += [(ord(x) - 96, x, STAR if ch == "*" else SWAP) for x in LOOK_ALIKE.get(ch, "")]
+        ways: list[Way] = [(own, ch, 0.0)] if own else []
+        ways += [(ord(x) - 96, x, STAR if ch == "*" else SWAP) for x in LOOK_ALIKE.get(ch, "")]
         edge = place < edges[0] or place >= len(span) - edges[1]
         if edge:
             skip = REPEAT if ch == last else NOISE if ch == "*" else OPENING if place < edges[0] and ch != "(" else EDGE
@@ -144,20 +152,59 @@ def viterbi(span: str, costs: list[float], edges: tuple[int, int] = (0, 0), bord
             skip = None if ch != last else REPEAT if place in long_runs else TWICE
         else:
             skip = DROP if ch in LOOK_ALIKE and ch != "*" else NOISE
+        if skip is not None:
+            ways.insert(0, (-1, "", skip))
+        places.append(ways)
+        last = ch
+    return places
+
+
+def _path_by_path(places: list[list[Way]], costs: list[float]) -> str:
+    """The likeliest letters of a lattice of few paths."""
+    paths = [(0.0, 0, "")]  # cost, last two symbols, letters
+    for ways in places:
+        if len(ways) == 1 and ways[0][0] >= 0:
+            symbol, out, more = ways[0]
+            paths = [(cost + more + costs[at * 27 + symbol], at % 27 * 27 + symbol, text + out) for cost, at, text in paths]
+        else:
+            paths = [
+                (cost + more, at, text) if symbol < 0
+                else (cost + more + costs[at * 27 + symbol], at % 27 * 27 + symbol, text + out)
+                for symbol, out, more in ways for cost, at, text in paths
+            ]
+    return min((cost + costs[at * 27], k, text) for k, (cost, at, text) in enumerate(paths))[2]
+
+
+def viterbi(span: str, costs: list[float], edges: tuple[int, int] = (0, 0), borders: bool = False) -> str:
+    """The likeliest letters behind ``span`` (lower case). ``edges``: how many
+    characters at its ends may be marks; ``borders``: spaces may part words."""
+    places = lattice(span, edges)
+    if not borders:
+        count = 1
+        for ways in places:
+            count *= len(ways)
+            if count > FEW_PATHS:
+                break
+        else:
+            return _path_by_path(places, costs)
+    states = {(0, 0): (0.0, None)}
+    for ch, ways in zip(span, places):
         new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (cost, back) in states.items():
-            if skip is not None and cost + skip < new.get((a, b), (np.inf,))[0]:
-                new[a, b] = (cost + skip, back)
             at = a * 729 + b * 27
             if borders and ch == " " and b:
                 total = cost + costs[at] + (ALONE if a == 0 and b in (1, 9) else BORDER)
                 if total < new.get((0, 0), (np.inf,))[0]:
                     new[0, 0] = (total, (back, " "))
-            for symbol, out, more in paths:
+            for symbol, out, more in ways:
+                if symbol < 0:
+                    if cost + more < new.get((a, b), (np.inf,))[0]:
+                        new[a, b] = (cost + more, back)
+                    continue
                 total = cost + more + costs[at + symbol]
                 if total < new.get((b, symbol), (np.inf,))[0]:
                     new[b, symbol] = (total, (back, out))
-        states, last = new, ch
+        states = new
     (cost, back) = min(((c + costs[a * 729 + b * 27], p) for (a, b), (c, p) in states.items()), key=lambda x: x[0])
     letters = []
     while back:
@@ -166,6 +213,21 @@ def viterbi(span: str, costs: list[float], edges: tuple[int, int] = (0, 0), bord
     return "".join(reversed(letters))
 
 
+class _Remembered(dict):
+    """Values by token, made when first asked for; dropped together when too many."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, token):
+        value = self.make(token)
+        if len(self) >= _CACHE_WORDS:
+            self.clear()
+        if len(token) <= _LONGEST:
+            self[token] = value
+        return value
+
+
 class Restorer:
     """Restores tokens and texts; remembers what it has decoded."""
 
@@ -173,9 +235,12 @@ class Restorer:
         self.costs = costs.ravel().tolist()
         self.seen = seen or {}
         self.plain = {w for w, n in self.seen.items() if n >= often}
-        self.known: dict[str, str] = {}
+        self.known = _Remembered(self._token)
 
     def token(self, token: str) -> str:
+        return self.known[token]
+
+    def _token(self, token: str) -> str:
         """Restored word of one lower-case token."""
         core = token.strip(_WORD_MARKS)
         if not core:
@@ -190,13 +255,7 @@ class Restorer:
                 return core
         elif not any(ch.isalpha() for ch in core) and (_SIGNS.isdisjoint(core) or _NUMBER.fullmatch(core)):
             return core
-        key = f"{front} {core} {back}"
-        word = self.known.get(key)
-        if word is None:
-            if len(self.known) >= _CACHE_WORDS:
-                self.known.clear()
-            word = self.known[key] = viterbi(front + core + back, self.costs, (len(front), len(back)))
-        return word
+        return viterbi(front + core + back, self.costs, (len(front), len(back)))
 
     def _run(self, tokens: list[str]) -> list[list[str]]:
         """Readings of characters that stand alone, the best one first: as one word,
@@ -214,10 +273,11 @@ class Restorer:
     def readings(self, text: str) -> tuple[list[str], list[str]]:
         """All restored words of ``text``, letters set apart by spaces joined; and the
         words of the other readings of such letters."""
-        tokens = text.lower().split()
+        text = text.lower()
+        tokens = text.split()
+        if not _ALONE.search(text):
+            return list(map(self.known.__getitem__, tokens)), []
         spans = "".join(["1" if len(t) == 1 else "0" for t in tokens])
-        if "111" not in spans:
-            return [self.token(t) for t in tokens], []
         out, others, at = [], [], 0
         for m in re.finditer("1{3,}", spans):
             run = tokens[m.start():m.end()]
@@ -231,6 +291,13 @@ class Restorer:
             at = m.end()
         return out + [self.token(t) for t in tokens[at:]], others
 
+    def distinct(self, text: str) -> set[str]:
+        """The different words of all readings."""
+        text = text.lower()
+        if _ALONE.search(text):
+            return set().union(*self.readings(text))
+        return set(map(self.known.__getitem__, set(text.split())))
+
     def words(self, text: str) -> list[str]:
         return self.readings(text)[0]
 
@@ -251,7 +318,7 @@ def _term_rows(costs, seen, often):
         for part in slices(batches):
             terms = []
             for text in part.column(2).to_pylist():
-                words = set().union(*restorer.readings(text or ""))
+                words = restorer.distinct(text or "")
                 terms.append([list(_terms(w)) for w in words if len(w) > 2])
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array(terms, pa.list_(pa.list_(pa.int64())))], ["row", "label", "words"]
@@ -342,28 +409,34 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, la
     return Model(costs, weights, logistic(x, found["label"].to_numpy(float)), frequent, often)
 
 
+class Scorer:
+    """Scores texts; remembers decoded tokens and the weights of words."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.restorer = Restorer(model.costs, model.seen, model.often)
+        self.weights = _Remembered(self._weight)
+
+    def _weight(self, word: str) -> float:
+        return max([0.0, *[self.model.terms.get(t, 0.0) for t in _terms(word)]])
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        weights = self.weights.__getitem__
+        evidence = [_evidence(list(filter(None, map(weights, self.restorer.distinct(t or ""))))) for t in texts]
+        z = np.array(evidence).reshape(-1, 4) @ self.model.final[:4] + self.model.final[4]
+        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
 def _scores(model: Model, keep_text: bool):
     def run(batches):
-        restorer, weight_of = Restorer(model.costs, model.seen, model.often), {}
+        scorer = Scorer(model)
         names = ["row", "score"] + ["restored"] * keep_text
         for part in slices(batches):
-            evidence, restored = [], []
-            for text in part.column(1).to_pylist():
-                words, others = restorer.readings(text or "")
-                restored.append(" ".join(words) if keep_text else None)
-                found = []
-                for word in {*words, *others}:
-                    weight = weight_of.get(word)
-                    if weight is None:
-                        if len(weight_of) >= _CACHE_WORDS:
-                            weight_of.clear()
-                        weight = weight_of[word] = max([0.0, *[model.terms.get(t, 0.0) for t in _terms(word)]])
-                    if weight:
-                        found.append(weight)
-                evidence.append(_evidence(found))
-            z = np.array(evidence).reshape(-1, 4) @ model.final[:4] + model.final[4]
-            arrays = [part.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))]
-            yield pa.RecordBatch.from_arrays(arrays + [pa.array(restored, pa.string())] * keep_text, names)
+            texts = part.column(1).to_pylist()
+            arrays = [part.column(0), pa.array(scorer.scores(texts))]
+            if keep_text:
+                arrays.append(pa.array([scorer.restorer.text(t or "") for t in texts], pa.string()))
+            yield pa.RecordBatch.from_arrays(arrays, names)
     return run
 
 
@@ -377,7 +450,8 @@ def score(
     as empty; empty texts get the score of no evidence. A null id is never held out
     and never learned from. Labels that are null or not 0/1 are ignored, repeated
     rows count as often as they come. Without usable labels, or with one class
-    only, every score is the class's share. Other columns are not read.
+    only, every score is the class's share. Other columns are not read. An empty table
+    gives an empty result.
     """
     rest = F.pmod(F.crc32(F.col(id_column).cast("string")), F.lit(3))
     model = fit(docs, labels.filter(rest != 1), id_column, text_column, label_column)
@@ -392,16 +466,20 @@ def score(
 
 def _clean(model: Model, columns: int):
     def run(batches):
-        scorer = _scores(model, False)
+        scorer = Scorer(model)
         for part in slices(batches):
-            texts = pa.RecordBatch.from_arrays([pa.array(range(part.num_rows)), part.column(columns)], ["row", "text"])
-            got = np.concatenate([b.column(1).to_numpy() for b in scorer([texts])])
+            got = scorer.scores(part.column(columns).to_pylist())
             yield part.filter(pa.array(got < THRESHOLD)).select(range(columns))
     return run
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Rows of ``docs`` scored below the threshold, all columns kept."""
+    """Rows of ``docs`` scored below the threshold, all columns kept.
+
+    Each row is scored by its own text, as in ``score``: a null text counts as empty,
+    rows with null or repeated ids are kept or go each by itself, an empty table stays
+    empty.
+    """
     rest = F.pmod(F.crc32(F.col(id_column).cast("string")), F.lit(3))
     model = fit(docs, labels.filter(rest != 1), id_column, text_column, "toxic")
     with_text = docs.select("*", F.col(text_column).alias("__scored_text"))

@@ -100,3 +100,17 @@ def test_look_alikes_at_edges_doubled_letters_and_short_runs(spark):
     assert "idiot" in words + others and {"such", "here"} <= set(words)
     assert len(restorer.words("x s h y z")) < 5 and len(restorer.words("b a d")) == 1
     assert restorer.words("1 2 3") == ["1", "2", "3"]
+
+
+def test_few_paths_are_decoded_as_by_states(monkeypatch):
+    """Path by path or state by state: the same letters."""
+    import random
+
+    from newsloom.llm import toxicity as X
+
+    r, table = random.Random(5), np.random.RandomState(5).exponential(3, 27**3).tolist()
+    spans = ["".join(r.choice("aabbceeiioosst!*@$0134.-( é日") for _ in range(r.randint(1, 9))) for _ in range(3000)]
+    edges = [(r.randint(0, 1), r.randint(0, 1)) for _ in spans]
+    fast = [X.viterbi(s, table, e) for s, e in zip(spans, edges)]
+    monkeypatch.setattr(X, "FEW_PATHS", 0)
+    assert fast == [X.viterbi(s, table, e) for s, e in zip(spans, edges)]
