@@ -14,6 +14,7 @@ import re
 import unicodedata
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -134,16 +135,27 @@ FEW_PATHS = 8
 Way = tuple[int, str, float]
 
 
+@lru_cache(4096)
+def _written(ch: str) -> tuple[int, list[Way]]:
+    """Symbol of a character and the letters it may stand for."""
+    own = _symbol(ch)
+    ways: list[Way] = [(own, ch, 0.0)] if own else []
+    return own, ways + [(ord(x) - 96, x, STAR if ch == "*" else SWAP) for x in LOOK_ALIKE.get(ch, "")]
+
+
 def lattice(span: str, edges: tuple[int, int] = (0, 0)) -> list[list[Way]]:
     """The ways through each character of ``span`` (lower case); ``edges``: how many
     characters at its ends may be marks."""
-    places, last = [], ""
+    places, last, tail = [], "", len(span) - edges[1]
     long_runs = {k for m in _THRICE_RUN.finditer(span) for k in range(m.start() + 1, m.end())}
     for place, ch in enumerate(span):
-        own = _symbol(ch)
-        ways: list[Way] = [(own, ch, 0.0)] if own else []
-        ways += [(ord(x) - 96, x, STAR if ch == "*" else SWAP) for x in LOOK_ALIKE.get(ch, "")]
-        edge = place < edges[0] or place >= len(span) - edges[1]
+        own, ways = _written(ch)
+        edge = place < edges[0] or place >= tail
+        if own and ch != last and not edge:
+            # a letter as it is
+            places.append(ways)
+            last = ch
+            continue
         if edge:
             skip = REPEAT if ch == last else NOISE if ch == "*" else OPENING if place < edges[0] and ch != "(" else EDGE
         elif ch in _APART:
@@ -152,9 +164,7 @@ def lattice(span: str, edges: tuple[int, int] = (0, 0)) -> list[list[Way]]:
             skip = None if ch != last else REPEAT if place in long_runs else TWICE
         else:
             skip = DROP if ch in LOOK_ALIKE and ch != "*" else NOISE
-        if skip is not None:
-            ways.insert(0, (-1, "", skip))
-        places.append(ways)
+        places.append(ways if skip is None else [(-1, "", skip), *ways])
         last = ch
     return places
 
@@ -242,6 +252,8 @@ class Restorer:
 
     def _token(self, token: str) -> str:
         """Restored word of one lower-case token."""
+        if token.isalpha() and not _TWICE.search(token):
+            return token
         core = token.strip(_WORD_MARKS)
         if not core:
             return core
