@@ -23,6 +23,8 @@ WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
 BLOCK_WORDS = 4096
 SHARD_BLOCKS = 2048
+#: At least so many shards, if there are blocks enough.
+MIN_SHARDS = 16
 SEED = 17
 #: About so many documents share a bucket of the running sums; so do buckets.
 BUCKET_ROWS = 2000
@@ -206,7 +208,7 @@ def shares(docs: DataFrame) -> DataFrame:
     )
 
 
-def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
+def mixed(docs: DataFrame, seed: int = SEED, least_shards: int = MIN_SHARDS) -> DataFrame:
     """The mix itself: rows of ``docs`` as often as it takes them, in their shards.
 
     Adds ``__shard`` (int), ``__words`` (words taken of this copy) and ``__order``
@@ -215,18 +217,21 @@ def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     the block number), and shard k draws the stretch its quota gives it. Rows come
     out grouped by shard and shuffled within it.
     """
-    return dealt(*placed(docs), seed)
+    return dealt(*placed(docs), seed, least_shards)
 
 
-def dealt(rows: DataFrame, recipe: list, seed: int = SEED) -> DataFrame:
-    """``mixed`` for rows that are placed already: their columns but ``__mix``."""
+def dealt(rows: DataFrame, recipe: list, seed: int = SEED, least_shards: int = MIN_SHARDS) -> DataFrame:
+    """``mixed`` for rows that are placed already: their columns but ``__mix``. There are
+    ``least_shards`` shards, more if they would hold more than SHARD_BLOCKS blocks, fewer
+    if there are fewer blocks."""
     spark = rows.sparkSession
     mix = F.col("__mix")
     per_pass = np.array([max(1, -(-words // BLOCK_WORDS)) for _, _, words, _, _, _ in recipe], np.int64)
     # a partial pass ends in the block that holds its last word
     over = np.array([r[5] for r in recipe], np.int64)
     quotas = per_pass * np.array([r[4] for r in recipe], np.int64) + -(-over // BLOCK_WORDS)
-    shards = max(1, -(-int(quotas.sum()) // SHARD_BLOCKS))
+    total = int(quotas.sum())
+    shards = max(1, min(total, max(least_shards, -(-total // SHARD_BLOCKS))))
     bounds = np.cumsum(split_tree(quotas, shards, seed), axis=1)
     random = np.random.default_rng(seed)
     plan = []
@@ -253,8 +258,8 @@ def dealt(rows: DataFrame, recipe: list, seed: int = SEED) -> DataFrame:
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The mix with the columns of ``docs``: a document comes once per copy taken;
     of a copy taken in part the leading words stay, a blank between them, and
-    n_chars follows. Documents
-    without words stay once."""
+    n_chars follows. Documents without words, null texts among them, stay once; rows
+    with null or repeated ids are documents of their own; an empty table stays empty."""
     full = words_in(F.col("text"))
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("__words").cast("int")), " ")
     part = F.col("__words") < full

@@ -109,3 +109,12 @@ def test_shares_come_from_the_dealt_shards(spark, monkeypatch):
     deal = M.dealt
     monkeypatch.setattr(M, "dealt", lambda *a: deal(*a).filter("__shard > 0"))
     assert sum(r.taken for r in M.shares(docs).collect()) < sum(k[-1] * n for k, n in got.items())
+
+
+def test_the_tree_deals_several_shards_by_default(spark):
+    """At its default settings, on the given table, the mix draws more than one shard."""
+    from newsloom.llm.common import table
+
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    sizes = {r["__shard"]: r["w"] for r in M.mixed(docs).groupBy("__shard").agg({"__words": "sum"}).withColumnRenamed("sum(__words)", "w").collect()}
+    assert len(sizes) >= M.MIN_SHARDS and max(sizes.values()) < 0.2 * sum(sizes.values())
