@@ -9,11 +9,20 @@ summed up in a small table, and only the rank inside a bucket needs a sort.
 
 from __future__ import annotations
 
+import functools
+import hashlib
+import math
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom import constants as K
 from newsloom.operators.schema import _q
+from newsloom.sources.scratch import stored
+
+#: Sources with at least this part of a class are dealt to group folds one by one.
+PACKS = 4096
 
 
 def shuffle_key(id_col: str, seed: int = K.SEED) -> Column:
@@ -103,35 +112,78 @@ def train_test_split(
     )
 
 
-def group_folds(df: DataFrame, source_col: str, label_col: str, n_folds: int = K.N_FOLDS) -> DataFrame:
-    """(source, fold): a source is in one fold, sizes and classes spread evenly.
+def _dealt(items: dict[str, list[int]], n_folds: int) -> dict[str, int]:
+    """Fold of each item, by its rows per class.
 
-    One rule at every size: sources in order of class spread, then size (largest
-    first), then digest of their name, are dealt to the folds in snake order.
-    Their places come from a table of (spread, size, digest bucket) counts and a
-    rank inside each bucket, so no task sorts all sources.
+    Items come in order of the deviation of their class counts, then of their size,
+    largest first, then by a digest. Each goes where the folds' shares of the classes
+    then deviate least, summed over the classes; ties go to the fold with fewest rows,
+    then to the first. Deviations are roots of whole numbers, so ties are true ties.
+    """
+    n_classes = len(next(iter(items.values()), []))
+    totals = [sum(counts[c] for counts in items.values()) for c in range(n_classes)]
+    squares, sums = [0] * n_classes, [0] * n_classes
+    rows = [[0] * n_classes for _ in range(n_folds)]
+    out = {}
+
+    def order(item: str):
+        counts = items[item]
+        size = sum(counts)
+        return size * size - n_classes * sum(n * n for n in counts), -size, hashlib.md5(item.encode()).hexdigest(), item
+
+    for item in sorted(items, key=order):
+        counts = items[item]
+
+        def deviation(fold: int):
+            score = 0.0
+            for c, n in enumerate(counts):
+                apart = n_folds * (squares[c] + 2 * n * rows[fold][c] + n * n) - (sums[c] + n) ** 2
+                score += math.sqrt(apart) / totals[c]
+            return score, sum(rows[fold]), fold
+
+        fold = out[item] = min(map(deviation, range(n_folds)))[2]
+        for c, n in enumerate(counts):
+            squares[c] += 2 * n * rows[fold][c] + n * n
+            sums[c] += n
+            rows[fold][c] += n
+    return out
+
+
+def group_folds(
+    df: DataFrame, source_col: str, label_col: str, n_folds: int = K.N_FOLDS, packs: int = PACKS
+) -> DataFrame:
+    """(source, fold): a source is in one fold, class shares balanced greedily.
+
+    A source that holds 1/``packs`` of a class or more is dealt by itself. Smaller
+    ones ride together in ``packs`` packs by a digest of their name, and a pack is
+    dealt like a source. So the greedy choice sees at most ``packs * (classes + 1)``
+    items, however many sources there are; ``df`` is read once, and sources never
+    move but for being counted. Rows without a source get no fold; an empty table
+    gives no rows.
     """
-    per = df.groupBy(_q(source_col).alias("source"), _q(label_col).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    classes = per.agg(F.count_distinct("label").alias("_k"))
-    # "spread" is a whole number that orders sources as the deviation of their class counts does
-    sized = per.groupBy("source").agg(F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("_sq"))
-    keyed = (
-        sized.crossJoin(F.broadcast(classes))  # one row
-        .withColumn("spread", F.col("_k") * F.col("_sq") - F.col("size") * F.col("size"))
-        .withColumn("_key", F.md5("source"))
-        .withColumn("_bucket", F.substring("_key", 1, 3))
-        .select("source", "spread", "size", "_key", "_bucket")
+    per = (
+        df.where(_q(source_col).isNotNull())
+        .groupBy(_q(source_col).cast("string").alias("source"), _q(label_col).cast("string").alias("label"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    per = stored(per, "sources")
+    totals = {r["label"]: r["total"] for r in per.groupBy("label").agg(F.sum("n").alias("total")).collect()}
+    classes = sorted(totals, key=lambda c: (c is None, c))
+    n_of = [F.sum(F.when(F.col("label").eqNullSafe(F.lit(c)), F.col("n")).otherwise(0)) for c in classes]
+    big = functools.reduce(
+        operator.or_, [F.col(f"_{k}") * packs >= totals[c] for k, c in enumerate(classes)], F.lit(False)
+    )
+    pack = F.pmod(F.conv(F.substring(F.md5("source"), 1, 8), 16, 10).cast("long"), F.lit(packs)).cast("string")
+    sources = (
+        per.groupBy("source")
+        .agg(*[n.alias(f"_{k}") for k, n in enumerate(n_of)], F.count(F.lit(1)).alias("_n"))
+        .withColumn("_item", F.when(big, F.concat(F.lit("s"), "source")).otherwise(F.concat(F.lit("p"), pack)))
     )
-    order = [F.desc("spread"), F.desc("size"), F.asc("_bucket")]
-    earlier = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    counts = keyed.groupBy("spread", "size", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    inside = F.row_number().over(Window.partitionBy("spread", "size", "_bucket").orderBy("_key", "source")) - 1
-    placed = keyed.withColumn("_inside", inside).join(starts, ["spread", "size", "_bucket"])
-    place = F.col("_start") + F.col("_inside")
-    turn, at = F.floor(place / F.lit(n_folds)), F.pmod(place, F.lit(n_folds))
-    fold = F.when(F.pmod(turn, F.lit(2)) == 0, at).otherwise(F.lit(n_folds - 1) - at)
-    return placed.select("source", fold.cast("int").alias("fold"))
+    # at most packs * (classes + 1) rows
+    counted = sources.groupBy("_item").agg(F.sum("_n"), *[F.sum(f"_{k}") for k in range(len(classes))]).collect()
+    folds = _dealt({item: counts for item, _, *counts in counted}, n_folds)
+    dealt = df.sparkSession.createDataFrame(list(folds.items()), "_item string, fold int")
+    return sources.join(F.broadcast(dealt), "_item").select("source", "fold")
 
 
 def assign_group_folds(df: DataFrame, folds: DataFrame, source_col: str) -> DataFrame:

@@ -48,10 +48,32 @@ def group_folds_check(spark, sf):
     )
 
 
-_GROUPED = f"""(SELECT source, CAST(CASE WHEN (place // 5) % 2 = 0 THEN place % 5 ELSE 4 - place % 5 END AS INT) AS fold FROM
- (SELECT source, row_number() OVER (ORDER BY k * sq - size * size DESC, size DESC, md5(source), source) - 1 AS place FROM
-  (SELECT source, sum(n) AS size, sum(n * n) AS sq FROM (SELECT source, label, count(*) AS n FROM {Q.CORPUS} GROUP BY ALL) GROUP BY 1),
-  (SELECT count(DISTINCT label) AS k FROM {Q.CORPUS})))"""
+# the greedy deal, a source at a time: a and b are the folds' rows of the two classes
+_ITEMS = f"""SELECT source, n0, n1, sum(n0) OVER () AS t0, sum(n1) OVER () AS t1,
+ row_number() OVER (ORDER BY 2 * (n0 * n0 + n1 * n1) - (n0 + n1) * (n0 + n1) DESC, n0 + n1 DESC, md5('s' || source), source) AS place
+ FROM (SELECT source, count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1 FROM {Q.CORPUS} WHERE source IS NOT NULL GROUP BY 1)"""
+
+
+def _apart(rows: str, n: str, total: str) -> str:
+    return (
+        f"sqrt(CAST(5 * (list_sum([x * x FOR x IN {rows}]) + 2 * {n} * {rows}[f] + {n} * {n})"
+        f" - (list_sum({rows}) + {n}) * (list_sum({rows}) + {n}) AS DOUBLE)) / CAST({total} AS DOUBLE)"
+    )
+
+
+def _filled(rows: str, n: str) -> str:
+    return f"[{rows}[f] + CASE WHEN f = fold THEN {n} ELSE 0 END FOR f IN [1, 2, 3, 4, 5]]"
+
+
+_GROUPED = f"""(WITH RECURSIVE items AS ({_ITEMS}),
+ walk AS (SELECT CAST(0 AS BIGINT) AS place, CAST(NULL AS VARCHAR) AS source, 0 AS fold,
+   CAST([0, 0, 0, 0, 0] AS BIGINT[]) AS a, CAST([0, 0, 0, 0, 0] AS BIGINT[]) AS b
+  UNION ALL
+  SELECT place, source, fold, {_filled("a", "n0")}, {_filled("b", "n1")}
+  FROM (SELECT i.place, i.source, i.n0, i.n1, w.a, w.b,
+    list_min([{{'apart': {_apart("a", "n0", "t0")} + {_apart("b", "n1", "t1")}, 'rows': a[f] + b[f], 'fold': f}} FOR f IN [1, 2, 3, 4, 5]]).fold AS fold
+   FROM walk w JOIN items i ON i.place = w.place + 1))
+ SELECT source, CAST(fold - 1 AS INT) AS fold FROM walk WHERE place > 0)"""
 
 
 @query("group_folds", f"SELECT source, fold FROM {_GROUPED}")

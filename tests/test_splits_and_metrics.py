@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,6 +45,56 @@ def test_group_folds_keep_sources_together(rows):
     assert splits.assign_group_folds(rows, folds, "source").count() == 503
 
 
+def plain_greedy(counts, n_folds=5):
+    """Sources one by one, by deviation of their class counts; numpy's own deviations."""
+    totals = np.sum(list(counts.values()), axis=0)
+    rows = np.zeros((n_folds, len(totals)))
+    for source in sorted(counts, key=lambda s: (-np.std(counts[s]), -sum(counts[s]), s)):
+        trials = []
+        for fold in range(n_folds):
+            rows[fold] += counts[source]
+            trials.append((round(np.std(rows / totals, axis=0).mean(), 12), rows[fold].sum(), fold))
+            rows[fold] -= counts[source]
+        rows[min(trials)[2]] += counts[source]
+    return np.std(rows / totals, axis=0).mean()
+
+
+def deviation(rows, folds):
+    per = splits.assign_group_folds(rows, folds, "source").groupBy("fold").pivot("label", [0, 1]).count().fillna(0)
+    shares = np.array([[r["0"], r["1"]] for r in per.collect()], dtype=float)
+    return np.std(shares / shares.sum(axis=0), axis=0).mean()
+
+
+def source_counts(rows):
+    out = {}
+    for r in rows.groupBy("source", "label").count().collect():
+        out.setdefault(r["source"], [0, 0])[r["label"]] = r["count"]
+    return out
+
+
+def test_group_folds_are_as_even_as_the_plain_greedy_deal(spark, rows):
+    assert deviation(rows, splits.group_folds(rows, "source", "label")) <= plain_greedy(source_counts(rows)) + 1e-9
+    many = spark.range(6000).select(
+        F.expr("CAST(pmod(hash(id), 10) < 3 AS INT)").alias("label"),
+        F.expr("CASE WHEN id % 3 = 0 THEN 'hot' ELSE 's' || CAST(sqrt(id) AS INT) || '-' || id % 7 END").alias("source"),
+    )
+    alone = deviation(many, splits.group_folds(many, "source", "label"))
+    assert alone <= plain_greedy(source_counts(many)) + 1e-9
+    # small sources in packs: as even but for the packs' own size, and a source stays whole
+    packed = splits.group_folds(many, "source", "label", packs=64)
+    assert packed.count() == many.select("source").distinct().count()
+    assert deviation(many, packed) <= alone + 1 / 64
+
+
+def test_group_folds_with_many_folds_and_odd_rows(spark):
+    odd = spark.createDataFrame([(None, 1), ("a", None), ("a", 1), ("b", 1), ("p3", 0)], "source string, label int")
+    folds = {r["source"]: r["fold"] for r in splits.group_folds(odd, "source", "label", 3).collect()}
+    assert set(folds) == {"a", "b", "p3"} and set(folds.values()) <= {0, 1, 2}
+    assert splits.group_folds(odd.limit(0), "source", "label").collect() == []
+    one = splits.group_folds(odd.repartition(1), "source", "label", 3).collect()
+    assert {r["source"]: r["fold"] for r in one} == folds
+
+
 def test_metrics_agree(spark):
     pairs = [(0, 0)] * 5 + [(0, 1)] * 2 + [(1, 1)] * 3
     p = spark.createDataFrame([("m", a, b) for a, b in pairs], "model string, label int, prediction int")
