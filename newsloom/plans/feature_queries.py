@@ -100,7 +100,7 @@ def nmf_check(spark, sf):
     """What every solution must satisfy, whatever the start."""
     _, vectors, topics = _topics(spark, sf)
     falls = all(b <= a * (1 + 1e-9) for a, b in zip(topics.losses, topics.losses[1:]))
-    still = topics.gradients[-1] <= 1e-4 * topics.gradients[0] or len(topics.losses) == K.NMF_MAX_ITER
+    still = topics.gradients[-1] <= 1e-4 * topics.first_gradient or len(topics.losses) == K.NMF_MAX_ITER
     weights = vector_to_array("topics")
     return topics.transform(vectors, "doc_id").agg(
         (F.min(F.array_min(weights)) >= 0).alias("_w")

@@ -54,6 +54,42 @@ def test_nmf_loss_falls_and_weights_are_nonnegative(corpus):
     assert len(weights) == 60 and min(min(r["topics"].toArray()) for r in weights) >= 0
 
 
+def test_nmf_starts_from_singular_vectors(spark, corpus):
+    rows = tfidf.with_terms(corpus)
+    model = tfidf.fit(rows)
+    x = model.transform(rows).select("doc_id", "tfidf").persist()
+    width = len(model.terms)
+    start = nmf.fit(x, "doc_id", "tfidf", width, k=4, max_iter=1)
+    again = nmf.fit(x.repartition(5), "doc_id", "tfidf", width, k=4, max_iter=1)
+    dense = np.array([r["tfidf"].toArray() for r in x.collect()])
+    left, values, right = np.linalg.svd(dense, full_matrices=False)
+    lead = np.abs(right[0])
+    # the leading vector of a non-negative matrix has one sign
+    first = nmf._initial_topics(exact_sums(dense), dense.sum(axis=0), 4, 3)[0]
+    assert first @ lead / np.linalg.norm(first) == pytest.approx(1, abs=1e-3)
+    assert start.losses[0] == pytest.approx(again.losses[0], rel=1e-6)
+    # fewer documents than topics: the rest stay random and positive
+    few = nmf.fit(x.where("doc_id < 2"), "doc_id", "tfidf", width, k=4, max_iter=5, tol=0.0)
+    assert np.isfinite(few.topics).all() and few.losses[-1] < 1e-2
+    assert nmf.fit(x.where("doc_id < 0"), "doc_id", "tfidf", width, k=4, max_iter=2).losses[-1] == 0.0
+
+
+def exact_sums(dense):
+    def sums(h, solve):
+        w = solve(dense @ h.T, h @ h.T)
+        return nmf._Sums(w.T @ dense, w.T @ w, 0.0)
+
+    return sums
+
+
+def test_nmf_stop_ignores_the_scale_of_topics():
+    rng = np.random.default_rng(1)
+    dense, h = rng.random((30, 12)), rng.random((3, 12))
+    scaled = h * np.array([[10.0], [0.1], [3.0]])
+    got = [nmf._gradient(t, exact_sums(dense)(t, lambda xh, gram: nmf._solve_weights(xh, gram, 20000))) for t in (h, scaled)]
+    assert got[0] == pytest.approx(got[1], rel=1e-3)
+
+
 def test_pos_ratios(spark):
     df = spark.createDataFrame([(1, "She quickly painted good houses, we must go."), (2, " ")], "doc_id long, text string")
     got = {r["doc_id"]: r for r in linguistic.with_pos_ratios(df).collect()}
