@@ -45,7 +45,9 @@ MASK = "[SECRET]"
 
 _CLUE = re.compile(r"pass(?:word|wd|phrase)|pwd|secret|token|key|credential|auth|bearer|connection_?string", re.IGNORECASE)
 _LEX = re.compile(
-    r"""(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)"""
+    r"""(?P<long>\"{3}[\s\S]*?\"{3}|'{3}[\s\S]*?'{3})"""
+    r"""|(?P<block>(?<=:\x20)[|>][+\-\d]{0,2}[ \t]*\n(?P<pad>[ \t]+)\S[^\n]*(?:\n(?P=pad)[^\n]*)*)"""
+    r"""|(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)"""
     r"""|(?P<name>[^\W\d][\w.\-]*(?:\[["']?\w+["']?\])?)"""
     r"""|(?P<bare>\d[\w+/\-.]*)"""
     r"""|(?P<assign>:=|=>|=(?!=)|:(?!:))"""
@@ -58,6 +60,14 @@ _WORDY = re.compile(r"pass_?phrase|connection_?string")
 #: The rest of a bare value: signs other than operators and separators, and what follows them.
 _MORE = re.compile(r"(?:[!#$@%^*~?][\w!#$@%^*~?/.\-]*)?")
 
+_NAME = re.compile(r"[\w.\-]+")
+_LINE = re.compile(r"[^\s](?:[^\n]*[^\s])?")
+_ASSIGNED = re.compile(r"\s*(?:=(?!=)|:)")
+#: Fields that name a setting, and fields that hold its value.
+_NAME_FIELDS, _VALUE_FIELDS = {"key", "name"}, {"value", "val"}
+#: Calls that read or ask for a secret are given its name, not the secret.
+_ASKS = re.compile(r"(?:.*\.)?(?:get|fetch|load|read|find|lookup|is|has|check|env|test|print|log)", re.IGNORECASE)
+
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the three fixed patterns, sorted by start, then kind."""
@@ -112,30 +122,32 @@ def literal_score(value: str, name: str) -> float:
     return sensitivity(name) * min(1.0, 0.55 + 0.1 * mixed + 0.08 * spread) * max(0.92, 1 - 0.02 * max(0, blanks - 1))
 
 
-def _regions(text: str):
-    """Runs of lines around clues; a name assigned there may be used further on."""
-    if not _CLUE.search(text) or not ("=" in text or ":" in text):
-        return
-    yield 0, len(text)
-
-
 def pairs(text: str) -> list[tuple[str, str, list[tuple[int, int]]]]:
     """(name, value, spans of the literals it is made of) of every assignment.
 
     A value is one literal, a name assigned before, or a sum of these. A bare
-    value (``name=abc123``) counts when it holds a digit, a quoted one always.
+    value (``name=abc123``) counts when it holds a digit, a quoted one always. A
+    literal may have three quotes or be an indented block after ``name: |`` or
+    ``name: >``. Where one field names a setting and the next gives its value
+    (``key="password" value="..."``), the value belongs to that name; literals and
+    names passed to ``name(...)``, unless it reads or asks, belong to the called name.
     """
     known: dict[str, tuple[str, list[tuple[int, int]]]] = {}
     out = []
     target, parts, wants, before = None, [], False, None
+    setting, called = None, None
 
     def close():
-        nonlocal target, parts
+        nonlocal target, parts, setting
         if target is not None and parts:
             value = "".join(v for v, _ in parts)
             spans = [s for _, own in parts for s in own]
             known[target] = (value, spans)
             out.append((target, value, spans))
+            field = target.lower()
+            if field in _VALUE_FIELDS and setting is not None:
+                out.append((setting, value, spans))
+            setting = value if field in _NAME_FIELDS and _NAME.fullmatch(value) else None
         target, parts = None, []
 
     for m in _LEX.finditer(text):
@@ -149,14 +161,25 @@ def pairs(text: str) -> list[tuple[str, str, list[tuple[int, int]]]]:
                 target, parts, wants = before, [], True
             before = None
             continue
-        if kind == "string":
-            value, span = token[1:-1], (m.start() + 1, m.end() - 1)
+        if kind == "block":
+            if wants:
+                start = m.start("pad")
+                lines = [(start + a.start(), start + a.end()) for a in _LINE.finditer(text[start : m.end()])]
+                parts.append(("".join(text[a:b] for a, b in lines), lines))
+            close()
+            wants, before, called = False, None, None
+            continue
+        if kind in ("string", "long"):
+            quotes = 3 if kind == "long" else 1
+            value, span = token[quotes:-quotes], (m.start() + quotes, m.end() - quotes)
             if wants:
                 parts.append((value, [span]))
                 wants = False
             elif target is not None:
                 close()
-            before = value if re.fullmatch(r"[\w.\-]{1,64}", value) else None
+            elif called is not None:
+                out.append((called, value, [span]))
+            before = value if _NAME.fullmatch(value) else None
             continue
         if kind in ("name", "bare"):
             if wants:
@@ -168,15 +191,26 @@ def pairs(text: str) -> list[tuple[str, str, list[tuple[int, int]]]]:
                     parts.append((whole, [(m.start(), m.start() + len(whole))]))
                     wants = False
                 else:
+                    if kind == "name" and target.lower() in _NAME_FIELDS:
+                        setting, target = token, None
                     wants = False
             elif target is not None:
                 close()
+            elif called is not None and token in known and not _ASSIGNED.match(text, m.end()):
+                out.append((called, *known[token]))
             before = token if kind == "name" else None
             continue
         if kind == "plus" and target is not None and parts:
             wants = True
             continue
         close()
+        # an argument list begins right behind a name and ends with its bracket or statement
+        if token == "(":
+            called = before if text[m.start() - 1 : m.start()].isalnum() and before and not _ASKS.match(before) else None
+        elif token in ");{}":
+            called = None
+        if token in "}>":
+            setting = None
         wants, before = False, None
     close()
     return out
@@ -185,11 +219,12 @@ def pairs(text: str) -> list[tuple[str, str, list[tuple[int, int]]]]:
 def literal_spans(text: str) -> list[tuple[int, int, str]]:
     """Literals that reach a sensitive name, through constants and sums."""
     best: dict[tuple[int, int], float] = {}
-    for start, end in _regions(text):
-        for name, value, spans in pairs(text[start:end]):
-            score = literal_score(value, name)
-            for a, b in spans if score >= least_score(name) else []:
-                best[start + a, start + b] = max(score, best.get((start + a, start + b), 0))
+    if not _CLUE.search(text) or not any(sign in text for sign in "=:("):
+        return []
+    for name, value, spans in pairs(text):
+        score = literal_score(value, name)
+        for span in spans if score >= least_score(name) else []:
+            best[span] = max(score, best.get(span, 0))
     return [(a, b, "literal") for (a, b) in sorted(best) if b > a]
 
 

@@ -87,3 +87,32 @@ def test_every_listed_name_can_be_reached():
 def test_the_whole_literal_is_scored():
     plain, mixed = "ab" * 128, "q7Wx-2Zk9" * 30
     assert S.literal_score(plain + mixed, "bearer") > S.literal_score(plain + "ABC-1", "bearer")
+
+
+def test_literals_in_three_quotes_and_blocks():
+    assert caught('pwd = """Zx9qLm27Ab"""') == ["Zx9qLm27Ab"] == caught("pwd = '''Zx9qLm27Ab'''")
+    assert caught('pwd = """Zx9q"Lm\n27Ab"""\ncity = "a8F3kkQ1"') == ['Zx9q"Lm\n27Ab']
+    assert caught('a = ""\npwd = "Zx9qLm27Ab"') == ["Zx9qLm27Ab"] and caught('pwd = """Zx9qLm27Ab') == []
+    yaml = "db:\n  auth_key: x\n  client_key: >-\n    Zx9q!Lm27\n    Qw8rTy56\n  city: Hamburg-1999\n"
+    assert caught(yaml) == ["Zx9q!Lm27", "Qw8rTy56"]
+    assert caught("client_key: |\n\tZx9q!Lm27Ab") == ["Zx9q!Lm27Ab"]
+    assert caught("ls x |\n  PWD=Zx9qLm27Ab run") == ["Zx9qLm27Ab"]
+    assert caught("note: >-\n  the key is Zx9q!Lm27Ab\n") == []
+
+
+def test_settings_named_in_one_field_and_given_in_the_next():
+    assert caught('<add key="password" value="Zx9!qLm27"/>') == ["Zx9!qLm27"]
+    assert caught('{"name": "DB_PASSWORD", "value": "Zx9!qLm27"}, {"name": "CITY", "value": "Ab1!qLm27"}') == ["Zx9!qLm27"]
+    assert caught("- name: DB_PASSWORD\n  value: Zx9!qLm27\n- name: CITY\n  value: Ab1!qLm27\n") == ["Zx9!qLm27"]
+    assert caught('<add key="city" value="Zx9!qLm27"/> <add key="password"/> <x value="Ab1!qLm27"/>') == []
+
+
+def test_literals_passed_to_calls():
+    assert caught('conn.set_password("Zx9!qLm27")') == ["Zx9!qLm27"]
+    assert caught('x = "Zx9!qLm27"\nset_password(user, x)') == ["Zx9!qLm27"]
+    assert caught('get_secret("prod-db-2024-Key")') == [] == caught('set_password(x); show("Zx9!qLm27")')
+    assert caught('set_password(hash("Zx9!qLm27"))') == [] == caught('the password (as "Zx9!qLm27" was)')
+    name = "a" * 70 + "_secret"
+    assert caught(f'{{"{name}": "Zx9!qLm27"}}') == [] or S.masked(f'{{"{name}": "Zx9!qLm27"}}').count("Zx9") == 0
+    long = "a" * 70 + "_credential"
+    assert caught(f'{{"{long}": "Zx9!qLm27"}}') == ["Zx9!qLm27"]
