@@ -187,18 +187,6 @@ def lines(c: Column | str) -> Column:
     return F.filter(F.transform(F.split(_col(c), "\n"), strip), lambda x: x != "")
 
 
-def drop_wrappers(blocks: Column | str) -> Column:
-    """Drop a block that contains another, shorter block of the same array."""
-
-    def kept(b: Column) -> Column:
-        return F.filter(
-            b,
-            lambda x: ~F.exists(b, lambda y: (F.length(x) > F.length(y)) & F.contains(x, y)),
-        )
-
-    return let(_col(blocks), kept)
-
-
 def distinct_blocks(blocks: Column | str) -> Column:
     """First occurrence of each stripped, non-blank block, in order."""
     return F.filter(F.array_distinct(F.transform(_col(blocks), strip)), lambda x: x != "")

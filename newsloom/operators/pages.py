@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from newsloom import constants as K
 from newsloom.functions import dates, profiles, text as X, urls as U
 from newsloom.functions.text import let
+from newsloom.functions.wrappers import drop_wrappers
 from newsloom.operators.filters import is_author_bio, is_boilerplate
 from newsloom.sources.html_nodes import with_nodes
 
@@ -230,8 +231,39 @@ def is_el(n: Column, el: El) -> Column:
     return out
 
 
-def within(inner: Column, outer: Column) -> Column:
-    return (inner["pos"] > outer["pos"]) & (inner["pos"] <= outer["last"])
+def inside(outer: Column) -> Column:
+    """All elements within one: a slice of ``nodes``, no test of the others."""
+    return F.slice(_nodes(), outer["pos"] + 2, outer["last"] - outer["pos"])
+
+
+def has_inside(outer: Column, rule) -> Column:
+    return F.exists(inside(outer), rule)
+
+
+def outermost(spans: Column) -> Column:
+    """Those of ``spans`` (pos, last; in document order) that lie in no other one.
+
+    Elements nest or are apart, so only the last one kept needs a look."""
+    def add(kept: Column, d: Column) -> Column:
+        last = F.coalesce(F.get(kept, F.size(kept) - 1)["last"], F.lit(-1))
+        return F.when(d["pos"] > last, F.concat(kept, F.array(d))).otherwise(kept)
+
+    return F.aggregate(spans, F.slice(spans, 1, 0), add)
+
+
+def _around(values: Column, holes: Column, first, after, start: Column, stop: Column, filled=None) -> Column:
+    """``values`` from ``start`` to ``stop`` without the stretches ``holes`` cover.
+
+    ``first`` and ``after`` give a hole's bounds; ``filled`` what stands in its place.
+    Slices are copied whole, so the work is linear in the values."""
+    def piece(d: Column, i: Column) -> Column:
+        begin = F.coalesce(after(F.get(holes, i - 1)), start)
+        kept = F.slice(values, begin + 1, F.greatest(first(d) - begin, F.lit(0)))
+        return kept if filled is None else F.concat(kept, filled(d))
+
+    begin = F.coalesce(after(F.get(holes, F.size(holes) - 1)), start)
+    tail = F.slice(values, begin + 1, F.greatest(stop - begin, F.lit(0)))
+    return F.flatten(F.concat(F.transform(holes, piece), F.array(tail)))
 
 
 def find(el: El) -> Column:
@@ -240,7 +272,7 @@ def find(el: El) -> Column:
         return F.get(F.filter(_nodes(), lambda n: is_el(n, el)), F.lit(0))
     return let(
         find(el.inside),
-        lambda o: F.get(F.filter(_nodes(), lambda n: is_el(n, el) & within(n, o)), F.lit(0)),
+        lambda o: F.get(F.filter(inside(o), lambda n: is_el(n, el)), F.lit(0)),
     )
 
 
@@ -270,7 +302,7 @@ def is_paywalled() -> Column:
 
     def closed(w: Column) -> Column:
         style = F.coalesce(w["style"], F.lit(""))
-        card = F.exists(_nodes(), lambda n: is_el(n, El("fluent-card", "old-paywall")) & within(n, w))
+        card = has_inside(w, lambda n: is_el(n, El("fluent-card", "old-paywall")))
         return (
             X.contains_any(style, ("display: inherit", "display: block"))
             | card
@@ -342,7 +374,7 @@ def _meta(kind: str, name: str) -> Column:
 
 def _nth_inside(el: El, tag: str, i: int) -> Column:
     inner = let(
-        find(el), lambda o: F.get(F.filter(_nodes(), lambda n: (n["tag"] == tag) & within(n, o)), F.lit(i))
+        find(el), lambda o: F.get(F.filter(inside(o), lambda n: n["tag"] == tag), F.lit(i))
     )
     return let(inner, lambda n: F.when(n.isNotNull(), text_of(n, "")))
 
@@ -395,18 +427,13 @@ def _spans(nodes: Column) -> Column:
     )
 
 
-def _has_inside(n: Column, inner: Column) -> Column:
-    return F.exists(inner, lambda d: within(d, n))
-
-
-def _none() -> Column:
-    return F.array().cast("array<struct<pos:int,last:int,t0:int,t1:int>>")
-
-
 def _dropped(rules: PageRules) -> Column | None:
     """Elements whose whole content is thrown away; None without such rules."""
 
-    def rule(n: Column, mails: Column) -> Column:
+    def is_mail(n: Column) -> Column:
+        return (n["tag"] == "a") & F.startswith(F.lower(F.coalesce(n["href"], F.lit(""))), F.lit("mailto:"))
+
+    def rule(n: Column) -> Column:
         conditions = []
         if rules.drop_tags:
             conditions.append(n["tag"].isin(list(rules.drop_tags)))
@@ -423,23 +450,17 @@ def _dropped(rules: PageRules) -> Column | None:
             conditions.append((n["tag"] == tag) & F.contains(F.lower(text_of(n, " ")), F.lit(mark)))
         if rules.drop_bios:
             conditions.append(
-                (n["tag"] == "p") & (_has_inside(n, mails) | is_author_bio(text_of(n, " ")))
+                (n["tag"] == "p") & (has_inside(n, is_mail) | is_author_bio(text_of(n, " ")))
             )
         return _any(conditions)
 
     if not (rules.drop_tags or rules.drop_elements or rules.drop_class_parts):
         return None
-    if not rules.drop_bios:
-        return _spans(F.filter(_nodes(), lambda n: rule(n, _none())))
-    mail_links = F.filter(
-        _nodes(),
-        lambda n: (n["tag"] == "a") & F.startswith(F.lower(F.coalesce(n["href"], F.lit(""))), F.lit("mailto:")),
-    )
-    return let(_spans(mail_links), lambda m: _spans(F.filter(_nodes(), lambda n: rule(n, m))))
+    return _spans(F.filter(_nodes(), rule))
 
 
 def _bad_parents(rules: PageRules) -> Column | None:
-    """Elements whose paragraphs are skipped; None without such rules."""
+    """What lies in elements whose paragraphs are skipped; None without such rules."""
     if not (rules.skip_under_classes or rules.skip_under_ids or rules.skip_under_tags):
         return None
 
@@ -452,13 +473,15 @@ def _bad_parents(rules: PageRules) -> Column | None:
             conditions.append(F.coalesce(n["id"], F.lit("")).isin(list(rules.skip_under_ids)))
         if rules.skip_under_tags:
             conditions.append(n["tag"].isin(list(rules.skip_under_tags)))
-        return _any(conditions)
+        return _any(conditions) & (n["last"] > n["pos"])
 
-    return _spans(F.filter(_nodes(), rule))
+    found = _spans(F.filter(_nodes(), rule))
+    # the element itself may be a paragraph: only what it holds is skipped
+    return F.transform(found, lambda d: d.withField("pos", d["pos"] + 1))
 
 
-def _bad_children(rules: PageRules) -> Column | None:
-    """Elements that disqualify the paragraph around them; None without rules."""
+def _is_bad_child(rules: PageRules):
+    """Rule for elements that disqualify the paragraph around them; None without."""
     if not (rules.skip_with or rules.skip_with_tags or rules.long_link_words):
         return None
 
@@ -470,73 +493,77 @@ def _bad_children(rules: PageRules) -> Column | None:
             conditions.append((n["tag"] == "a") & (X.word_count(text_of(n, "")) > rules.long_link_words))
         return _any(conditions)
 
-    return _spans(F.filter(_nodes(), rule))
-
-
-def _let_all(values: list[Column | None], body) -> Column:
-    """Bind several values, absent ones staying None."""
-
-    def bind(rest: list[Column | None], bound: tuple[Column | None, ...]) -> Column:
-        if not rest:
-            return body(*bound)
-        if rest[0] is None:
-            return bind(rest[1:], (*bound, None))
-        return let(rest[0], lambda v: bind(rest[1:], (*bound, v)))
-
-    return bind(values, ())
+    return rule
 
 
 def paragraphs(rules: PageRules, with_breaks: bool = False) -> Column:
-    """Array of (text, has_break) of the body's paragraphs, in page order."""
+    """Array of (text, has_break) of the body's paragraphs, in page order.
+
+    The body is a slice of the elements; what is thrown away is cut out of it, and
+    blanked among the strings, once. A paragraph then looks at its own elements and
+    strings only, whatever else the page holds.
+    """
+    bad_child = _is_bad_child(rules)
 
-    def wanted(n: Column, body: Column, gone, parents, children) -> Column:
-        keep = n["tag"].isin(list(rules.paragraphs)) & within(n, body)
+    def wanted(n: Column) -> Column:
+        keep = n["tag"].isin(list(rules.paragraphs))
         if rules.paragraph_class:
             keep = keep & has_class(n, rules.paragraph_class)
         if rules.skip_classes:
             names = F.array(*[F.lit(c) for c in rules.skip_classes])
             keep = keep & ~F.arrays_overlap(n["cls"], names)
-        if gone is not None:
-            keep = keep & ~F.exists(gone, lambda d: (d["pos"] <= n["pos"]) & (n["pos"] <= d["last"]))
-        if parents is not None:
-            keep = keep & ~F.exists(parents, lambda a: within(n, a))
-        if children is not None:
-            keep = keep & ~_has_inside(n, children)
-        return keep
-
-    def entry(n: Column, gone, breaks) -> Column:
-        parts = F.slice(_strings(), n["t0"] + 1, n["t1"] - n["t0"])
-        if gone is not None:
-            parts = F.filter(
-                parts,
-                lambda s, i: ~F.exists(gone, lambda d: (d["t0"] <= n["t0"] + i) & (n["t0"] + i < d["t1"])),
+        return keep if bad_child is None else keep & ~has_inside(n, bad_child)
+
+    def entries(nodes: Column, strings: Column) -> Column:
+        def entry(n: Column) -> Column:
+            parts = F.slice(strings, n["t0"] + 1, n["t1"] - n["t0"])
+            has_break = has_inside(n, lambda d: d["tag"] == "br") if with_breaks else F.lit(False)
+            return F.struct(F.array_join(parts, " ").alias("text"), has_break.alias("has_break"))
+
+        return F.transform(F.filter(nodes, wanted), entry)
+
+    def without(holes: Column, body: Column) -> Column:
+        return _around(
+            _nodes(), holes, lambda d: d["pos"], lambda d: d["last"] + 1, body["pos"] + 1, body["last"] + 1
+        )
+
+    def blanked(holes: Column) -> Column:
+        nothing = lambda d: F.array_repeat(F.lit(None).cast("string"), d["t1"] - d["t0"])
+        return _around(
+            _strings(), holes, lambda d: d["t0"], lambda d: d["t1"], F.lit(0), F.size(_strings()), nothing
+        )
+
+    gone, skipped = _dropped(rules), _bad_parents(rules)
+
+    def of_body(body: Column) -> Column:
+        def held(spans: Column) -> Column:
+            return outermost(F.filter(spans, lambda d: (d["pos"] > body["pos"]) & (d["pos"] <= body["last"])))
+
+        if gone is None and skipped is None:
+            return entries(inside(body), _strings())
+        cut = skipped
+        if skipped is not None and gone is not None:  # in order, the wider first where two begin together
+            cut = F.array_sort(
+                F.concat(held(gone), skipped),
+                lambda a, b: F.when(a["pos"] != b["pos"], a["pos"] - b["pos"]).otherwise(b["last"] - a["last"]),
             )
-        has_break = F.lit(False) if breaks is None else _has_inside(n, breaks)
-        return F.struct(F.array_join(parts, " ").alias("text"), has_break.alias("has_break"))
 
-    def of_body(body: Column, dropped, parents, children, breaks) -> Column:
-        def collect(gone) -> Column:
-            kept = F.filter(_nodes(), lambda n: wanted(n, body, gone, parents, children))
-            return F.transform(kept, lambda n: entry(n, gone, breaks))
+        def reaching() -> Column:  # one that holds the body itself leaves nothing of it
+            return F.filter(outermost(cut), lambda d: (d["last"] > body["pos"]) & (d["pos"] <= body["last"]))
 
-        if dropped is None:
-            return collect(None)
-        return let(F.filter(dropped, lambda d: within(d, body)), collect)
+        if gone is None:
+            return let(reaching(), lambda h: entries(without(h, body), _strings()))
+        return let(held(gone), lambda g: let(
+            g if skipped is None else reaching(), lambda h: let(blanked(g), lambda s: entries(without(h, body), s))
+        ))
 
     bodies = F.filter(F.array(*[find(el) for el in rules.body]), lambda n: n.isNotNull())
     if not rules.first_filled_body:
         bodies = F.slice(bodies, 1, 1)
-
-    def chosen(dropped, parents, children, breaks) -> Column:
-        options = F.transform(bodies, lambda b: of_body(b, dropped, parents, children, breaks))
-        if rules.first_filled_body:
-            options = F.filter(
-                options, lambda o: F.exists(o, lambda p: F.length(p["text"]) > rules.min_chars)
-            )
-        return F.get(options, F.lit(0))
-
-    breaks = _spans(F.filter(_nodes(), lambda n: n["tag"] == "br")) if with_breaks else None
-    return _let_all([_dropped(rules), _bad_parents(rules), _bad_children(rules), breaks], chosen)
+    options = F.transform(bodies, of_body)
+    if rules.first_filled_body:
+        options = F.filter(options, lambda o: F.exists(o, lambda p: F.length(p["text"]) > rules.min_chars))
+    return F.get(options, F.lit(0))
 
 
 _MARK = "\u0001"  # stands between paragraphs while they are one string
@@ -565,7 +592,8 @@ def joined_paragraphs(outlet: str, paras: Column) -> Column:
     return F.array_join(texts, _MARK if outlet == "AlterNet" else rules.joiner)
 
 
-def _finish_counterpunch(formed: Column, paras: Column) -> Column:
+def _counterpunch_blocks(formed: Column, paras: Column) -> Column:
+    """Cleaned paragraphs without author lines and disclaimers."""
     def kept(cleaned: Column) -> Column:
         n = F.size(cleaned)
         entries = F.zip_with(
@@ -577,17 +605,17 @@ def _finish_counterpunch(formed: Column, paras: Column) -> Column:
             & ~X.is_signature(e["text"], n - 1 - i, e["has_break"])
             & ~is_boilerplate("CounterPunch", e["text"]),
         )
-        blocks = X.distinct_blocks(X.drop_wrappers(F.transform(signed, lambda e: e["text"])))
-        return F.array_join(X.paragraphs(F.array_join(blocks, "\n\n")), "\n\n")
+        return F.transform(signed, lambda e: e["text"])
 
     cleaned = F.transform(F.split(formed, _MARK), lambda t: profiles.after_form("CounterPunch", t))
     return let(cleaned, kept)
 
 
-def finished_body(outlet: str, formed: Column, paras: Column) -> Column:
-    """Body text after the Unicode form was applied to the joined paragraphs."""
+def finished_body(outlet: str, formed: Column, blocks: Column) -> Column:
+    """Body text after the Unicode form was applied to the joined paragraphs;
+    ``blocks`` are CounterPunch's, none of which contains another."""
     if outlet == "CounterPunch":
-        return _finish_counterpunch(formed, paras)
+        return F.array_join(X.paragraphs(F.array_join(X.distinct_blocks(blocks), "\n\n")), "\n\n")
     if outlet == "AlterNet":
         parts = F.transform(
             F.split(formed, _MARK),
@@ -671,11 +699,16 @@ def parsed_pages(pages: DataFrame, outlets: tuple[str, ...] = tuple(K.OUTLETS))
         X.unicode_form("raw_headline", F.col("form")).alias("formed_headline"),
         X.unicode_form("raw_body", F.col("form")).alias("formed_body"),
     )
+    blocks = F.lit(None).cast("array<string>")
+    if "CounterPunch" in outlets:
+        own = F.when(F.col("outlet") == "CounterPunch", _counterpunch_blocks(F.col("formed_body"), F.col("paras")))
+        staged = computed(formed, keep=(*known[:-1], "formed_headline", "formed_body"), blocks=own)
+        formed, blocks = staged.withColumn("blocks", drop_wrappers("blocks")), F.col("blocks")
     finished = computed(
         formed,
         keep=known[:-1],
         headline=per_outlet(lambda k: profiles.after_form(k, F.col("formed_headline"))),
-        body_text=per_outlet(lambda k: finished_body(k, F.col("formed_body"), F.col("paras"))),
+        body_text=per_outlet(lambda k: finished_body(k, F.col("formed_body"), blocks)),
     )
     return (
         finished.withColumn("word_count", X.word_count("body_text"))
@@ -722,30 +755,33 @@ def page_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url")
     )
 
 
+def _within_any(boxes: Column, rule) -> Column:
+    """Elements that lie in one of the boxes and meet a rule, each once, in order."""
+    return F.flatten(F.transform(outermost(boxes), lambda o: F.filter(inside(o), rule)))
+
+
 def _hrefs(outlet: str) -> Column:
     """Addresses of the anchors in an outlet's listing containers, as written."""
-    anchors = F.filter(_nodes(), lambda n: (n["tag"] == "a") & (F.coalesce(n["href"], F.lit("")) != ""))
     href = lambda n: n["href"]
-
-    def under(boxes: Column, nodes: Column) -> Column:
-        return let(boxes, lambda b: F.filter(nodes, lambda n: F.exists(b, lambda o: within(n, o))))
+    is_link = lambda n: (n["tag"] == "a") & (F.coalesce(n["href"], F.lit("")) != "")
 
     def boxes_of(el: El) -> Column:
         return F.filter(_nodes(), lambda n: is_el(n, el))
 
     if outlet == "MotherJones":
-        return F.transform(under(boxes_of(El("ul", "articles-list")), anchors), href)
+        return F.transform(_within_any(boxes_of(El("ul", "articles-list")), is_link), href)
     if outlet == "CounterPunch":
         posts = F.filter(
             _nodes(),
             lambda n: (n["tag"] == "div") & F.startswith(F.coalesce(n["id"], F.lit("")), F.lit("post-"))
             & F.contains(F.array_join(n["cls"], " "), F.lit("post_box")),
         )
-        return F.transform(under(under(posts, boxes_of(El("h1", "headline"))), anchors), href)
+        headlines = _within_any(posts, lambda n: is_el(n, El("h1", "headline")))
+        return F.transform(_within_any(headlines, is_link), href)
     if outlet == "Salon":  # the first link of each card
         cards = boxes_of(El("div", "grid-article"))
-        return let(anchors, lambda a: F.transform(cards, lambda o: F.get(F.filter(a, lambda n: within(n, o)), F.lit(0))["href"]))
-    return F.transform(anchors, href)
+        return F.transform(cards, lambda o: F.get(F.filter(inside(o), is_link), F.lit(0))["href"])
+    return F.transform(F.filter(_nodes(), is_link), href)
 
 
 def _admitted(outlet: str, href: Column, base: Column) -> Column:
@@ -784,17 +820,9 @@ def discovered_links(pages: DataFrame, seen: DataFrame | None = None) -> DataFra
 
 def listing_links(pages: DataFrame, block: El, link: El = El("a")) -> DataFrame:
     """Hrefs of links inside the blocks of a listing page, each once."""
-    blocks = _spans(F.filter(_nodes(), lambda n: is_el(n, block)))
-    hrefs = let(
-        blocks,
-        lambda b: F.transform(
-            F.filter(
-                _nodes(),
-                lambda n: is_el(n, link) & n["href"].isNotNull() & F.exists(b, lambda o: within(n, o)),
-            ),
-            lambda n: n["href"],
-        ),
-    )
+    blocks = F.filter(_nodes(), lambda n: is_el(n, block))
+    links = _within_any(blocks, lambda n: is_el(n, link) & n["href"].isNotNull())
+    hrefs = F.transform(links, lambda n: n["href"])
     return with_nodes(pages).select(F.explode(F.array_distinct(hrefs)).alias("url")).distinct()
 
 

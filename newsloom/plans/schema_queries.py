@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from newsloom import constants as K
 from newsloom.functions import dates, text as X
+from newsloom.functions.wrappers import drop_wrappers
 from newsloom.operators import filters, schema as S
 from newsloom.plans import sql as Q
 from newsloom.plans.registry import query
@@ -344,7 +345,7 @@ def signature_filter(spark, sf):
 )
 def wrapper_dedup(spark, sf):
     return documents(spark, sf).select(
-        "doc_id", F.array_join(X.drop_wrappers(X.lines("text")), "\n").alias("kept")
+        "doc_id", F.array_join(drop_wrappers(X.lines("text")), "\n").alias("kept")
     )
 
 
