@@ -1,6 +1,7 @@
 """All named queries."""
 
 from newsloom.plans import (  # noqa: F401
+    article_queries,
     evaluation_queries,
     feature_queries,
     link_queries,

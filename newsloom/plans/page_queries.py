@@ -130,13 +130,14 @@ def page_links(spark, sf):
     return P.page_links(_pages(spark, sf))
 
 
-def _unescape(x):
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&amp;", "&")):
-        x = f"replace({x}, '{entity}', '{char}')"
+def unescape(x):
+    """The entities the pages use, decoded; some titles are cut before the semicolon."""
+    for entity, char in (("&lt", "<"), ("&gt", ">"), ("&quot", '"'), ("&#x27", "''"), ("&amp", "&")):
+        x = f"regexp_replace({x}, '{entity};?', '{char}', 'g')"
     return x
 
 
-_H1 = _unescape(Q.strip(chr(114) + 'egexp_extract(html, ' + chr(39) + '<h1>([^<]*)</h1>' + chr(39) + ', 1)'))
+_H1 = unescape(Q.strip(chr(114) + 'egexp_extract(html, ' + chr(39) + '<h1>([^<]*)</h1>' + chr(39) + ', 1)'))
 
 
 @query(
@@ -192,7 +193,7 @@ def drop_walled_pages(spark, sf):
 # the body as SQL sees it: paragraphs of the article element, tags taken out
 _INNER = "regexp_extract(html, '<article>(.*)</article>', 1, 's')"
 _CLOSED = f"regexp_replace({_INNER}, '<p><b>([^<]*)<br>', '<p>\\1</p>', 'g')"
-_PARS = f"list_transform(regexp_extract_all({_CLOSED}, '<p>([^<]*)</p>', 1), lambda x: {_unescape(Q.strip('x'))})"
+_PARS = f"list_transform(regexp_extract_all({_CLOSED}, '<p>([^<]*)</p>', 1), lambda x: {unescape(Q.strip('x'))})"
 _BROAD = Q.replaced("x", K.CHARS_BROADSHEET)
 _DC_KEEP = f"lambda p: p <> '' AND NOT {Q.any_of('contains(lower(p), {v})', K.DAILYCALLER_PHRASES)}"
 _DC = f"list_filter(list_transform({_PARS}, lambda x: {_BROAD}), {_DC_KEEP})"
@@ -223,7 +224,11 @@ def pages_articles(spark, sf):
     return P.articles(outlet_pages(spark, sf), F.lit("2026-04-10T00:00:00Z"))
 
 
-@query("listing_links")
+@query(
+    "listing_links",
+    """SELECT DISTINCT unnest(regexp_extract_all(nav, '<a href="([^"]*)"', 1)) AS url FROM
+ (SELECT unnest(regexp_extract_all(html, '<nav>(.*?)</nav>', 1, 's')) AS nav FROM pages)""",
+)
 def listing_links(spark, sf):
     """Links inside the navigation lists of all pages."""
     return P.listing_links(_pages(spark, sf), P.El("nav"))

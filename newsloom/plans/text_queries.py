@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from newsloom import constants as K
 from newsloom.functions import profiles, text as X
-from newsloom.functions.text import WORD, WS
+from newsloom.functions.text import CLOSING, WORD, WS
 from newsloom.operators import schema as S
 from newsloom.plans import sql as Q
 from newsloom.plans.registry import query
@@ -53,16 +53,16 @@ query(
 )(_over(lambda t: X.remove_pattern(t, K.ZERO_WIDTH_PATTERN)))
 
 
-def _tidy_sql(x: str, openers: str, closers: str) -> str:
+def tidy_sql(x: str, openers: str, closers: str) -> str:
     x = Q.sub(x, f"{WS}+([.,!?;:])", "\\1")
     x = Q.sub(Q.sub(x, f"([{openers}]){WS}+", "\\1"), f"{WS}+([{closers}])", "\\1")
     return Q.collapse(x)
 
 
-query("punct_spacing", _twin(_tidy_sql("text", profiles.QUOTES_OPEN, profiles.QUOTES_CLOSE)))(
+query("punct_spacing", _twin(tidy_sql("text", profiles.QUOTES_OPEN, profiles.QUOTES_CLOSE)))(
     _over(lambda t: profiles.tidy_punctuation(t, curly=False))
 )
-query("punct_spacing_curly", _twin(_tidy_sql("text", profiles.CURLY_OPEN, profiles.CURLY_CLOSE)))(
+query("punct_spacing_curly", _twin(tidy_sql("text", profiles.CURLY_OPEN, profiles.CURLY_CLOSE)))(
     _over(lambda t: profiles.tidy_punctuation(t, curly=True))
 )
 query("sentence_spacing", _twin(Q.sub("text", f"([.!?])({WORD})", "\\1 \\2")))(_over(X.space_after_sentence))
@@ -163,31 +163,43 @@ def chunk_text(spark, sf):
 # --- outlet profiles -----------------------------------------------------------------
 
 
-def _profile_twins() -> dict[str, str]:
-    nfc = "nfc_normalize(text)"
-    zero = lambda x: Q.sub(x, K.ZERO_WIDTH_PATTERN, "")
-    nbsp = lambda x: f"replace({x}, chr(160), ' ')"
-    broad = Q.replaced("text", K.CHARS_BROADSHEET)
-    alternet = Q.strip(Q.sub(Q.replaced(zero(nbsp(nfc)), K.CHARS_ALTERNET), "[ \\t]+", " "))
-    counter = Q.sub(Q.replaced(nfc, K.CHARS_COUNTERPUNCH), "\\n{3,}", "\n\n")
-    tags = Q.sub(Q.sub("text", K.EDITORIAL_TAGS, ""), r"\[[A-Z0-9_\-]+\]", "")
-    conservative = f"replace(replace({nbsp(f'nfc_normalize({tags})')}, chr(8233), chr(10) || chr(10)), chr(8232), chr(10))"
-    conservative = Q.replaced(zero(conservative), K.CHARS_CONSERVATIVE)
-    conservative = Q.strip(Q.sub(Q.sub(conservative, "[ \\t]+", " "), f"\\n{WS}+", "\n"))
-    spectator = Q.collapse(zero(Q.replaced(nfc, K.CHARS_SPECTATOR)))
-    return {
-        "AlterNet": alternet,
-        "CounterPunch": counter,
-        "DailyBeast": broad,
-        "FoxNews": broad,
-        "American_Conservative": conservative,
-        "American_Spectator": spectator,
-        "DailyCaller": broad,
-    }
-
-
-for _outlet, _sql in _profile_twins().items():
-    query(f"text_profile_{_outlet.lower()}", _twin(_sql))(_over(lambda t, o=_outlet: profiles.clean_for(o, t)))
-# compatibility folding has no SQL counterpart
-for _outlet in ("MotherJones", "Salon", "The_Free_Beacon"):
-    query(f"text_profile_{_outlet.lower()}")(_over(lambda t, o=_outlet: profiles.clean_for(o, t)))
+# what compatibility folding changes in the derived texts; SQL has the canonical form only
+_FOLDED = {"\u00a0": " ", "\u2003": " ", "\u3000": " ", "…": "...", "™": "TM"}
+
+
+def profile_sql(outlet: str, x: str) -> str:
+    """The outlet's text profile over an SQL expression."""
+    nfc = f"nfc_normalize({x})"
+    nfkc = lambda y: f"nfc_normalize({Q.replaced(y, _FOLDED)})"
+    zero = lambda y: Q.sub(y, K.ZERO_WIDTH_PATTERN, "")
+    nbsp = lambda y: f"replace({y}, chr(160), ' ')"
+    blanks = lambda y: Q.sub(y, "[ \\t]+", " ")
+    closing = lambda y: Q.sub(y, f"{WS}+({CLOSING})", "\\1")
+    if outlet == "AlterNet":
+        return Q.strip(blanks(Q.replaced(zero(nbsp(nfc)), K.CHARS_ALTERNET)))
+    if outlet == "CounterPunch":
+        return Q.sub(Q.replaced(nfc, K.CHARS_COUNTERPUNCH), "\\n{3,}", "\n\n")
+    if outlet == "MotherJones":
+        return Q.collapse(zero(Q.replaced(_unbracket_sql(nfkc(x)), K.CHARS_MOTHERJONES)))
+    if outlet == "Salon":
+        y = Q.replaced(Q.sub(Q.replaced(x, K.MOJIBAKE_SALON), r"[\x{80}-\x{9F}]", ""), K.CHARS_SALON)
+        y = f"replace({_unbracket_sql(nfkc(y))}, '…', '...')"
+        y = Q.sub(f"replace({y}, '–', '—')", f"{WS}*—{WS}*", " — ")
+        return Q.collapse(zero(closing(Q.sub(y, f"([.!?])({WORD})", "\\1 \\2"))))
+    if outlet == "American_Conservative":
+        tags = Q.sub(Q.sub(x, K.EDITORIAL_TAGS, ""), r"\[[A-Z0-9_\-]+\]", "")
+        y = f"replace(replace({nbsp(f'nfc_normalize({tags})')}, chr(8233), chr(10) || chr(10)), chr(8232), chr(10))"
+        return Q.strip(Q.sub(blanks(Q.replaced(zero(y), K.CHARS_CONSERVATIVE)), f"\\n{WS}+", "\n"))
+    if outlet == "American_Spectator":
+        return Q.collapse(zero(Q.replaced(nfc, K.CHARS_SPECTATOR)))
+    if outlet == "The_Free_Beacon":
+        y = Q.replaced(zero(nbsp(nfkc(x))), K.MOJIBAKE_BEACON)
+        y = Q.sub(Q.sub(y, r"[\x{0}-\x{1F}\x{7F}]", " "), r"[\x{80}-\x{9F}]", "")
+        return Q.strip(closing(blanks(Q.replaced(y, K.CHARS_BEACON))))
+    return Q.replaced(x, K.CHARS_BROADSHEET)
+
+
+for _outlet in K.OUTLETS:
+    query(f"text_profile_{_outlet.lower()}", _twin(profile_sql(_outlet, "text")))(
+        _over(lambda t, o=_outlet: profiles.clean_for(o, t))
+    )
