@@ -4,7 +4,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from newsloom import constants as K
-from newsloom.features import embeddings, linguistic, nmf, scaling, sentiment, tfidf
+from newsloom.features import embeddings, linguistic, nmf, scaling, sentiment, tagger, tfidf
 from newsloom.features.registry import EXTRA_COLUMNS, FEATURE_SETS, with_extra_columns
 from newsloom.functions import text as X
 from newsloom.operators import splits
@@ -137,6 +137,26 @@ def pos_ratios(spark, sf):
     return out.withColumns({c: F.round(c, 9) for c in linguistic.POS_COLUMNS})
 
 
+@query(
+    "tag_counts",
+    f"""SELECT t AS word, CASE WHEN prev IS NULL OR prev IN ({Q.strings(tagger.SENTENCE_MARKS)}) THEN 'START' ELSE prev_pos END AS before, pos AS tag, count(*) AS n
+ FROM (SELECT t, pos, lag(t) OVER w AS prev, lag(pos) OVER w AS prev_pos
+ FROM (SELECT doc_id, i, t, {_POS_CASE} AS pos FROM (SELECT doc_id, unnest(m) AS t, unnest(range(len(m))) AS i FROM (SELECT doc_id, {_MARKS} AS m FROM documents)))
+ WINDOW w AS (PARTITION BY doc_id ORDER BY i)) GROUP BY ALL""",
+)
+def tag_counts(spark, sf):
+    """What a tagger learns from: words with their tags and the tag ahead."""
+    return tagger.tag_counts(documents(spark, sf), linguistic.tagged_tokens("text"))
+
+
+@query("learned_pos_ratios")
+def learned_pos_ratios(spark, sf):
+    """The six ratios by a tagger learned from all documents, decoded sentence by sentence."""
+    model = tagger.self_trained(documents(spark, sf))
+    out = linguistic.with_pos_ratios(documents(spark, sf), tagger=tagger.tagged_by(model)).drop("text")
+    return out.withColumns({c: F.round(c, 9) for c in linguistic.POS_COLUMNS})
+
+
 _READ_COUNTS = """(SELECT doc_id, len(w) AS words, coalesce(list_sum(sy), 0) AS syl, len(list_filter(sy, lambda x: x >= 3)) AS long_words,
  greatest(len(regexp_extract_all(s, '[.!?]+')), 1) AS sent, len(regexp_extract_all(s, '[\\p{L}\\p{N}]')) AS letters
  FROM (SELECT doc_id, s, w, list_transform(w, lambda x: greatest(len(regexp_extract_all(x, '[aeiouy]+')), 1)) AS sy
