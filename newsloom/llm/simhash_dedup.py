@@ -7,7 +7,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import forest, mapped, saved, slices, tiled
@@ -186,11 +186,22 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` without near-duplicates: of each group the smallest doc_id
-    stays, once. Rows with a null doc_id stay as they are."""
-    verdicts = near_duplicates(docs)
-    gone = verdicts.filter("doc_id <> component_id").select("doc_id").distinct()
-    stays = docs.join(gone, "doc_id", "left_anti")
-    spare = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
-    first = Window.partitionBy("doc_id", "__spare").orderBy(F.xxhash64("text"))
-    ranked = stays.withColumn("__spare", spare).withColumn("__rank", F.row_number().over(first))
-    return ranked.filter("doc_id IS NULL OR __rank = 1").select(*docs.columns)
+    stays, once. Rows with a null doc_id stay as they are. Of several rows with one
+    doc_id the one with the least hash stays; they are reduced in map tasks first, so
+    an id may repeat as often as it likes. An empty table stays empty.
+
+    Texts of ids that are neither gone nor repeated are moved by no aggregation."""
+    verdicts = near_duplicates(docs).filter("doc_id IS NOT NULL")
+    marks = saved(
+        verdicts.groupBy("doc_id").agg(
+            F.max(F.col("doc_id") != F.col("component_id")).alias("gone"), F.count(F.lit(1)).alias("n")
+        ).filter("gone OR n > 1"),
+        "simhash-marks",
+    )
+    clear = docs.join(marks.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    repeated = docs.join(marks.filter("NOT gone").select("doc_id"), "doc_id", "left_semi")
+    plain = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]  # maps have no hash
+    key = F.struct(F.xxhash64("text"), F.xxhash64(*[F.col(f"`{c}`") for c in plain]))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    first = repeated.groupBy("doc_id").agg(F.min_by(row, key).alias("__row")).select("__row.*")
+    return clear.unionByName(first)

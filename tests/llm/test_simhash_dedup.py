@@ -66,6 +66,22 @@ def test_one_of_each_group_stays(spark):
     assert sum(i is None for i in ids) == 2 and 1 in ids and 2 not in ids
 
 
+def test_repeated_ids_and_extra_columns(spark):
+    words = [f"{w} {k}" for k, w in enumerate("north south east west".split())]
+    long = lambda k: " ".join(f"{words[k % 4]}{k}x{j}" for j in range(30))
+    rows = [(k, long(k), k, {"a": k}) for k in range(20)]
+    rows += [(3, long(40 + k % 2), 100 + k, {"a": k}) for k in range(60)]  # one id, three texts
+    rows += [(None, long(7), 500 + k, {}) for k in range(30)] + [(30, long(5), 600, {}), (30, long(5), 601, {})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `gone` int, `n` map<string,int>").repartition(7)
+    kept = S.keep_one_of_each_group(docs)
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r.gone) for r in kept.collect()]
+    assert sorted(i for i, _ in got if i is not None) == list(range(20))  # 30 is a copy of 5
+    assert sorted(g for i, g in got if i is None) == list(range(500, 530))
+    again = [(r.doc_id, r.gone) for r in S.keep_one_of_each_group(docs.repartition(3)).collect()]
+    assert sorted(again, key=str) == sorted(got, key=str)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert S.near_duplicates(docs).collect() == [] and S.keep_one_of_each_group(docs).collect() == []
