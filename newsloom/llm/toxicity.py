@@ -54,6 +54,8 @@ _NUMBER = re.compile(r"[+\-$€£]{0,2}[\d.,:/\-]*\d[\d.,:/\-]*[+$€£%]?")
 _SIGNS = frozenset(ch for ch in LOOK_ALIKE if not ch.isdigit())
 #: Tokens remembered by a task, and the longest of them.
 _CACHE_WORDS, _LONGEST = 200_000, 64
+#: Tokens remembered where other operators' stages follow in the same Python workers.
+_STAGE_WORDS = 50_000
 #: Three characters in a row that stand alone.
 _ALONE = re.compile(r"(?<!\S)\S\s+\S\s+\S(?!\S)")
 
@@ -226,12 +228,12 @@ def viterbi(span: str, costs: list[float], edges: tuple[int, int] = (0, 0), bord
 class _Remembered(dict):
     """Values by token, made when first asked for; dropped together when too many."""
 
-    def __init__(self, make):
-        self.make = make
+    def __init__(self, make, most: int = _CACHE_WORDS):
+        self.make, self.most = make, most
 
     def __missing__(self, token):
         value = self.make(token)
-        if len(self) >= _CACHE_WORDS:
+        if len(self) >= self.most:
             self.clear()
         if len(token) <= _LONGEST:
             self[token] = value
@@ -241,11 +243,13 @@ class _Remembered(dict):
 class Restorer:
     """Restores tokens and texts; remembers what it has decoded."""
 
-    def __init__(self, costs: np.ndarray, seen: dict[str, int] | None = None, often: int = 1):
+    def __init__(
+        self, costs: np.ndarray, seen: dict[str, int] | None = None, often: int = 1, most: int = _CACHE_WORDS
+    ):
         self.costs = costs.ravel().tolist()
         self.seen = seen or {}
         self.plain = {w for w, n in self.seen.items() if n >= often}
-        self.known = _Remembered(self._token)
+        self.known = _Remembered(self._token, most)
 
     def token(self, token: str) -> str:
         return self.known[token]
@@ -424,10 +428,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, la
 class Scorer:
     """Scores texts; remembers decoded tokens and the weights of words."""
 
-    def __init__(self, model: Model):
+    def __init__(self, model: Model, most: int = _CACHE_WORDS):
         self.model = model
-        self.restorer = Restorer(model.costs, model.seen, model.often)
-        self.weights = _Remembered(self._weight)
+        self.restorer = Restorer(model.costs, model.seen, model.often, most)
+        self.weights = _Remembered(self._weight, most)
 
     def _weight(self, word: str) -> float:
         return max([0.0, *[self.model.terms.get(t, 0.0) for t in _terms(word)]])
@@ -478,7 +482,7 @@ def score(
 
 def _clean(model: Model, columns: int):
     def run(batches):
-        scorer = Scorer(model)
+        scorer = Scorer(model, _STAGE_WORDS)
         for part in slices(batches):
             got = scorer.scores(part.column(columns).to_pylist())
             yield part.filter(pa.array(got < THRESHOLD)).select(range(columns))
