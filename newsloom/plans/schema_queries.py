@@ -57,7 +57,7 @@ def ensure_source(spark, sf):
 
 
 def _outlet_documents(spark, sf):
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf, "doc_id", "source", "text").select(
         "doc_id", F.concat(F.lit(" "), outlet_of(SOURCE_NUMBER), F.lit("\t")).alias("outlet_name"), "text"
     )
 

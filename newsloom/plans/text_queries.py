@@ -8,7 +8,7 @@ from newsloom.functions.text import CLOSING, WORD, WS
 from newsloom.operators import schema as S
 from newsloom.plans import sql as Q
 from newsloom.plans.registry import query
-from newsloom.plans.tables import messy, table
+from newsloom.plans.tables import documents, messy, table
 
 _M = f"(SELECT doc_id, coalesce(text, '') AS text FROM {Q.MESSY})"
 
@@ -100,7 +100,7 @@ _SPLIT_ACCENTS = "replace(replace(replace(replace(text, 'é', 'é'), 'ü', 'ü
 
 @query("nfc_normalize", f"SELECT doc_id, nfc_normalize({_SPLIT_ACCENTS}) AS text FROM documents")
 def nfc_normalize(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.expr(_SPLIT_ACCENTS).alias("t"))
+    docs = documents(spark, sf).select("doc_id", F.expr(_SPLIT_ACCENTS).alias("t"))
     return docs.select("doc_id", X.unicode_form("t", "NFC").alias("text"))
 
 
@@ -110,7 +110,7 @@ _WIDE = "replace(replace(replace(text, 'fi', 'ﬁ'), 'A', 'Ａ'), ', ', ', ')"
 @query("nfkc_normalize", "SELECT doc_id, text FROM documents")
 def nfkc_normalize(spark, sf):
     """Compatibility forms written over the plain text fold back to it."""
-    docs = table(spark, sf, "documents").select("doc_id", F.expr(_WIDE).alias("t"))
+    docs = documents(spark, sf).select("doc_id", F.expr(_WIDE).alias("t"))
     return docs.select("doc_id", X.unicode_form("t", "NFKC").alias("text"))
 
 
