@@ -1,14 +1,18 @@
 import hashlib
 import re
 
+from collections import Counter
 from math import log, sqrt
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.ml.linalg import SparseVector
 from pyspark.sql import functions as F
 
 from newsloom.features import embeddings, linguistic, nmf, scaling, sentiment, tfidf
 from newsloom.features.registry import FEATURE_SETS
+from newsloom.operators import linear
 
 
 @pytest.fixture(scope="module")
@@ -151,3 +155,56 @@ def test_feature_sets(corpus, name):
     rows = features.prepare(corpus, "doc_id").persist()
     out = features.fit(rows.where("doc_id >= 10"), "doc_id", 50)(rows.where("doc_id < 10")).collect()
     assert len(out) == 10 and len({r["features"].size for r in out}) == 1
+
+
+def batches_of(rows, folds, size):
+    for start in range(0, len(rows), size):
+        part = slice(start, start + size)
+        yield pa.RecordBatch.from_pydict({"folds": pa.array(folds[part], pa.int64()), "terms": pa.array(rows[part], pa.list_(pa.string()))})
+
+
+def test_a_task_adds_terms_up_before_they_move(monkeypatch):
+    rows = [["a", "b", "a"], [], ["b", "a b"], ["a"], None, ["ß", "a"]] * 20
+    folds = [1, 3, 3, 2, 1, 3] * 20
+    want = Counter()
+    for terms, fold in zip(rows, folds):
+        for term, n in Counter(terms or []).items():
+            want[fold, term, "tf"] += n
+            want[fold, term, "df"] += 1
+    for limit, size in ((1 << 19, 7), (6, 7), (1, 1)):
+        monkeypatch.setattr(tfidf, "COUNTED_ROWS", limit)
+        out = [r for b in tfidf._counts(batches_of(rows, folds, size)) for r in b.to_pylist()]
+        got = Counter()
+        for r in out:
+            got[r["folds"], r["term"], "tf"] += r["tf"]
+            got[r["folds"], r["term"], "df"] += r["df"]
+        assert got == want
+        if limit > 100:
+            assert len(out) == len({(r["folds"], r["term"]) for r in out})
+    assert list(tfidf._counts(batches_of([[], None], [0, 0], 1))) == []
+
+
+def test_vectors_are_made_a_batch_at_a_time(spark):
+    model = tfidf.TfidfModel(("a", "a b", "ß"), (1.0, 2.0, 3.0), 5)
+    column = pa.array([["a", "x", "a", "ß"], [], None, ["x"], ["a b"]], pa.list_(pa.string()))
+    got = tfidf._vectors(model.terms, model.weights)(column).to_pylist()
+    assert got[2] is None and [len(r["indices"]) for r in got if r] == [2, 0, 0, 1]
+    assert got[0]["indices"] == [0, 2] and got[0]["values"] == pytest.approx([2 / 13**0.5, 3 / 13**0.5]) and got[4]["values"] == [1.0]
+    df = spark.createDataFrame([(1, ["ß", "x"]), (2, [])], "doc_id int, terms array<string>")
+    assert {r.doc_id: r.tfidf for r in model.transform(df).collect()} == {1: SparseVector(3, {2: 1.0}), 2: SparseVector(3, {})}
+
+
+def test_topic_pass_reads_blocks():
+    rng = np.random.default_rng(2)
+    dense = rng.random((30, 12)) * (rng.random((30, 12)) < 0.4)
+    dense[[0, 7, 29]] = 0.0
+    h = rng.random((3, 12))
+    lists = [(np.flatnonzero(r).tolist(), r[r != 0].tolist()) for r in dense]
+    rows = pa.RecordBatch.from_pydict({
+        "task": pa.array([0] * 30, pa.int32()), "label": pa.array([0.0] * 30),
+        "indices": pa.array([i for i, _ in lists], pa.list_(pa.int32())), "values": pa.array([v for _, v in lists], pa.list_(pa.float64())),
+    })
+    (sums,) = [r for b in nmf._pass(h)(linear.packed(iter([rows]))) for r in b.to_pylist()]
+    w = nmf._solve_weights(dense @ h.T, h @ h.T)
+    assert np.allclose(np.frombuffer(sums["a"]).reshape(3, 12), w.T @ dense) and np.allclose(np.frombuffer(sums["b"]).reshape(3, 3), w.T @ w)
+    assert sums["cross"] == pytest.approx((w * (dense @ h.T)).sum()) and sums["sq"] == pytest.approx((dense**2).sum())
