@@ -115,3 +115,18 @@ def test_links_with_dots(spark):
     }
     df = spark.createDataFrame([(h,) for h in want], "h string").select("h", U.resolve("h", F.lit(base)).alias("u"))
     assert {r.h: r.u for r in df.collect()} == want
+
+
+def test_a_step_reads_only_blocks_that_are_asked_for(rows, monkeypatch):
+    """Fits that have ended cost no more reading; rows without entries count with the constant alone."""
+    _, _, df = rows
+    blocks = linear.blocks(df.withColumn("task", F.col("doc_id") % 2))
+    seen, plain = [], type(blocks).mapInArrow
+    monkeypatch.setattr(type(blocks), "mapInArrow", lambda d, *a, **k: seen.append({r.task for r in d.select("task").collect()}) or plain(d, *a, **k))
+    w = np.arange(7.0)
+    (value, sums), = linear._answers(blocks, 1, {1: [(0, LOGISTIC, w, None)]}, {0: 7}).values()
+    assert seen == [{1}]
+    x, y, _ = rows
+    f, sign = x[1::2] @ w[:-1] + w[-1], 2.0 * y[1::2] - 1
+    pull = -sign / (1 + np.exp(sign * f))
+    assert value == pytest.approx(np.log1p(np.exp(-sign * f)).sum()) and np.allclose(sums, np.append(x[1::2].T @ pull, pull.sum()))
