@@ -26,7 +26,9 @@ SEED = 5
 UNIT = 1 << 15
 #: Vectors of one strip compared in one task, at most about twice that many.
 STRIP_ROWS = 16_384
-_STRIPE, _GATHERED, _DENSE = 512, 50_000, 0.02
+_GATHERED, _DENSE = 50_000, 0.02
+#: Rows of a leaf in a task, and by how many coordinates leaves are cut.
+LEAF_ROWS, LEAF_CUTS = 64, 2
 
 
 class Space:
@@ -107,43 +109,93 @@ def _strips(dtype: str, whole: bool):
     return run
 
 
+class Leaves:
+    """Rows of a group ordered into leaves of about LEAF_ROWS: cut evenly by one
+    coordinate of the block after another, with the bounds of each leaf."""
+
+    def __init__(self, block: np.ndarray, rows: np.ndarray):
+        cuts = min(LEAF_CUTS, block.shape[1])
+        parts = max(1, round((len(rows) / LEAF_ROWS) ** (1 / cuts)))
+        leaves = [rows]
+        for k in range(cuts):
+            # the leading coordinate comes last: a strip is narrow in it already
+            by = block[:, (k + 1) % block.shape[1]]
+            leaves = [x for leaf in leaves for x in np.array_split(leaf[np.argsort(by[leaf], kind="stable")], parts) if len(x)]
+        self.rows = np.concatenate(leaves) if leaves else rows
+        self.sizes = np.array([len(x) for x in leaves], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.low = np.minimum.reduceat(block[self.rows], self.starts) if leaves else block[:0]
+        self.high = np.maximum.reduceat(block[self.rows], self.starts) if leaves else block[:0]
+
+    def near(self, low: np.ndarray, high: np.ndarray, budget: int) -> np.ndarray:
+        """Which leaves may hold a row within the budget of a row within the bounds."""
+        gap = np.maximum(np.maximum(low - self.high, self.low - high), 0)
+        return (gap * gap).sum(1) <= budget
+
+
+def _sides(guest, chunk, split):
+    """What of a group is compared: (left rows, right rows, whether they are the same).
+    Two guests meet in their own strip, two rows of a chunk in the chunk's own tile."""
+    if split:
+        low = chunk == chunk.min()
+        sides = [(low & ~guest, ~low), (low & guest, ~low & ~guest)]
+    else:
+        sides = [(~guest, ~guest), (~guest, guest)]
+    for number, (a, b) in enumerate(sides):
+        a, b = np.flatnonzero(a), np.flatnonzero(b)
+        if a.size and b.size:
+            yield a, b, not split and number == 0
+
+
 def _group_links(here: Space, number: int, unit, guest, chunk, split):
     """Index pairs of one group with a cosine of at least MIN_COSINE that no earlier
-    block finds, in stripes of bounded size."""
+    block finds. A leaf is compared at once with all leaves whose bounds, over all
+    coordinates of the block together, are within the block's budget."""
     block, budget = here.blocks[number], here.budgets[number]
     turned = here.rotated(unit)
-    part = (turned[:, block] / UNIT).astype(np.float32)
+    whole = turned[:, block]
+    part = (whole / UNIT).astype(np.float32)
     square = (part * part).sum(1, dtype=np.float32)[:, None]
     one = np.ones_like(square)
     # left . right = minus the squared distance
-    left, right = np.hstack([2 * part, -square, -one]), np.hstack([part, one, square]).T.copy()
+    left, right = np.hstack([2 * part, -square, -one]), np.hstack([part, one, square])
     near = np.float32(-(budget / UNIT**2 + 1e-5 * (1 + 4 * float(square.max()))))
 
     def close(i, j, k):
         gap = turned[i, here.blocks[k]] - turned[j, here.blocks[k]]
         return (gap * gap).sum(1) <= here.budgets[k]
 
-    for start in range(0, len(unit), _STRIPE):
-        stop = min(start + _STRIPE, len(unit))
-        found = left[start:stop] @ right[:, start:] >= near
-        if np.count_nonzero(found) > _DENSE * found.size:
-            # many candidates: the exact cosine of the whole stripe at once
-            found &= unit[start:stop] @ unit[start:].T >= MIN_COSINE
-        i, j = np.nonzero(found)
-        i, j = i + start, j + start
-        keep = (i < j) & ~(guest[i] & guest[j])
-        if split:
-            keep &= chunk[i] != chunk[j]
-        i, j = i[keep], j[keep]
-        for k in range(0, len(i), _GATHERED):
-            a, b = i[k:k + _GATHERED], j[k:k + _GATHERED]
-            keep = close(a, b, number)
-            for earlier in range(number):
+    for some, others, same in _sides(guest, chunk, split):
+        these = Leaves(whole, some)
+        those = these if same else Leaves(whole, others)
+        across = right[those.rows]
+        for leaf, (start, size) in enumerate(zip(these.starts.tolist(), these.sizes.tolist())):
+            meets = those.near(these.low[leaf], these.high[leaf], budget)
+            if same:
+                meets[:leaf] = False
+            at = np.flatnonzero(np.repeat(meets, those.sizes))
+            if not at.size:
+                continue
+            rows, columns = these.rows[start:start + size], those.rows[at]
+            found = left[rows] @ across[at].T >= near
+            if np.count_nonzero(found) > _DENSE * found.size:
+                # many candidates: the cosine of all of them at once, up to its rounding
+                found &= unit[rows] @ unit[columns].T >= MIN_COSINE - 1e-9
+            hits = np.flatnonzero(found)
+            i, j = hits // len(at), hits % len(at)
+            if same:
+                later = start + i < at[j]
+                i, j = i[later], j[later]
+            i, j = rows[i], columns[j]
+            for k in range(0, len(i), _GATHERED):
+                a, b = i[k:k + _GATHERED], j[k:k + _GATHERED]
+                keep = close(a, b, number)
+                for earlier in range(number):
+                    a, b = a[keep], b[keep]
+                    keep = ~close(a, b, earlier)
                 a, b = a[keep], b[keep]
-                keep = ~close(a, b, earlier)
-            a, b = a[keep], b[keep]
-            linked = np.einsum("ij,ij->i", unit[a], unit[b]) >= MIN_COSINE
-            yield a[linked], b[linked]
+                linked = np.einsum("ij,ij->i", unit[a], unit[b]) >= MIN_COSINE
+                yield a[linked], b[linked]
 
 
 def _verified(dtype: str):

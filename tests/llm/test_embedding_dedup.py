@@ -66,3 +66,36 @@ def test_sql_twin_on_linked_vectors(spark):
     want = sorted(con.execute(ORACLES["op3_subspace_pigeonhole"]).fetchall())
     got = E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
     assert sorted(map(tuple, got.collect())) == want and sum(r[1] for r in want) > 100
+
+
+@pytest.mark.parametrize("split", [False, True])
+def test_a_group_compares_fewer_than_all_its_pairs(monkeypatch, split):
+    """Vectors without structure, some with a near one: all links of the group are
+    found, though many pairs are never compared."""
+    r = np.random.RandomState(2)
+    x = r.normal(size=(12_000, 64))
+    x[:300] = x[300:600] + 0.1 * r.normal(size=(300, 64))
+    unit = x / np.sqrt((x * x).sum(1, keepdims=True))
+    here, number = E.space(64), 0
+    turned = here.rotated(unit)
+    strip = np.floor(turned[:, here.blocks[number].start] / here.widths[number])
+    unit, turned, guest = unit[(strip == 0) | (strip == 1)], turned[(strip == 0) | (strip == 1)], strip[(strip == 0) | (strip == 1)] == 1
+    chunk, count = np.arange(len(unit)) % 2 * split, []
+    plain = np.count_nonzero
+
+    def counted(found):
+        count.append(found.size)
+        return plain(found)
+
+    with monkeypatch.context() as m:
+        m.setattr(np, "count_nonzero", counted)
+        found = list(E._group_links(here, number, unit, guest, chunk, split))
+    got = [tuple(sorted(p)) for a, b in found for p in zip(a.tolist(), b.tolist())]
+    cosines = unit @ unit.T
+    part = turned[:, here.blocks[number]]
+    want = {
+        (i, j) for i, j in np.argwhere(np.triu(cosines >= 0.95, 1)).tolist()
+        if ((part[i] - part[j]) ** 2).sum() <= here.budgets[number] and not (guest[i] and guest[j]) and (not split or chunk[i] != chunk[j])
+    }
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+    assert sum(count) < (0.4 if split else 0.7) * len(unit) ** 2 / 2
