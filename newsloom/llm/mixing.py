@@ -14,10 +14,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import saved
+from newsloom.llm.common import few_rows, saved
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
@@ -31,6 +32,13 @@ BUCKET_ROWS = 2000
 #: The sources are the mix's recipe: one row each, kept on the driver up to this many.
 MAX_SOURCES = 200_000
 WORD = r"[^\x20\x09-\x0D]+"
+_RECIPE = pa.schema({
+    "none": pa.bool_(), "source": pa.string(), "source_size": pa.int64(), "target": pa.float64(), "full": pa.int32(), "over": pa.int64(),
+})
+_PLAN = pa.schema({
+    "__none": pa.bool_(), "__source": pa.string(), "__blocks": pa.int64(), "__quota": pa.int64(), "__step": pa.int64(),
+    "__shift": pa.int64(), "__bounds": pa.list_(pa.int64()),
+})
 
 
 def capped_shares(weights: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -131,9 +139,7 @@ def placed(
     for (none, source, words, _), goal in zip(found, targets.tolist()):
         full = int(goal // words) if words else 0
         recipe.append((none, source or "", int(words), goal, full, int(round(goal - full * words))))
-    recipe_rows = docs.sparkSession.createDataFrame(
-        recipe, "none boolean, source string, source_size long, target double, full int, over long"
-    )
+    recipe_rows = few_rows(docs.sparkSession, recipe, _RECIPE)
     keys = ["none", "source"]
     buckets = (
         fine.withColumn("source", F.coalesce("source", F.lit("")))
@@ -238,9 +244,7 @@ def dealt(rows: DataFrame, recipe: list, seed: int = SEED, least_shards: int = M
     for k, (r, q) in enumerate(zip(recipe, quotas.tolist())):
         step = next(int(s) for s in random.integers(1, 1 << 31, 64) if math.gcd(int(s), max(1, q)) == 1) if q > 1 else 1
         plan.append((r[0], r[1], int(per_pass[k]), max(1, q), step, int(random.integers(0, max(1, q))), bounds[k].tolist()))
-    table = spark.createDataFrame(
-        plan, "__none boolean, __source string, __blocks long, __quota long, __step long, __shift long, __bounds array<long>"
-    )
+    table = few_rows(spark, plan, _PLAN)
     copies = rows.withColumn("__pass", F.explode(F.sequence(F.lit(0), mix["full"]))).withColumn(
         "__words", F.when(F.col("__pass") < mix["full"], mix["size"]).otherwise(mix["left"])
     ).filter((F.col("__words") > 0) | ((mix["size"] == 0) & (F.col("__pass") == 0)))
