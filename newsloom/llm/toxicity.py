@@ -15,9 +15,12 @@ import unicodedata
 import zlib
 from collections import Counter
 from functools import lru_cache
+from itertools import chain
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,7 +60,7 @@ _CACHE_WORDS, _LONGEST = 200_000, 64
 #: Tokens remembered where other operators' stages follow in the same Python workers.
 _STAGE_WORDS = 50_000
 #: Three characters in a row that stand alone.
-_ALONE = re.compile(r"(?<!\S)\S\s+\S\s+\S(?!\S)")
+_ALONE = re.compile(r"\s\S\s+\S\s+\S(?!\S)")
 
 
 def _fold(code: int) -> int:
@@ -69,6 +72,10 @@ def _fold(code: int) -> int:
 _SYMBOL = np.array([_fold(code) for code in range(592)], np.int64)
 
 
+#: Letters that stand for nothing but themselves.
+_OWN = {chr(code): int(symbol) for code, symbol in enumerate(_SYMBOL) if symbol and chr(code).isalpha() and chr(code) not in LOOK_ALIKE}
+
+
 def _symbol(ch: str) -> int:
     return int(_SYMBOL[ord(ch)]) if ord(ch) < 592 else 0
 
@@ -105,11 +112,11 @@ def _word_counts(batches):
     counts: Counter = Counter()
 
     def told():
-        words: Counter = Counter()
+        words: dict[str, int] = {}
         for token, n in counts.items():
-            word = token.strip(_WORD_MARKS)
+            word = token if token.isalpha() else token.strip(_WORD_MARKS)
             if len(word) > 2 and word.isalpha():
-                words[word] += n
+                words[word] = words.get(word, 0) + n
         counts.clear()
         return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
 
@@ -174,16 +181,29 @@ def lattice(span: str, edges: tuple[int, int] = (0, 0)) -> list[list[Way]]:
 def _path_by_path(places: list[list[Way]], costs: list[float]) -> str:
     """The likeliest letters of a lattice of few paths."""
     paths = [(0.0, 0, "")]  # cost, last two symbols, letters
+    single: list[Way] = []  # places of one way, gone through together
+
+    def along():
+        letters = "".join([way[1] for way in single])
+        for k, (cost, at, text) in enumerate(paths):
+            for symbol, _, more in single:
+                cost += more
+                cost += costs[at * 27 + symbol]
+                at = at % 27 * 27 + symbol
+            paths[k] = cost, at, text + letters
+        single.clear()
+
     for ways in places:
         if len(ways) == 1 and ways[0][0] >= 0:
-            symbol, out, more = ways[0]
-            paths = [(cost + more + costs[at * 27 + symbol], at % 27 * 27 + symbol, text + out) for cost, at, text in paths]
+            single.append(ways[0])
         else:
+            along()
             paths = [
                 (cost + more, at, text) if symbol < 0
                 else (cost + more + costs[at * 27 + symbol], at % 27 * 27 + symbol, text + out)
                 for symbol, out, more in ways for cost, at, text in paths
             ]
+    along()
     return min((cost + costs[at * 27], k, text) for k, (cost, at, text) in enumerate(paths))[2]
 
 
@@ -240,6 +260,16 @@ class _Remembered(dict):
         return value
 
 
+def _alone(text: str) -> bool:
+    """Whether three characters in a row stand alone."""
+    return _ALONE.search(" " + text) is not None
+
+
+def _doubled(word: str) -> bool:
+    """Whether a word of letters alone has a letter twice in a row."""
+    return True in map(eq, word, word[1:])
+
+
 class Restorer:
     """Restores tokens and texts; remembers what it has decoded."""
 
@@ -247,32 +277,53 @@ class Restorer:
         self, costs: np.ndarray, seen: dict[str, int] | None = None, often: int = 1, most: int = _CACHE_WORDS
     ):
         self.costs = costs.ravel().tolist()
+        letter, costs = np.arange(_SIZE), costs.reshape(_SIZE, _SIZE, _SIZE)
+        # by the letter before a double one, the double one and the letter behind it
+        kept = costs[:, letter, letter][:, :, None] + costs[letter, letter][None]
+        self.drops = (TWICE + costs <= kept).tobytes()
         self.seen = seen or {}
         self.plain = {w for w, n in self.seen.items() if n >= often}
-        self.known = _Remembered(self._token, most)
+        self.known = _Remembered(self.decoded, most)
 
     def token(self, token: str) -> str:
         return self.known[token]
 
-    def _token(self, token: str) -> str:
+    def decoded(self, token: str) -> str:
         """Restored word of one lower-case token."""
-        if token.isalpha() and not _TWICE.search(token):
+        if token.isalpha() and not _doubled(token):
             return token
         core = token.strip(_WORD_MARKS)
         if not core:
             return core
-        at = token.index(core)
-        front = "".join([ch for ch in token[:at] if ch in LOOK_ALIKE])
-        back = "".join([ch for ch in token[at + len(core):] if ch in LOOK_ALIKE])
+        front = back = ""
+        if not _SIGNS.isdisjoint(token):
+            at = token.index(core)
+            front = "".join([ch for ch in token[:at] if ch in LOOK_ALIKE])
+            back = "".join([ch for ch in token[at + len(core):] if ch in LOOK_ALIKE])
         if core.isalpha():
-            if not (front or back) and not _TWICE.search(core):
-                return core
-            if core in self.plain and not _THRICE.search(core):
+            marked = front or back
+            if not marked and not _doubled(core):
                 return core
+            if not _THRICE.search(core):
+                if core in self.plain:
+                    return core
+                symbols = list(map(_OWN.get, core))
+                if not marked and None not in symbols:
+                    return self._undoubled(core, symbols)
         elif not any(ch.isalpha() for ch in core) and (_SIGNS.isdisjoint(core) or _NUMBER.fullmatch(core)):
             return core
         return viterbi(front + core + back, self.costs, (len(front), len(back)))
 
+    def _undoubled(self, word: str, symbols: list[int]) -> str:
+        """The likeliest path of a word of letters, none thrice in a row. Whether a double
+        letter is kept or not, the next letter leads to the same state, so each is
+        decided by itself."""
+        before, symbols = [0, 0, *symbols], [*symbols, 0]
+        return word[0] + "".join([
+            ch for k, ch in enumerate(word[1:], 1)
+            if ch != word[k - 1] or not self.drops[(before[k] * _SIZE + symbols[k]) * _SIZE + symbols[k + 1]]
+        ])
+
     def _run(self, tokens: list[str]) -> list[list[str]]:
         """Readings of characters that stand alone, the best one first: as one word,
         with word borders, and with a leading "a" or "i" as a word."""
@@ -291,7 +342,7 @@ class Restorer:
         words of the other readings of such letters."""
         text = text.lower()
         tokens = text.split()
-        if not _ALONE.search(text):
+        if not _alone(text):
             return list(map(self.known.__getitem__, tokens)), []
         spans = "".join(["1" if len(t) == 1 else "0" for t in tokens])
         out, others, at = [], [], 0
@@ -310,7 +361,7 @@ class Restorer:
     def distinct(self, text: str) -> set[str]:
         """The different words of all readings."""
         text = text.lower()
-        if _ALONE.search(text):
+        if _alone(text):
             return set().union(*self.readings(text))
         return set(map(self.known.__getitem__, set(text.split())))
 
@@ -321,24 +372,27 @@ class Restorer:
         return " ".join(self.words(text))
 
 
-def _terms(word: str) -> tuple[int, ...]:
-    """Hashes of a word and of its beginnings of four to six letters."""
-    if len(word) < 3:
-        return ()
-    return tuple(zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in {word, word[:4] + "*", word[:5] + "*", word[:6] + "*"})
+def _term(text: str) -> int:
+    return zlib.crc32(text.encode("utf-8", "surrogatepass"))
+
+
+def _beginnings(word: str) -> tuple[int, ...]:
+    """Hashes of the beginnings of four to six letters; the first six letters tell them."""
+    return tuple([_term(x) for x in {word[:4] + "*", word[:5] + "*", word[:6] + "*"}])
 
 
 def _term_rows(costs, seen, often):
     def run(batches):
-        restorer = Restorer(costs, seen, often)
+        restorer, beginnings = Restorer(costs, seen, often), _Remembered(_beginnings)
         for part in slices(batches):
-            terms = []
+            words, terms = [0], []
             for text in part.column(2).to_pylist():
-                words = restorer.distinct(text or "")
-                terms.append([list(_terms(w)) for w in words if len(w) > 2])
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(terms, pa.list_(pa.list_(pa.int64())))], ["row", "label", "words"]
-            )
+                terms += [(_term(w), *beginnings[w[:6]]) for w in restorer.distinct(text or "") if len(w) > 2]
+                words.append(len(terms))
+            sizes = np.cumsum([0, *map(len, terms)])
+            by_word = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(chain.from_iterable(terms), pa.int64()))
+            lists = pa.ListArray.from_arrays(pa.array(words, pa.int32()), by_word)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], ["row", "label", "words"])
     return run
 
 
@@ -353,6 +407,33 @@ def _weight(good, bad, odds, strength=3.0):
     return np.log((bad + strength * share) / (good + strength * (1 - share)) / odds)
 
 
+def _own_evidence(table: dict[int, tuple[int, int]], odds: float):
+    """Evidence of labelled rows, without a row's own share in the counts."""
+    known = np.array(sorted(table), np.int64)
+    good, bad = np.array([table[t] for t in known.tolist()], np.int64).reshape(-1, 2).T
+    weights = np.stack([
+        _weight(np.maximum(good - (1 - label), 0), np.maximum(bad - label, 0), odds) for label in (0, 1)
+    ])
+
+    def run(batches):
+        for part in slices(batches):
+            labels, by_word = part.column(0).to_numpy(zero_copy_only=False), part.column(1).flatten()
+            row = np.repeat(np.arange(part.num_rows), pc.list_value_length(part.column(1)).to_numpy(zero_copy_only=False))
+            word = np.repeat(np.arange(len(by_word)), pc.list_value_length(by_word).to_numpy(zero_copy_only=False))
+            terms = by_word.flatten().to_numpy(zero_copy_only=False)
+            at = np.searchsorted(known, terms)
+            hit = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == terms) if len(known) else at[:0]
+            best = np.zeros(len(by_word))
+            np.maximum.at(best, word[hit], weights[labels[row[word[hit]]], at[hit]])
+            strong = np.flatnonzero(best)
+            cuts = np.searchsorted(row[strong], np.arange(1, part.num_rows))
+            columns = np.array([_evidence(own.tolist()) for own in np.split(best[strong], cuts)]).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), *[pa.array(columns[:, k]) for k in range(4)]], ["label", "a", "b", "c", "d"]
+            )
+    return run
+
+
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
     """Newton steps of a penalised logistic regression; the last weight is the offset."""
     z = np.column_stack([x, np.ones(len(x))])
@@ -401,51 +482,56 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, la
     kept = strong.orderBy(F.desc(F.col("bad") / (F.col("n") - F.col("bad") + 3)), F.desc("n"), "term").limit(MAX_TERMS)
     table = {r["term"]: (r["n"] - r["bad"], r["bad"]) for r in kept.collect()}
     weights = {t: float(_weight(g, b, odds)) for t, (g, b) in table.items()}
-
-    def own_evidence(batches):
-        for part in slices(batches):
-            out = []
-            for label, words in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                found = []
-                for terms in words:
-                    # without this row's own share in the counts
-                    own = [
-                        float(_weight(g - (1 - label), b - label, odds)) for g, b in (table[t] for t in terms if t in table)
-                    ]
-                    found.append(max([0.0, *own]))
-                out.append(_evidence(found))
-            columns = np.array(out).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), *[pa.array(columns[:, k]) for k in range(4)]], ["label", "a", "b", "c", "d"]
-            )
-
     # bounded by MAX_LABELLED rows of five numbers
-    found = mapped(rows.select("label", "words"), own_evidence, "label int, a double, b double, c double, d double").toPandas()
+    found = mapped(rows.select("label", "words"), _own_evidence(table, odds), "label int, a double, b double, c double, d double").toPandas()
     x = found[["a", "b", "c", "d"]].to_numpy()
     return Model(costs, weights, logistic(x, found["label"].to_numpy(float)), frequent, often)
 
 
 class Scorer:
-    """Scores texts; remembers decoded tokens and the weights of words."""
+    """Scores texts; remembers which tokens stand for words that weigh something, and
+    with ``keep_words`` all restored words."""
 
-    def __init__(self, model: Model, most: int = _CACHE_WORDS):
+    def __init__(self, model: Model, most: int = _CACHE_WORDS, keep_words: bool = False):
         self.model = model
         self.restorer = Restorer(model.costs, model.seen, model.often, most)
-        self.weights = _Remembered(self._weight, most)
-
-    def _weight(self, word: str) -> float:
-        return max([0.0, *[self.model.terms.get(t, 0.0) for t in _terms(word)]])
+        self.decode = self.restorer.token if keep_words else self.restorer.decoded
+        # most tokens stand for a word of no weight, and their words are not held
+        self.found = _Remembered(self._found, 2 * most)
+        self.beginnings = _Remembered(self._beginnings, most // 2)
+
+    def _beginnings(self, word: str) -> float:
+        return max([0.0, *[self.model.terms.get(t, 0.0) for t in _beginnings(word)]])
+
+    def _weighed(self, word: str) -> tuple[str, float] | None:
+        """A word and its weight, if it has any."""
+        if len(word) < 3:
+            return None
+        weight = max(self.beginnings[word[:6]], self.model.terms.get(_term(word), 0.0))
+        return (word, weight) if weight else None
+
+    def _found(self, token: str) -> tuple[str, float] | None:
+        return self._weighed(self.decode(token))
+
+    def _weights(self, text: str) -> list[float]:
+        """Weights of the different words of all readings that have any."""
+        text = text.lower()
+        if _alone(text):
+            found = set(map(self._weighed, self.restorer.distinct(text)))
+        else:
+            found = set(map(self.found.__getitem__, set(text.split())))
+        found.discard(None)
+        return [weight for _, weight in found]
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        weights = self.weights.__getitem__
-        evidence = [_evidence(list(filter(None, map(weights, self.restorer.distinct(t or ""))))) for t in texts]
+        evidence = [_evidence(self._weights(t or "")) for t in texts]
         z = np.array(evidence).reshape(-1, 4) @ self.model.final[:4] + self.model.final[4]
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
 def _scores(model: Model, keep_text: bool):
     def run(batches):
-        scorer = Scorer(model)
+        scorer = Scorer(model, keep_words=keep_text)
         names = ["row", "score"] + ["restored"] * keep_text
         for part in slices(batches):
             texts = part.column(1).to_pylist()

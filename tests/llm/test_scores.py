@@ -1,7 +1,9 @@
 """Held-out accuracy of the two learned scores, restoration, and awkward rows."""
 import os
+import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,3 +116,49 @@ def test_few_paths_are_decoded_as_by_states(monkeypatch):
     fast = [X.viterbi(s, table, e) for s, e in zip(spans, edges)]
     monkeypatch.setattr(X, "FEW_PATHS", 0)
     assert fast == [X.viterbi(s, table, e) for s, e in zip(spans, edges)]
+
+
+def test_double_letters_need_no_lattice(monkeypatch):
+    rng = random.Random(5)
+    costs = np.random.default_rng(5).uniform(0, 8, (27, 27, 27))
+    restorer = toxicity.Restorer(costs)
+    words = {"".join(rng.choice("aabbcdé") for _ in range(rng.randint(2, 9))) for _ in range(400)}
+    words = sorted(w for w in words if not toxicity._THRICE.search(w))
+    slow = [toxicity.viterbi(w, restorer.costs) for w in words]
+    assert any(len(a) < len(w) for a, w in zip(slow, words)) and any(toxicity._doubled(a) for a in slow)
+    odd = ["aaab", "ßaa", "ааb", "baa!", "b4aa"]  # thrice, no plain letters, marks that may be letters
+    known = [toxicity.viterbi(w, restorer.costs) for w in odd[:3]]
+    calls = []
+    viterbi = toxicity.viterbi
+    monkeypatch.setattr(toxicity, "viterbi", lambda *a, **k: calls.append(a[0]) or viterbi(*a, **k))
+    assert [restorer.decoded(w) for w in words] == slow and [restorer.decoded(w + ",") for w in words] == slow
+    assert not calls
+    assert [restorer.decoded(w) for w in odd][:3] == known and calls == odd
+
+
+def test_evidence_without_a_rows_own_share():
+    table, odds = {5: (1, 4), 9: (2, 6), 11: (3, 7)}, 0.25
+    words = [[[5, 8], [9], [7]], [], [[11, 9, 5], [8], [5], [11], [9]], [[1]]]
+    labels = [0, 1, 1, 0]
+    want = []
+    for label, own in zip(labels, words):
+        found = [
+            max([0.0, *[float(toxicity._weight(table[t][0] - (1 - label), table[t][1] - label, odds)) for t in terms if t in table]])
+            for terms in own
+        ]
+        want.append(toxicity._evidence(found))
+    batch = pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(words, pa.list_(pa.list_(pa.int64())))], ["label", "words"])
+    for rows in ([batch], [batch.slice(0, 1), batch.slice(1)]):
+        got = pa.Table.from_batches(list(toxicity._own_evidence(table, odds)(iter(rows))))
+        assert got.column("label").to_pylist() == labels
+        assert np.allclose(np.column_stack([got.column(c).to_numpy() for c in "abcd"]), want, rtol=1e-12, atol=0)
+    none = pa.Table.from_batches(list(toxicity._own_evidence({}, odds)(iter([batch]))))
+    assert not any(any(none.column(c).to_pylist()) for c in "abcd")
+
+
+def test_words_are_weighed_once_and_by_their_beginnings():
+    terms = {toxicity._term("awful"): 2.5, toxicity._term("nast*"): 1.5, toxicity._term("so*"): 9.0}
+    model = toxicity.Model(np.ones((27, 27, 27)), terms, np.array([1.0, 1, 1, 1, 0]), {}, 1)
+    scorer = toxicity.Scorer(model, 2)
+    assert sorted(scorer._weights("Awful awful, nastily nasty so nice (awful) nastily")) == [1.5, 1.5, 2.5]
+    assert scorer._weights("") == [] and scorer._weights("a w f") == []
