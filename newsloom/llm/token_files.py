@@ -106,6 +106,32 @@ def _mapped_file(folder: str, name: str, dtype: str) -> np.ndarray:
         return np.frombuffer(file.read(), dtype)
 
 
+#: Tokens widened at once for checksums.
+_WIDENED = 1 << 18
+
+
+def _checksums(tokens: np.ndarray, cuts: np.ndarray) -> list[int]:
+    """crc32 of each document's ids as 32-bit integers; ``cuts``: where documents start, and the end.
+
+    Documents are widened many at once, and one longer than _WIDENED piece by piece.
+    """
+    out, first, ends = [], 0, cuts.tolist()
+    while first < len(ends) - 1:
+        at = ends[first]
+        last = max(first + 1, int(np.searchsorted(cuts, at + _WIDENED, "right")) - 1)
+        if ends[last] - at > _WIDENED:
+            crc = 0
+            for k in range(at, ends[last], _WIDENED):
+                crc = zlib.crc32(tokens[k:min(k + _WIDENED, ends[last])].astype("<u4"), crc)
+            out.append(crc)
+        else:
+            wide = memoryview(tokens[at:ends[last]].astype("<u4").tobytes())
+            own = [4 * (end - at) for end in ends[first:last + 1]]
+            out += [zlib.crc32(wide[a:b]) for a, b in zip(own, own[1:])]
+        first = last
+    return out
+
+
 def _reader(folder: str, dtype: str):
     def run(batches):
         for batch in batches:
@@ -116,7 +142,7 @@ def _reader(folder: str, dtype: str):
                 for k in range(0, len(ids), 1024):
                     cuts = np.array(offsets[k:k + 1025], np.int64)
                     own = np.array(ids[k:k + 1024])
-                    crc = [zlib.crc32(tokens[a:b].astype("<u4").tobytes()) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+                    crc = _checksums(tokens, cuts)
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(own, pa.int64(), mask=own == NO_ID), pa.array(base + cuts[:-1]),

@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from codecs import charmap_decode
 
 import numpy as np
 
@@ -38,12 +39,13 @@ _SIMPLE = {
 }
 
 
-def _byte_letters() -> dict[int, int]:
-    """The letter that stands for each byte: visible ones for themselves, the others
+def _byte_letters() -> str:
+    """The letters that stand for the 256 bytes: visible ones for themselves, the others
     for the letters from 256 on, in order."""
     visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in visible]
-    return {b: b for b in visible} | {b: 256 + k for k, b in enumerate(hidden)}
+    letters = {b: b for b in visible} | {b: 256 + k for k, b in enumerate(hidden)}
+    return "".join([chr(letters[b]) for b in range(256)])
 
 
 class _Remembered(dict):
@@ -56,9 +58,9 @@ class _Remembered(dict):
         value = self.old.get(key, False)
         if value is False:
             value = self.make(key)
-        length = len(key[0] if type(key) is tuple else key)
+        length = len(key) if type(key) is str else len(key[0])
         if length <= _LONGEST:
-            entry = _ENTRY + length + len(value or b"")
+            entry = _ENTRY + length + (len(value) if value else 0)
             if self.size + entry > KEPT_BYTES:
                 self.old, self.size = dict(self), 0
                 self.clear()
@@ -82,7 +84,7 @@ class WordEncoder:
             raise ValueError(f"{dtype} can't hold the ids of {path}")
         self.kind = _kind(self.library)
         self.letters, self.tokenize = _byte_letters(), self.library.model.tokenize
-        self.blank, self.line = chr(self.letters[32]), chr(self.letters[10])
+        self.blank = self.letters[32]
         raw, width = np.arange(size).astype(self.dtype).tobytes(), self.dtype.itemsize
         self.table = [raw[k:k + width] for k in range(0, len(raw), width)]
         self.simple = _SIMPLE.get(self.kind)
@@ -97,15 +99,18 @@ class WordEncoder:
 
     def _word(self, word: str) -> bytes:
         """Ids of one word of known characters, from the tokenizer's model."""
-        if word.isascii():
-            letters = word.replace(" ", self.blank).replace("\n", self.line)
-        else:
-            letters = word.encode("utf-8").decode("latin-1").translate(self.letters)
+        return self._tokens(charmap_decode(word.encode("utf-8"), "strict", self.letters)[0])
+
+    def _tokens(self, letters: str) -> bytes:
+        """Ids of one word, given by the letters that stand for its bytes."""
         table = self.table
         return b"".join([table[t.id] for t in self.tokenize(letters)])
 
     def _piece(self, piece: str | tuple[str]) -> bytes | None:
         """Ids of what stands between two blanks; a tuple opens its text. None: not sure."""
+        if type(piece) is str and piece.isascii() and piece.isalpha():
+            # the most common kind, one word whose letters stand for themselves
+            return self._tokens(self.blank + piece if self.kind == "byte" else piece.lower())
         byte, opens = self.kind == "byte", type(piece) is tuple
         own = piece[0] if opens else piece
         simple = self.simple(own)

@@ -136,3 +136,23 @@ def test_no_setting_is_left_behind(spark):
     before = spark.conf.get(name)
     saved(spark.range(3).toDF("x"), "any").count()
     assert spark.conf.get(name) == before
+
+
+def test_checksums_of_documents_read_together(monkeypatch):
+    monkeypatch.setattr(T, "_WIDENED", 10)
+    tokens = np.arange(100, dtype="<u2") * 601
+    for cuts in ([0], [0, 1], [0, 3, 3, 4, 10, 10], [5, 15, 16, 60, 61, 62, 72, 100], [0, 100], [0, 0, 11, 21, 31, 31]):
+        want = [crc(tokens[a:b]) for a, b in zip(cuts, cuts[1:])]
+        assert T._checksums(tokens, np.array(cuts, np.int64)) == want
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_plain_words_need_no_cutting(name, monkeypatch):
+    path = public_tokenizers.path(name)
+    plain, words = Tokenizer.from_file(path), WordEncoder(path)
+    calls, simple = [], words.simple
+    monkeypatch.setattr(words, "simple", lambda x: calls.append(x) or simple(x))
+    texts = ["x Some plain Words", "x Größe, 12 plain! words", "opening Some"]
+    got = [np.frombuffer(b, words.dtype).tolist() for b in words.encode(texts)]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert set(calls) <= {"x", "opening", "Größe,", "Größe", "12", "plain!"}
