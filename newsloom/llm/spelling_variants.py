@@ -134,6 +134,15 @@ def _salted(states: DataFrame, hot: DataFrame) -> DataFrame:
     return marked.withColumn("salt", F.pmod(F.xxhash64("word"), F.coalesce("salts", F.lit(1)))).drop("salts")
 
 
+def _sorted_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join of two tables that grow with the words; neither is sent to all tasks.
+
+    Spark would send out a side whose files (compressed) or whose rows before an
+    explode are small; in the driver's memory both are many times as large.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def _first(rest: str):
     return F.substring(rest, 1, 1)
 
@@ -156,7 +165,7 @@ def _trie_pairs(listed: DataFrame, node_words: int) -> DataFrame:
     # a pair of equal length is found from its lesser word; a letter is inserted behind its likes, not before
     edit = F.when(F.col("more") == 0, F.col("letter") > _first("rest")).otherwise(F.col("letter") != _first("rest"))
     states = (
-        _salted(_starts(listed), hot).join(grown, ["node", "salt"]).filter(edit)
+        _sorted_join(_salted(_starts(listed), hot), grown, ["node", "salt"]).filter(edit)
         .select("word", "own", F.col("child").alias("node"), left.alias("rest"), "onward", "near_n")
         .filter((F.col("rest") == "") | F.col("onward").contains(_first("rest")))
         .drop("onward")
@@ -167,7 +176,7 @@ def _trie_pairs(listed: DataFrame, node_words: int) -> DataFrame:
     while True:
         step = _salted(states, hot).withColumn("child", F.concat("node", _first("rest")))
         nodes = table.select("child", "salt", "onward", F.col("n").alias("near_n"))
-        states = step.join(nodes, ["child", "salt"]).select(
+        states = _sorted_join(step, nodes, ["child", "salt"]).select(
             "word", "own", F.col("child").alias("node"), F.expr("substring(rest, 2)").alias("rest"), "onward", "near_n"
         ).filter((F.col("rest") == "") | F.col("onward").contains(_first("rest"))).drop("onward")
         level += 1
@@ -220,11 +229,11 @@ def _long_pairs(listed: DataFrame, levels: int) -> DataFrame:
     one, other = hashes.filter("place >= 0").alias("one"), hashes.alias("other")
     same = (F.col("one.size") == F.col("other.size")) & (F.col("one.place") == F.col("other.place")) & (F.col("one.id") < F.col("other.id"))
     shorter = (F.col("one.size") == F.col("other.size") + 1) & (F.col("other.place") == -1)
-    met = one.join(other, F.col("one.h") == F.col("other.h")).filter(same | shorter)
+    met = _sorted_join(one, other, F.col("one.h") == F.col("other.h")).filter(same | shorter)
     ids = met.select(F.col("one.id").alias("id"), F.col("other.id").alias("id_b")).distinct()
     a = long.select("id", F.col("word").alias("a"), F.col("n").alias("n_a"))
     b = long.select(F.col("id").alias("id_b"), F.col("word").alias("b"), F.col("n").alias("n_b"))
-    near = ids.join(a, "id").join(b, "id_b").filter((F.length("a") > levels) | (F.length("b") > levels))
+    near = _sorted_join(_sorted_join(ids, a, "id"), b, "id_b").filter((F.length("a") > levels) | (F.length("b") > levels))
     return near.filter((F.col("a") != F.col("b")) & (F.levenshtein("a", "b", 1) == 1)).select("a", "n_a", "b", "n_b")
 
 
@@ -234,7 +243,7 @@ def _roots(forms: DataFrame) -> DataFrame:
     steps = forms.select(F.col("word").alias("last"), F.col("form").alias("further"))
     moving, done = forms.select("word", F.col("form").alias("last")), []
     while True:
-        ahead = saved(moving.join(steps, "last", "left").select("word", "last", "further"), "forms")
+        ahead = saved(_sorted_join(moving, steps, "last", "left").select("word", "last", "further"), "forms")
         done.append(ahead.filter("further IS NULL").select("word", F.col("last").alias("root")))
         moving = ahead.filter("further IS NOT NULL").select("word", F.col("further").alias("last"))
         if moving.isEmpty():
@@ -267,7 +276,7 @@ def variants(
     best = F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best")
     grouped = near_pairs(listed, levels, node_words).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best)
     formed = saved(
-        listed.join(grouped, "word", "left")
+        _sorted_join(listed, grouped, "word", "left")
         .withColumn("known", -F.col("best.less") >= FORM_TIMES * F.col("n"))
         .select(
             "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
@@ -276,6 +285,6 @@ def variants(
         "word-forms",
     )
     roots = _roots(formed.filter("form IS NOT NULL").select("word", "form"))
-    return formed.join(roots, "word", "left").select(
+    return _sorted_join(formed, roots, "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n"
     )

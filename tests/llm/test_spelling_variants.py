@@ -89,3 +89,13 @@ def test_very_long_words(spark):
     docs = spark.createDataFrame([(k, f"{a} {b}") for k in range(5)], "doc_id long, text string")
     got = {r.word: (r.n, r.n_near) for r in S.variants(docs).collect()}
     assert got == {a: (5, 1), b: (5, 1)}
+
+
+def test_tables_of_words_are_not_sent_out(spark):
+    """Files are small where their rows, exploded and in memory, are not."""
+    docs = spark.createDataFrame([(1, "letters lettera letterb " * 6 + ("y" * 30 + " ") * 6)], "doc_id long, text string")
+    listed = S.words(docs)
+    for made in (S.near_pairs(listed), S.variants(docs)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        sent = [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "[node#" not in line]
+        assert "SortMergeJoin" in plan and not sent
