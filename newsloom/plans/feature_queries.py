@@ -72,12 +72,10 @@ def tfidf_weights(spark, sf):
 
 def _topics(spark, sf):
     """Topics of all documents: vocabulary, vectors (stored), fitted topics."""
-    rows = tfidf.with_terms(documents(spark, sf)).drop("text").persist()
+    rows = stored(tfidf.with_terms(documents(spark, sf)).drop("text"), "terms")
     model = tfidf.fit(rows)
-    vectors = stored(model.transform(rows).select("doc_id", "tfidf"), "vectors").persist()
-    rows.unpersist()
+    vectors = stored(model.transform(rows).select("doc_id", "tfidf"), "vectors")
     topics = nmf.fit(vectors, "doc_id", "tfidf", len(model.terms))
-    vectors.unpersist()
     return model, vectors, topics
 
 
